@@ -16,16 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import small_batches
+from slabwise.llm.common import small_batches, words_of
 
 #: Words of items in one automaton (about two states a word); more items make more passes.
 BLOCK_WORDS = 100_000
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
-def words_of(raw: bytes | None) -> list[bytes]:
-    """Words of digits, ASCII letters in lower case and all non-ASCII characters."""
-    return raw.translate(_WORDS).split() if raw else []
 
 
 class SuffixAutomaton:
