@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabwise.llm import decontaminate, line_dedup, quality, secret_scan, simhash_dedup, toxicity
+from slabwise.llm import decontaminate, line_dedup, pii, quality, secret_scan, simhash_dedup, toxicity
 from slabwise.llm.common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score_documents(docs, model), 3, 1, 0.5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digest(line_dedup.dedup_lines(docs))
@@ -44,7 +48,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_quality, op7_line_dedup, op8_simhash_dedup, op9_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_quality, op5_pii, op7_line_dedup, op8_simhash_dedup, op9_secret_scan)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
