@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabwise.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash_dedup, topk_search, toxicity
+from slabwise.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash_dedup, suffix_dedup, topk_search, toxicity
 from slabwise.llm.common import held_out, table
 
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score_documents(docs, model), 4, 2, 0.3)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -57,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.word_count(docs.text))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_quality, op5_pii, op6_topk_search, op7_line_dedup, op8_simhash_dedup, op9_secret_scan, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_decontamination, op4_quality, op5_pii, op6_topk_search, op7_line_dedup, op8_simhash_dedup, op9_secret_scan, op10_packing)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
