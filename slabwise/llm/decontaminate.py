@@ -198,11 +198,14 @@ def digest(found: DataFrame, id_col: str = "doc_id", min_items: int = 2) -> Data
     return found.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 8, *, min_items: int = 2, max_share: float = 0.5, min_hit: int = 50) -> DataFrame:
-    """``docs`` without the documents that hold benchmark text: hit words make up ``max_share`` of the text or more,
-    number ``min_hit`` or more, or come from ``min_items`` items or more. Columns are those of ``docs``."""
-    keyed = docs.withColumn("__row", F.struct(*[F.col(c) for c in docs.columns]))
-    found = find_contamination(keyed, items, window, id_col="__row", keep_text=False)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s.end - s.start))
-    bad = (F.size("items") >= min_items) | (n_hit >= min_hit) | ((n_hit > 0) & (n_hit >= max_share * F.col("n_words")))
-    return found.where(~bad).select("__row.*")
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 8, *, min_words: int = 13, max_share: float = 0.2, min_items: int = 2, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose hit spans exceed a limit. Only spans of ``window`` words or more count, so
+    that items of a word or two do not: one of ``min_words`` or more, or together ``max_share`` of the text or more,
+    or ``min_items`` such spans."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("body"))
+    found = find_contamination(row, items, window, id_col="row", text_col="body")
+    size = lambda s: s.end - s.start
+    long = F.filter("spans", lambda s: size(s) >= window)
+    covered = F.aggregate(long, F.lit(0).cast("long"), lambda a, s: a + size(s))
+    bad = F.exists(long, lambda s: size(s) >= min_words) | (F.size(long) >= min_items) | ((covered > 0) & (covered >= max_share * F.col("n_words")))
+    return found.where(~bad).select("row.*")

@@ -29,17 +29,21 @@ SHARD, MAX_SHARDS = 512, 4096
 LEAF = 1024
 
 
-def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
+    """Unsigned XXH64 of each run of ``shingle`` words, repeats included; of the whole sequence if it is shorter."""
     words = raw.lower().split() if raw else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     pieces = (joined[a:b] for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(starts))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(starts))
+
+
+def simhash(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; 0 without hashes."""
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(h), 1 << 15):
         part = h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -47,6 +51,11 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of word shingles, repeats included; 0 for a text without words."""
+    return simhash(shingle_hashes(raw, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
@@ -211,3 +220,113 @@ def near_duplicates(docs: DataFrame, reach: int = 3, shingle: int = 3, *, id_col
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# Near copies at a share of common shingles. At such distances the triangle bounds of 64-bit fingerprints prune
+# nothing, so documents are first dealt by length (a share of s needs lengths within a factor of s) and each band is
+# compared in blocks; a sketch that travels with the fingerprint confirms every link where it is found.
+
+SKETCH = 64
+#: Documents in a block of a length band, about.
+BAND_BLOCK = 8192
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Minima under SKETCH multiplications, 16 mixed bits each: the share of equal places estimates the share of
+    common shingles."""
+    if not len(h):
+        return bytes(2 * SKETCH)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), 4096):
+        least = np.minimum(least, (h[a : a + 4096, None] * _ODD[None, :]).min(axis=0))
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def _verified(fp: np.ndarray, sig: np.ndarray, reach: int, least: float) -> Iterator[np.ndarray]:
+    """Groups of positions linked by near fingerprints with sketches that agree in a share ``least`` or more."""
+    rest = np.arange(len(fp))
+    while len(rest):
+        root, rest = int(rest[0]), rest[1:]
+        group, todo = [root], [root]
+        while todo and len(rest):
+            p = todo.pop()
+            near = np.flatnonzero(np.bitwise_count(fp[rest] ^ fp[p]) <= reach)
+            if len(near):
+                near = near[(sig[rest[near]] == sig[p]).mean(axis=1) >= least]
+            if len(near):
+                found = rest[near].tolist()
+                rest = np.delete(rest, near)
+                group += found
+                todo += found
+        if len(group) > 1:
+            yield np.array(group)
+
+
+def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, reach: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): one row per input row; documents are linked if their sets of word shingles have
+    ``min_similarity`` or more in common (estimated to within 0.05) and their fingerprints differ in ``reach`` bits or
+    fewer. component is the smallest id reachable. Null ids count as the least long; texts without words are alike.
+    """
+    small_batches(docs.sparkSession)
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([simhash(h) for h in each], np.uint64).view(np.int64)), pa.array([len(h) for h in each], pa.int32()), pa.array([sketch(h) for h in each], pa.binary())], names=["id", "fp", "n", "sig"])
+
+    marks = written(own.mapInArrow(made, "id long, fp long, n int, sig binary"), "sketches")
+    nodes = written(marks.groupBy("fp", "n", "sig").agg(F.min("id").alias("node")), "nodes")
+    lowest = min_similarity - 0.05
+    band = F.when(F.col("n") == 0, F.lit(-1)).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(lowest))))).cast("int")
+    in_bands = nodes.select("node", "fp", "sig", F.explode(F.array(band, band + 1)).alias("band"))
+    sizes = {r.band: r["count"] for r in in_bands.groupBy("band").count().collect()}
+    blocks = {s: -(-k // BAND_BLOCK) for s, k in sizes.items()}
+    small_batches(docs.sparkSession, 8192)
+    count = F.coalesce(F.element_at(F.create_map(*(x for s, k in blocks.items() for x in (F.lit(s), F.lit(k)))), F.col("band")), F.lit(1)) if blocks else F.lit(1)
+    mine = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
+    dealt = in_bands.withColumn("count", count).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    keyed = dealt.select("band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "fp", "sig")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            node, fp = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).view(np.uint64)
+            sig = np.concatenate([x[2] for x in held])
+            for g in _verified(fp, sig, reach, lowest):
+                yield pa.RecordBatch.from_arrays([pa.array(node[g]), pa.array(np.full(len(g), node[g].min()))], names=["u", "v"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            node, fp = b.column(3).to_numpy(), b.column(4).to_numpy()
+            sig = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint16).reshape(-1, SKETCH)
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if keys[at] != key:
+                    yield from links()
+                    key, held = keys[at], []
+                held.append((node[at:to], fp[at:to], sig[at:to]))
+                at = to
+        yield from links()
+
+    edges = keyed.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(joined, "u long, v long")
+    comp = components(edges)
+    small_batches(docs.sparkSession)
+    rooted = written(nodes.join(comp, "node", "left").select("fp", "n", "sig", F.coalesce("root", "node").alias("component")), "rooted")
+    return marks.join(rooted, ["fp", "n", "sig"]).select(F.col("id").alias(id_col), "component")
+
+
+def one_of_each(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest id; repeated rows once."""
+    found = similar_documents(docs, min_similarity, shingle, id_col=id_col, text_col=text_col)
+    stay = written(found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__stays")).distinct(), "stays")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    kept = docs.withColumn("__id", key).join(stay, F.col("__id") == F.col("__stays"), "left_semi").withColumn("__ver", F.xxhash64(text_col))
+    return kept.dropDuplicates(["__id", "__ver"]).select(*docs.columns)
