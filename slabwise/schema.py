@@ -1,0 +1,8 @@
+"""Canonical table schemas."""
+
+from pyspark.sql import types as T
+
+BLOB_RECORD = T.StructType([T.StructField(c, T.LongType(), False) for c in ("hash", "pos", "logical_size", "physical_size", "flags")])
+SEGMENT = T.StructType([T.StructField("segment_id", T.LongType(), False), T.StructField("ctime", T.TimestampType(), False), T.StructField("records", T.ArrayType(BLOB_RECORD, False), False)])
+BLOBS = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("key_hash", T.LongType(), False), T.StructField("value", T.BinaryType(), False), T.StructField("ingest_seq", T.LongType(), False)])
+BLOOM = T.StructType([T.StructField("word_idx", T.IntegerType(), False), T.StructField("word", T.LongType(), False)])
