@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +23,6 @@ def native_hash(key: Column) -> Column:
 
 def xxh64_seed0(key: Column) -> Column:
     """XXH64 with seed 0, for stores whose keys were hashed so; needs Python."""
-    import pandas as pd
     import xxhash
 
     def hashed(keys: pd.Series) -> pd.Series:

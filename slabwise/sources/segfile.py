@@ -99,7 +99,7 @@ def write_segments(blobs: DataFrame, base: str, shards: int = 1, ctime: int = 0)
     def run(frames: pd.DataFrame) -> pd.DataFrame:
         seg = int(frames.segment_id.iloc[0])
         rows = frames.sort_values(["slab", "pos_order"])
-        slabs = [[(int(h), bytes(v), int(f)) for h, v, f in zip(g.hash, g.value, g.flags, strict=True)] for _, g in rows.groupby("slab")]
+        slabs = [[(int(h), bytes(v), int(f)) for h, v, f in zip(g["hash"], g["value"], g["flags"], strict=True)] for _, g in rows.groupby("slab")]
         raw = encode_segment(seg, ctime, slabs)
         folder = f"{base}/segments/{seg % max(1, shards):04d}"
         os.makedirs(folder, exist_ok=True)
