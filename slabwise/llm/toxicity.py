@@ -95,10 +95,10 @@ def segments(raw: bytes | None, model: ToxicModel) -> tuple[int, list[tuple[int,
     return len(words), [(a, b, s, base - model.decay * s) for a, b, s in maximal_segments(hits)] if hits else []
 
 
-def _features(n: int, segs: list[tuple[int, int, float, float]]) -> list[float]:
+def _features(segs: list[tuple[int, int, float, float]]) -> list[float]:
     sure = sorted((max(0.0, -e) for *_, e in segs), reverse=True)
     best = max((s for _, _, s, _ in segs), default=0.0)
-    return [min(60.0, sure[0]) if sure else 0.0, math.log1p(sum(sure)), math.log1p(len(segs)), math.log1p(best), float(bool(segs)), math.log1p(n)]
+    return [min(60.0, sure[0]) if sure else 0.0, math.log1p(sum(sure)), math.log1p(len(segs)), math.log1p(best), float(bool(segs))]
 
 
 def _decay(scores: np.ndarray, share: np.ndarray) -> float:
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_
         scored = table.where((F.length("w") > 0) & (F.col("n1") >= min_docs)).select("w", delta.alias("d"), evidence.alias("e"))
         best = scored.where((F.col("e") >= min_evidence) & (F.col("d") > 0)).orderBy(F.desc("e"), "w").limit(LEXICON)
         terms = {bytes(r.w): min(12.0, float(r.d)) for r in best.collect()}
-    model = ToxicModel(TermScores(terms), 1.0, 0.0, np.zeros(7))
+    model = ToxicModel(TermScores(terms), 1.0, 0.0, np.zeros(6))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_
     y = np.array([r.y for r in got], float)
     if not terms or not 0 < y.sum() < len(y):
         rate = (y.sum() + 1) / (len(y) + 2)
-        model.weights = np.array([0.0] * 6 + [math.log(rate / (1 - rate))])
+        model.weights = np.array([0.0] * 5 + [math.log(rate / (1 - rate))])
         return model
     clean = [r for r in got if r.y == 0]
     tokens = sum(r.n for r in clean) or 1
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_
     values, share = np.append(found, GAP), np.append(np.full(len(found), 1 / tokens), max(0.0, 1 - len(found) / tokens))
     model.decay = _decay(values, share) if len(found) else 1.0
     model.log_k = math.log(max(1, len(found)) / tokens)  # places a token where a segment can begin
-    x = np.array([_features(r.n, [(int(a), int(b), s, model.log_k + math.log(max(1, r.n)) - model.decay * s) for a, b, s, _ in r.segs]) for r in got])
+    x = np.array([_features([(int(a), int(b), s, model.log_k + math.log(max(1, r.n)) - model.decay * s) for a, b, s, _ in r.segs]) for r in got])
     model.weights = logistic(x, y)
     return model
 
@@ -183,7 +183,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id
         m = shared.value
         for b in batches:
             done = [segments(raw.as_py(), m) for raw in b.column(1)]
-            x = np.array([_features(n, segs) for n, segs in done]).reshape(-1, 6)
+            x = np.array([_features(segs) for _, segs in done]).reshape(-1, 5)
             score = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -35, 35)))
             passages = [[{"start": s, "end": e, "score": v, "p": p} for s, e, v, c in segs if (p := -math.expm1(-math.exp(min(c, 50)))) <= significant] for _, segs in done]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(passages, kind)], names=["id", "score", "segments"])
