@@ -198,7 +198,7 @@ def digest(found: DataFrame, id_col: str = "doc_id", min_items: int = 2) -> Data
     return found.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 8, *, min_words: int = 13, max_share: float = 0.2, min_items: int = 2, text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 8, *, min_words: int = 8, max_share: float = 0.2, min_items: int = 2, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose hit spans exceed a limit. Only spans of ``window`` words or more count, so
     that items of a word or two do not: one of ``min_words`` or more, or together ``max_share`` of the text or more,
     or ``min_items`` such spans."""

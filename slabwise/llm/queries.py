@@ -67,6 +67,19 @@ _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, q, substring(h, 200 * q + 1, 400) AS c FROM (SELECT doc_id, h, unnest(range((len(h) // 2 - 100) // 100 + 1)) AS q FROM d WHERE len(h) >= 200)),
+w AS (SELECT doc_id, 100 * q + t AS p, substring(c, 2 * t + 1, 200) AS s FROM (SELECT doc_id, q, c, unnest(range(least(100, len(c) // 2 - 99))) AS t FROM c)),
+m AS (SELECT s, min({'d': doc_id, 'p': p}) AS f FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE f <> {'d': doc_id, 'p': p}),
+g AS (SELECT *, sum(CASE WHEN p <= last + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM r)),
+x AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, i),
+k AS (SELECT doc_id, string_agg(substring(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head, sum(z - a) AS gone, count(*) AS runs, max(z) AS stop
+FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM x) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans,
+sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op3_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
