@@ -294,7 +294,7 @@ def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puts with their layer: 0 the active slab, 1 the one being flushed, 2 the index."""
     p = _numbered_puts(spark, sf_dir).withColumn("batch", F.floor(F.col("before") / BATCH))
     newest = _puts(spark, sf_dir).agg(F.floor((F.count(F.lit(1)) - 1) / BATCH).alias("newest"))
-    return p.join(F.broadcast(newest)).withColumn("layer", F.least(F.lit(2).cast("long"), F.col("newest") - F.col("batch")).cast("int"))
+    return p.withColumn("layer", F.least(F.lit(2).cast("long"), newest.scalar() - F.col("batch")).cast("int"))
 
 
 @query(f"WITH {_LAYERS} SELECT key, layer, size FROM top")
@@ -375,7 +375,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap = _puts(spark, sf_dir).agg(F.floor(F.sum("size") * LIMIT_PERCENT / 100).alias("cap"))
     placed = _numbered_puts(spark, sf_dir).withColumn("bytes", F.col("bytes") + F.col("size"))
-    return placed.join(F.broadcast(cap)).select("seq", "bytes", (F.col("bytes") > F.col("cap")).alias("over"))
+    return placed.select("seq", "bytes", (F.col("bytes") > cap.scalar()).alias("over"))
 
 
 # Layout.
@@ -483,7 +483,7 @@ def sieve_post_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = _live(spark, sf_dir).agg(F.sum("size").alias("total"))
     gone = _victims(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    return gone.join(F.broadcast(total)).select("n", "bytes", (F.col("total") - F.col("bytes")).alias("remaining"))
+    return gone.select("n", "bytes", (total.scalar() - F.col("bytes")).alias("remaining"))
 
 
 @query()
@@ -558,7 +558,7 @@ def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_COUNTED}, d AS (SELECT count(*) AS deleted FROM documents WHERE doc_id % 11 = 0) SELECT deleted > 1000 * 0.1 AS stale, hits > 2000 AND CAST(ghosts AS DOUBLE) / greatest(hits, 1) > 0.05 AS fpr_bad, deleted > 1000 * 0.1 OR (hits > 2000 AND CAST(ghosts AS DOUBLE) / greatest(hits, 1) > 0.05) AS rebuild FROM c, d")
 def bloom_rebuild_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = corpus.index(spark, sf_dir).where("deleted").agg(F.count(F.lit(1)).alias("deleted"))
-    return _counted(spark, sf_dir).join(F.broadcast(deleted)).select(*bloom.rebuild_due(F.col("deleted"), F.lit(1000), F.col("hits"), F.col("ghosts"), 0.01))
+    return _counted(spark, sf_dir).withColumn("deleted", deleted.scalar()).select(*bloom.rebuild_due(F.col("deleted"), F.lit(1000), F.col("hits"), F.col("ghosts"), 0.01))
 
 
 @query(f"WITH {PUTS}, keys AS (SELECT 'doc-' || doc_id AS key FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT key FROM latest) SELECT CAST(word_idx AS INTEGER) AS word_idx, bit_or(mask) AS word FROM ({_probes_sql('keys')}) GROUP BY word_idx")
@@ -614,7 +614,7 @@ def workload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = corpus.ops(spark, sf_dir)
     reads = replay_reads(spark, sf_dir).agg(F.count(F.lit(1)).alias("gets"), F.count_if("found").alias("hits"))
     puts = ops.where("op = 'put'").agg(F.count(F.lit(1)).alias("puts"), F.coalesce(F.sum("size"), F.lit(0)).alias("put_bytes"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size)").alias("size_p50"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY size)").alias("size_p99"))
-    row = puts.join(F.broadcast(reads))
+    row = puts.withColumn("gets", reads.select("gets").scalar()).withColumn("hits", reads.select("hits").scalar())
     rate = F.col("hits") / F.greatest(F.col("gets"), F.lit(1))
     values = {"puts": F.col("puts"), "gets": F.col("gets"), "hits": F.col("hits"), "hit_rate": rate, "put_bytes": F.col("put_bytes"), "size_p50": F.col("size_p50"), "size_p99": F.col("size_p99")}
     return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in values.items()))).alias("x")).select("x.*")
