@@ -60,50 +60,72 @@ class MTree:
         self.nodes.append(("node", middle, radius, gap, kids))
         return len(self.nodes) - 1
 
-    def search(self, q: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of every object whose score is among the k largest, ties included, and at least ``least``."""
-        qf = np.append(q.astype(np.float64), 0.0)
-        own = float(qf @ qf)
-        reach = lambda s: np.sqrt(max(0.0, own + self.top - 2.0 * s)) * (1 + _SLACK) + _SLACK
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        far = reach(least) if least is not None else np.inf
-        floor = least
-        todo = [(0.0, 0, self.root, None)]
+    def search(self, q: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of every object whose score is among the k largest of a query of the block ``q``, ties
+        included, and at least the query's ``least`` (-inf: none).
+
+        Nodes are taken in the order of their least possible distance to any query that may still need them. A stored
+        distance to the parent rules out a child for a query before its own distance is computed.
+        """
+        m = len(q)
+        qf = np.hstack([q.astype(np.float64), np.zeros((m, 1))])
+        own = (qf * qf).sum(axis=1)
+        floor = np.full(m, -np.inf) if least is None else least.astype(np.float64)
+
+        def reach(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.where(np.isinf(s), np.inf, np.sqrt(np.maximum(0.0, own[at] + self.top - 2.0 * np.where(np.isinf(s), 0, s)))) * (1 + _SLACK) + _SLACK
+
+        far = reach(floor, np.arange(m))
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * q.shape[1] < 2**53
+        best = np.full((m, k), -np.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        todo: list[tuple] = [(0.0, 0, self.root, np.arange(m), np.zeros(m), None)]
         pushed = 0
         while todo:
-            low, _, at, d_parent = heapq.heappop(todo)
-            if low > far:
-                break
+            _, _, at, active, low, d_parent = heapq.heappop(todo)
+            need = low <= far[active]
+            active, d_parent = active[need], d_parent if d_parent is None else d_parent[need]
+            if not len(active):
+                continue
             node = self.nodes[at]
             if node[0] == "page":
-                at_rows = node[1] if d_parent is None else node[1][np.abs(node[2] - d_parent) <= far]
-                if not len(at_rows):
+                rows = node[1]
+                if d_parent is not None:
+                    rows = rows[(np.abs(node[2][:, None] - d_parent[None, :]) <= far[active][None, :]).any(axis=1)]
+                if not len(rows):
                     continue
-                self.computed += len(at_rows)
-                s = self.x[at_rows] @ q
-                if floor is not None:
-                    good = s >= floor
-                    at_rows, s = at_rows[good], s[good]
-                rows, scores = np.concatenate([rows, at_rows]), np.concatenate([scores, s])
-                if len(scores) >= k:
-                    kth = int(np.partition(scores, len(scores) - k)[len(scores) - k])
-                    if floor is None or kth > floor:
-                        floor, far = kth, reach(kth)
-                        keep = scores >= floor
-                        rows, scores = rows[keep], scores[keep]
+                self.computed += len(rows) * len(active)
+                s = (self.f[rows, :-1] @ qf[active, :-1].T).T if exact else (self.x[rows] @ q[active].T).T
+                good = s >= floor[active][:, None]
+                which, col = np.nonzero(good)
+                found.append((active[which], rows[col], s[which, col].astype(np.int64)))
+                top = np.partition(np.hstack([best[active], s]), s.shape[1], axis=1)[:, s.shape[1] :]
+                best[active] = top
+                floor[active] = np.maximum(floor[active], top.min(axis=1))
+                far[active] = reach(floor[active], active)
+                if sum(len(x[0]) for x in found[1:]) > 1 << 20:
+                    found = [self._kept(found, floor)]
                 continue
             _, middle, radius, gap, kids = node
-            some = np.arange(len(kids)) if d_parent is None else np.flatnonzero(np.abs(gap - d_parent) - radius <= far)
-            if not len(some):
-                continue
-            self.computed += len(some)
-            d = np.sqrt(((middle[some] - qf) ** 2).sum(axis=1))
-            for j, dist in zip(some.tolist(), d.tolist(), strict=True):
-                lowest = max(0.0, dist - radius[j])
-                if lowest <= far:
+            can = np.ones((len(kids), len(active)), bool) if d_parent is None else np.abs(gap[:, None] - d_parent[None, :]) - radius[:, None] <= far[active][None, :]
+            for j in np.flatnonzero(can.any(axis=1)).tolist():
+                some = active[can[j]]
+                self.computed += len(some)
+                d = np.sqrt(np.maximum(0.0, own[some] - 2.0 * (qf[some] @ middle[j]) + float(middle[j] @ middle[j])))
+                lowest = np.maximum(0.0, d * (1 - _SLACK) - radius[j] - _SLACK)
+                keep = lowest <= far[some]
+                if keep.any():
                     pushed += 1
-                    heapq.heappush(todo, (lowest, pushed, kids[j], dist))
-        return rows, scores
+                    heapq.heappush(todo, (float(lowest[keep].min()), pushed, kids[j], some[keep], lowest[keep], d[keep]))
+        return self._kept(found, floor)
+
+    @staticmethod
+    def _kept(found: list[tuple], floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        q, r, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = s >= floor[q]
+        return q[keep], r[keep], s[keep]
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -114,7 +136,8 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64)
+    """Lists of one length as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,7 +145,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64,
     largest integer inner product, ties to the smaller id. Vectors are compared with those of their own dimension;
     null ids take no part; rows that repeat an id and vector count once. Columns besides the two named are not read."""
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 512)
     each = written(integer_vectors(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "vectors")
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     objects = each.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -209,26 +232,26 @@ def _best(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def _searching(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and block, objects before queries."""
+    """Rows sorted by shard and block, objects before queries; queries run in blocks of an Arrow batch."""
     key, held, ids, tree = None, [], [], None
     for b in batches:
-        shard, block, side, q, least = (b.column(i).to_pylist() for i in (0, 1, 2, 3, 6))
-        vec, own = b.column(4), b.column(5)
-        out: tuple[list, list, list] = ([], [], [])
-        for i in range(b.num_rows):
-            if (shard[i], block[i]) != key:
-                key, held, ids, tree = (shard[i], block[i]), [], [], None
-            if side[i] == 0:
-                held.append(vec[i].as_py())
-                ids.append(own[i].as_py())
+        if not b.num_rows:
+            continue
+        shard, block, side, q = (b.column(i).to_numpy() for i in range(4))
+        least = b.column(6).to_numpy(zero_copy_only=False).astype(np.float64)
+        least = np.where(np.isnan(least), -np.inf, least)
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if (shard[a], block[a]) != key:
+                key, held, ids, tree = (shard[a], block[a]), [], [], None
+            x = _matrix(b.column(4).slice(a, z - a))
+            if side[a] == 0:
+                held.append(x)
+                ids += b.column(5).slice(a, z - a).to_pylist()
                 continue
             if not held:
                 continue
-            tree = tree or MTree(np.array(held, np.int64))
-            rows, scores = tree.search(np.array(vec[i].as_py(), np.int64), k, least[i])
-            for r, s in zip(rows.tolist(), scores.tolist(), strict=True):
-                out[0].append(q[i])
-                out[1].append(s)
-                out[2].append(ids[r])
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+            tree = tree or MTree(np.concatenate(held))
+            who, rows, scores = tree.search(x, k, least[a:z])
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(q[a:z][who]), pa.array(scores), pa.array([ids[r] for r in rows.tolist()], pa.list_(pa.int64()))], names=["q", "score", "ids"])
