@@ -81,9 +81,10 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("cut", [1 << 20, 37])
-def test_suffix_dedup_is_brute_force(spark, monkeypatch, cut):
+@pytest.mark.parametrize("cut,crowd", [(1 << 20, 128), (37, 128), (1 << 20, 1)])
+def test_suffix_dedup_is_brute_force(spark, monkeypatch, cut, crowd):
     monkeypatch.setattr(suffix_dedup, "SLICE", cut)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     r = random.Random(11)
     text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     shared = [text(n) for n in (99, 100, 101, 150, 400)]
