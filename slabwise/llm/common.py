@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,25 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/slabwise-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Row tuples as record batches of bounded size."""
-    buf: list[tuple] = []
-    for r in rows:
-        buf.append(r)
-        if len(buf) >= size:
-            yield to_batch(buf, schema)
-            buf = []
-    if buf:
-        yield to_batch(buf, schema)
-
-
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._slabwise_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, and lets Spark drop the shuffle files of finished plans."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._slabwise_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

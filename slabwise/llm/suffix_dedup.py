@@ -18,12 +18,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import small_batches, written
+from slabwise.llm.common import release, small_batches, written
 
 #: Bytes of a k-gram (three 8-byte words).
 GRAM = 24
 #: Bytes of segments in one index; an anchor's segments stay together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Distinct segments of an anchor that stay together; those of more crowded anchors are cut this finely.
+CROWD, FINER = 128, 4
+#: Crowded anchors that are broadcast, at most.
+BROADCAST_ANCHORS = 100_000
+#: Symbols in a first sort key.
+_PACK = 7
+#: Bytes of text whose k-grams are hashed at once; longer texts are cut with an overlap that loses no window.
+SLICE = 1 << 20
 _POS_BITS = 28
 _NO_ID = -(2**63)
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -49,10 +57,11 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first window start, number of windows, anchor hash) of each run of windows with one anchor."""
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(text number, first window start, number of windows, anchor's offset, anchor hash) of each run of windows with
+    one anchor."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     if not len(sizes) or sizes.max() < length:
         return none
     b = np.frombuffer(b"".join(texts), np.uint8)
@@ -75,7 +84,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     stop = np.minimum(stop, starts[text] + sizes[text] - length + 1)
     fine = stop > first
     first, stop, text = first[fine], stop[fine], text[fine]
-    return text, first - starts[text], stop - first, h[at[first]]
+    return text, first - starts[text], stop - first, at[first] - first, h[at[first]]
 
 
 class RunLengthIndex:
@@ -87,32 +96,34 @@ class RunLengthIndex:
         self.sizes = sizes
         ends = np.cumsum(sizes + 1) - 1
         n = int(ends[-1]) + 1 if self.count else 0
-        symbol = np.empty(n, np.int64)
+        symbol = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends] = False
-        symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + self.count
-        symbol[ends] = np.arange(self.count)
-        rank, depth, half = symbol, 1, None
-        order = np.argsort(symbol, kind="stable")
-        while True:
-            if depth == 64:
-                half = rank
+        symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        text = np.repeat(np.arange(self.count), sizes + 1)
+        left = ends[text] - np.arange(n) + 1  # symbols up to the end mark, it included
+        rank, alive = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(_PACK):  # seven symbols of nine bits, nothing past an end mark
             ahead = np.zeros(n, np.int64)
-            ahead[: n - depth] = rank[depth:] + 1
-            key = rank * (int(ahead.max()) + 1) + ahead
-            order = np.argsort(key)
-            sorted_key = key[order]
-            step = np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)))
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
-            depth *= 2
-            if depth > 64 and (step[1:].all() or depth > 2 * n):
+            ahead[: n - j] = symbol[j:]
+            rank = (rank << 9) | np.where(alive, ahead, 0)
+            alive &= ahead != 0
+        order = np.argsort(rank)
+        rank, depth, half, at = self._ranked(rank, order), _PACK, None, 0
+        while True:
+            if depth <= length < 2 * depth:
+                half, at = rank, length - depth
+            if n == 0 or half is not None and (rank[order[-1]] == n - 1 or depth >= int(left.max(initial=0))):
                 break
-        half = rank if half is None else half
-        rest = np.zeros(n, np.int64)
-        rest[: n - (length - 64)] = half[length - 64 :] if n > length - 64 else 0
-        same = (half[order[1:]] == half[order[:-1]]) & (rest[order[1:]] == rest[order[:-1]])
+            ahead = np.where(left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)] + self.count, text)
+            rank = rank * (n + self.count) + ahead  # past an end mark texts are told apart by their number
+            order = np.argsort(rank)
+            rank, depth = self._ranked(rank, order), 2 * depth
+        same = (half[order[1:]] == half[order[:-1]]) & (half[np.minimum(order[1:] + at, n - 1)] == half[np.minimum(order[:-1] + at, n - 1)]) if n else np.zeros(0, bool)
+        same &= (left[order[1:]] > length) & (left[order[:-1]] > length)
         self.bounds = np.flatnonzero(np.concatenate(([True], ~same)))  # where suffixes stop sharing `length` bytes
+        symbol[ends] = np.arange(self.count)
+        symbol[inside] += self.count - 1
         last = symbol[order - 1]
         self.run_start = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         self.run_head = last[self.run_start]
@@ -124,6 +135,12 @@ class RunLengthIndex:
         self.run_base[by] = total
         self.rows = n
 
+    @staticmethod
+    def _ranked(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+        sorted_key, rank = key[order], np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))[: len(key)]
+        return rank
+
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Last-to-first: the rows of the suffixes that begin one symbol earlier."""
         run = np.searchsorted(self.run_start, rows, "right") - 1
@@ -164,15 +181,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     for b in batches:
         texts = [t.as_py() or b"" for t in b.column(2)]
         ids, vers = b.column(0).to_numpy(), b.column(1).to_numpy()
+        pieces = [(i, a, t[a : a + SLICE + length - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - length + 1), SLICE)]
         at = 0
-        while at < len(texts):  # 16 MB at a time, or one text
+        while at < len(pieces):
             to, n = at, 0
-            while to < len(texts) and (to == at or n + len(texts[to]) < 1 << 24):
-                n += len(texts[to])
+            while to < len(pieces) and n < SLICE:
+                n += len(pieces[to][2])
                 to += 1
-            which, lo, m, h = anchors(texts[at:to], length)
+            which, lo, m, off, h = anchors([x[2] for x in pieces[at:to]], length)
             if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[at:to][which]), pa.array(vers[at:to][which]), pa.array(lo.astype(np.int32)), pa.array(m.astype(np.int32))], names=["h", "id", "ver", "lo", "m"])
+                row, begin = (np.array([x[k] for x in pieces[at:to]])[which] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(vers[row]), pa.array((begin + lo).astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(off.astype(np.int32))], names=["h", "id", "ver", "lo", "m", "off"])
             at = to
 
 
@@ -206,19 +225,49 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield held
 
 
+_SEGMENT = "s1 long, s2 long, h long, id long, ver long, lo int, m int, off int, piece binary"
+_KINDS = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+
+
+def _segments(rows: list[tuple]) -> pa.RecordBatch:
+    """(h, id, ver, lo, m, off, piece) rows with a 128-bit hash of the piece."""
+    named = [(int.from_bytes((s := xxhash.xxh3_128_digest(r[6]))[:8], "little", signed=True), int.from_bytes(s[8:], "little", signed=True), *r) for r in rows]
+    cols = zip(*named, strict=True) if named else [()] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=["s1", "s2", "h", "id", "ver", "lo", "m", "off", "piece"])
+
+
+def _pieces(b: pa.RecordBatch, length: int) -> Iterator[tuple]:
+    for i, v, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+        raw = t.as_py() or b""
+        for x in found:
+            yield x["h"], i, v, x["lo"], x["m"], x["off"], raw[x["lo"] : x["lo"] + x["m"] + length - 1]
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _segments(list(_pieces(b, length))).drop_columns(["piece"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, vers = b.column(0).to_pylist(), b.column(1).to_pylist()
-        out: tuple[list, ...] = tuple([] for _ in range(8))
-        for i, found in enumerate(b.column(3).to_pylist()):
-            raw = b.column(2)[i].as_py() or b""
-            for x in found:
-                piece = raw[x["lo"] : x["lo"] + x["m"] + length - 1]
-                sid = xxhash.xxh3_128_digest(piece)
-                for c, v in zip(out, (int.from_bytes(sid[:8], "little", signed=True), int.from_bytes(sid[8:], "little", signed=True), x["h"], ids[i], vers[i], x["lo"], x["m"], piece), strict=True):
-                    c.append(v)
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["s1", "s2", "h", "id", "ver", "lo", "m", "piece"])
+        yield _segments(list(_pieces(b, length))).drop_columns(["s1", "s2"])
+
+
+def _finer(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Segments of crowded anchors cut by how far before the anchor their windows start. The windows of a cut have
+    all but a few bytes in common, and those common bytes are the new anchor."""
+    reach = length - GRAM + 1
+    width = -(-reach // FINER)
+    for b in batches:
+        rows = []
+        for i, v, lo, m, off, piece in zip(*(b.column(k).to_pylist() for k in ("id", "ver", "lo", "m", "off", "piece")), strict=True):
+            for k in range(FINER):
+                first, last = max(0, off - width * (k + 1) + 1), min(m - 1, off - width * k)
+                if first <= last:
+                    core = piece[off - width * k : off - width * (k + 1) + 1 + length]
+                    h = xxhash.xxh64_intdigest(core, k)
+                    rows.append((h - (1 << 64) * (h >> 63), i, v, lo + first, last - first + 1, off - first, piece[first : last + length]))
+        yield _segments(rows)
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -267,19 +316,37 @@ def repeated_spans(docs: DataFrame, length: int = 100, *, id_col: str = "doc_id"
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(*_doc(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    rows = own.mapInArrow(lambda b: _anchor_rows(b, length), "h long, id long, ver long, lo int, m int")
+    rows = own.mapInArrow(lambda b: _anchor_rows(b, length), "h long, id long, ver long, lo int, m int, off int")
     small_batches(spark, 20_000)
-    twice = written(rows.repartitionByRange("h", "id", "lo").sortWithinPartitions("h").mapInArrow(_repeated_rows, "h long, id long, ver long, lo int, m int"), "anchors")
+    twice = written(rows.repartitionByRange("h", "id", "lo").sortWithinPartitions("h").mapInArrow(_repeated_rows, "h long, id long, ver long, lo int, m int, off int"), "anchors")
+    release(spark)
     small_batches(spark)
-    by_doc = twice.groupBy("id", "ver").agg(F.collect_set(F.struct("lo", "m", "h")).alias("found"))
-    joined = own.join(by_doc, ["id", "ver"]).select("id", "ver", "text", "found")
-    segments = written(joined.mapInArrow(lambda b: _cut(b, length), "s1 long, s2 long, h long, id long, ver long, lo int, m int, piece binary"), "segments")
-    firsts = written(segments.groupBy("s1", "s2").agg(F.min(F.struct("id", "ver", "lo")).alias("at"), F.first("h").alias("h"), F.first("piece").alias("piece")).select("h", "at.*", "piece"), "firsts")
-    sharded = firsts.repartition("h").sortWithinPartitions("h", "id", "ver", "lo").select("h", "id", "ver", "lo", "piece")
-    partly = sharded.mapInArrow(lambda b: _indexed(b, length), "id long, ver long, start int, end int")
-    later = segments.select("id", "ver", "lo", "m").join(firsts.select("id", "ver", "lo"), ["id", "ver", "lo"], "left_anti")
-    wholly = later.select("id", "ver", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).alias("end"))
-    return written(partly.unionByName(wholly), "spans").groupBy("id", "ver").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    with_text = lambda rows: own.join(rows.groupBy("id", "ver").agg(F.collect_set(F.struct("lo", "m", "off", "h")).alias("found")), ["id", "ver"]).select("id", "ver", "text", "found")
+    at = ("h", "m", "off")
+    firsts = _folded(with_text(twice).mapInArrow(lambda b: _hashed(b, length), _SEGMENT.removesuffix(", piece binary")), at)
+    release(spark)
+    groups = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)  # one alone shares no window
+    pieces = written(with_text(firsts.join(groups.select("h"), "h", "left_semi")).mapInArrow(lambda b: _cut(b, length), _SEGMENT.removeprefix("s1 long, s2 long, ")), "pieces")
+    release(spark)
+    crowds = written(groups.where(F.col("c") > CROWD).select("h"), "crowds")
+    crowded = F.broadcast(crowds) if crowds.count() <= BROADCAST_ANCHORS else crowds
+    finer = written(pieces.join(crowded, "h", "left_semi").mapInArrow(lambda b: _finer(b, length), _SEGMENT), "finer")
+    finest = _folded(finer, (*at, "piece"))
+    sharded = pieces.join(crowded, "h", "left_anti").select(finest.columns).unionByName(finest).repartition("h").sortWithinPartitions("h", "id", "ver", "lo").select("h", "id", "ver", "lo", "piece")
+    spans = sharded.mapInArrow(lambda b: _indexed(b, length), "id long, ver long, start int, end int")
+    for each, kept in ((twice, firsts), (finer, finest)):  # equal to an earlier one from end to end
+        later = each.select("id", "ver", "lo", "m").join(kept.select("id", "ver", "lo"), ["id", "ver", "lo"], "left_anti")
+        spans = spans.unionByName(later.select("id", "ver", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).alias("end")))
+    spans = written(spans, "spans")
+    del sharded, later, groups, crowded
+    release(spark, twice, firsts, pieces, crowds, finer, finest)
+    return spans.groupBy("id", "ver").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def _folded(segments: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The earliest of each group of equal segments."""
+    one = segments.groupBy("s1", "s2").agg(F.min(F.struct("id", "ver", "lo")).alias("at"), *(F.first(c).alias(c) for c in keep))
+    return written(one.select("h", "at.*", *keep[1:]), "firsts")
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
