@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -54,8 +55,11 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t._slabwise_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    spark.sql("SELECT 1").collect()  # listeners hold on to the last execution until there is another
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
