@@ -225,7 +225,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 # Near copies at a share of common shingles. At such distances the triangle bounds of 64-bit fingerprints prune
 # nothing, so documents are dealt by minima of their shingles under a few orders: two sets that share four fifths
 # miss each other in all of them once in 15,000 times. Inside a group fingerprints are compared, and a sketch that
-# travels with them confirms every link where it is found.
+# travels with them picks candidates. The sets of candidates' components then meet once, and every link is confirmed
+# there by the exact share of common shingles.
 
 SKETCH = 128
 #: What is taken off the similarity for the error of the estimate, nearly three standard deviations of it at 0.8.
@@ -236,6 +237,8 @@ DEALS = 6
 GROUP_BLOCK = 1000
 #: Large groups whose sizes are broadcast, at most.
 BROADCAST_GROUPS = 100_000
+#: Candidates whose keys are broadcast to the texts, at most; with more, the texts are shuffled.
+BROADCAST_CANDIDATES = 300_000
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -255,7 +258,7 @@ def sketch(least: np.ndarray) -> bytes:
 
 
 def _verified(fp: np.ndarray, sig: np.ndarray, reach: int, least: float) -> Iterator[np.ndarray]:
-    """Groups of positions linked by near fingerprints with sketches that agree in a share ``least`` or more."""
+    """Groups of positions, candidates for one another by near fingerprints with sketches that agree in a share ``least`` or more."""
     rest = np.arange(len(fp))
     while len(rest):
         root, rest = int(rest[0]), rest[1:]
@@ -274,30 +277,109 @@ def _verified(fp: np.ndarray, sig: np.ndarray, reach: int, least: float) -> Iter
             yield np.array(group)
 
 
+def exact_groups(sets: list[np.ndarray], least: float) -> Iterator[np.ndarray]:
+    """Groups of positions linked by sets of distinct hashes of which ``least`` or more of the union is common."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [codes[b - n : b] for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    mark = np.zeros(len(values), np.int64)
+    rest = np.flatnonzero(sizes)
+    held, flat, starts = rest, codes, (ends - sizes)[rest]
+    alive = np.ones(len(sets), bool)
+    while len(rest):
+        root = int(rest[0])
+        alive[root] = False
+        rest = rest[1:]
+        group, todo = [root], [root]
+        while todo and len(rest):
+            p = todo.pop()
+            if 2 * len(rest) < len(held):
+                held, flat = rest, np.concatenate([own[q] for q in rest.tolist()])
+                starts = np.cumsum(sizes[held]) - sizes[held]
+            mark[own[p]] = 1
+            common = np.add.reduceat(mark[flat], starts)
+            mark[own[p]] = 0
+            found = held[(common / (sizes[held] + sizes[p] - common) >= least) & alive[held]]
+            if len(found):
+                alive[found] = False
+                rest = rest[alive[rest]]
+                group += found.tolist()
+                todo += found.tolist()
+        if len(group) > 1:
+            yield np.array(group)
+
+
+def _in_pairs(df: DataFrame, salt: str) -> DataFrame:
+    """Each row once for every pair of its block and another of its group's ``parts`` blocks, with the pair's number."""
+    mine = F.pmod(F.xxhash64(salt), F.col("parts")).cast("int")
+    pairs = df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return pairs.withColumn("pair", F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).drop("parts", "mine", "other")
+
+
+def _confirmed(own: DataFrame, nodes: DataFrame, comp: DataFrame, min_similarity: float, shingle: int) -> DataFrame:
+    """(u, v) of the exact links inside candidates' components (node, root)."""
+    spark = own.sparkSession
+    placed = nodes.select("node", "ver").join(comp, "node", "left").select("node", "ver", F.coalesce("root", "node").alias("root"))
+    placed = written(placed, "placed")
+    counts = placed.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = written(placed.join(counts, "root").select("root", F.col("node").alias("id"), "ver", F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("parts")), "members")
+    few = members.count() <= BROADCAST_CANDIDATES
+    texts = own.join(F.broadcast(members) if few else members, ["id", "ver"]).select("root", "parts", "id", "ver", "text")
+    small_batches(spark)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.binary())], names=["root", "parts", "id", "ver", "hashes"])
+
+    keyed = _in_pairs(texts.mapInArrow(sets, "root long, parts int, id long, ver long, hashes binary"), "ver").select("root", "pair", "id", "ver", "hashes")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            node = np.array([k[0] for k in held], np.int64)
+            for g in exact_groups([np.frombuffer(x, np.uint64) for x in held.values()], min_similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(node[g]), pa.array(np.full(len(g), node[g].min()))], names=["u", "v"])
+
+        for b in batches:
+            for root, pair, i, ver, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (root, pair) != key:
+                    yield from links()
+                    key, held = (root, pair), {}
+                held[i, ver] = hashes
+        yield from links()
+
+    return keyed.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(joined, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, reach: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): one row per input row; documents are linked if their sets of word shingles have
-    ``min_similarity`` or more in common (estimated to within 0.1) and their fingerprints differ in ``reach`` bits or
-    fewer. component is the smallest id reachable. Null ids count as the least long; texts without words are alike.
+    ``min_similarity`` or more in common. Candidates' fingerprints differ in ``reach`` bits or fewer. component is the
+    smallest id reachable. Null ids count as the least long; texts without words are alike.
     """
     small_batches(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text_col).alias("ver"), F.col(text_col).cast("binary").alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            each = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(2)]
             least = [minima(h) for h in each]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([simhash(h) for h in each], np.uint64).view(np.int64)), pa.array([m[:DEALS].view(np.int64) for m in least], pa.list_(pa.int64())), pa.array([sketch(m) for m in least], pa.binary())], names=["id", "fp", "deal", "sig"])
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), same, pa.array(np.array([simhash(h) for h in each], np.uint64).view(np.int64)), pa.array([m[:DEALS].view(np.int64) for m in least], pa.list_(pa.int64())), pa.array([sketch(m) for m in least], pa.binary())], names=["id", "ver", "same", "fp", "deal", "sig"])
 
-    marks = written(own.mapInArrow(made, "id long, fp long, deal array<long>, sig binary"), "sketches")
-    nodes = written(marks.groupBy("fp", "sig").agg(F.min("id").alias("node"), F.first("deal").alias("deal")), "nodes")
+    marks = written(own.mapInArrow(made, "id long, ver long, same binary, fp long, deal array<long>, sig binary"), "sketches")
+    first = F.min_by(F.struct("fp", "sig", "deal", "ver"), F.struct("id", "ver")).alias("x")
+    nodes = written(marks.groupBy("same").agg(F.min("id").alias("node"), first).select("same", "node", "x.*"), "nodes")
     lowest = min_similarity - SLACK
     dealt = nodes.select("node", "fp", "sig", F.posexplode("deal").alias("j", "m"))
     large = written(nodes.select(F.posexplode("deal").alias("j", "m")).groupBy("j", "m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_BLOCK), "large")
     parts = large.select("j", "m", F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("parts"))
     sized = dealt.join(F.broadcast(parts) if large.count() <= BROADCAST_GROUPS else parts, ["j", "m"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = pairs.select("j", "m", (F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).alias("pair"), "node", "fp", "sig")
+    keyed = _in_pairs(sized, "node").select("j", "m", "pair", "node", "fp", "sig")
     small_batches(docs.sparkSession, 8192)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,10 +407,11 @@ def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int
         yield from links()
 
     edges = keyed.repartition("j", "m", "pair").sortWithinPartitions("j", "m", "pair").mapInArrow(joined, "u long, v long")
-    comp = components(edges)
+    candidates = components(edges)
+    comp = components(_confirmed(own, nodes, candidates, min_similarity, shingle))
     small_batches(docs.sparkSession)
-    rooted = written(nodes.join(comp, "node", "left").select("fp", "sig", F.coalesce("root", "node").alias("component")), "rooted")
-    return marks.select("id", "fp", "sig").join(rooted, ["fp", "sig"]).select(F.col("id").alias(id_col), "component")
+    rooted = written(nodes.join(comp, "node", "left").select("same", F.coalesce("root", "node").alias("component")), "rooted")
+    return marks.select("id", "same").join(rooted, "same").select(F.col("id").alias(id_col), "component")
 
 
 def one_of_each(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -248,6 +248,33 @@ def test_similar_documents_at_eight_tenths(spark):
     assert sorted(x.doc_id for x in left.collect()) == sorted([g * 10 + k for g in range(30) for k in (0, 3)] + [1000, 1002, 1003])
 
 
+def shared(a, b):
+    s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(s & t) / len(s | t)
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_similar_documents_are_confirmed_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_dedup, "GROUP_BLOCK", block)
+    r = random.Random(21)
+    docs = []
+    for g in range(60):
+        w = [f"g{g}w{i}" for i in range(300)]
+        docs.append((g * 10, " ".join(w)))
+        for k in range(1, 3):  # a run of new words: between 0.7 and 0.85 in common with the first
+            v, n = list(w), r.randint(21, 47)
+            at = r.randrange(0, 250)
+            v[at : at + n] = [f"g{g}k{k}u{i}" for i in range(n)]
+            docs.append((g * 10 + k, " ".join(v)))
+    docs += [(1000 + i, " ".join(f"h{x}" if x != i else "new" for x in range(100))) for i in range(60)]
+    got = {x.doc_id: x.component for x in simhash_dedup.similar_documents(frame(spark, docs)).collect()}
+    want = {}
+    for g in [docs[i : i + 3] for i in range(0, 180, 3)] + [docs[180:]]:
+        near = brute_components([i for i, _ in g], lambda a, b, g=g: shared(g[a][1], g[b][1]) >= 0.8)
+        want |= {g[k][0]: c for k, c in near.items()}
+    assert got == want and 10 < sum(i != c for i, c in want.items() if i < 1000) < 110
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
