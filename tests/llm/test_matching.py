@@ -275,6 +275,16 @@ def test_similar_documents_are_confirmed_exactly(spark, monkeypatch, block):
     assert got == want and 10 < sum(i != c for i, c in want.items() if i < 1000) < 110
 
 
+def test_no_pair_at_eight_tenths_is_lost(spark):
+    docs = []
+    for g in range(1500):  # 80 of 100 shingles in common
+        w = [f"{g}w{i}" for i in range(94)]
+        docs += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:40] + [f"{g}u{i}" for i in range(6)] + w[46:]))]
+    assert shared(docs[0][1], docs[1][1]) == 0.8
+    got = {x.doc_id: x.component for x in simhash_dedup.similar_documents(frame(spark, docs)).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
