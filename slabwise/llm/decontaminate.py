@@ -8,6 +8,7 @@ passes in the same stage, and no text is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import small_batches, words_of
+from slabwise.llm.common import _WORD_BYTES, small_batches, words_of
 
 #: Words of items in one automaton (about two states a word); more items make more passes.
 BLOCK_WORDS = 100_000
@@ -209,3 +210,37 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 8, *, min_wo
     covered = F.aggregate(long, F.lit(0).cast("long"), lambda a, s: a + size(s))
     bad = F.exists(long, lambda s: size(s) >= min_words) | (F.size(long) >= min_items) | ((covered > 0) & (covered >= max_share * F.col("n_words")))
     return found.where(~bad).select("row.*")
+
+
+def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``raw`` without the words of each span and what stands between them; what is around a span stays."""
+    at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_WORD_BYTES))]
+    out, done = [], 0
+    for a, b in spans:
+        out.append(raw[done : at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*out, raw[done:]])
+
+
+def without_passages(docs: DataFrame, items: DataFrame, window: int = 8, *, min_words: int = 13, max_share: float = 0.2, text_col: str = "text") -> DataFrame:
+    """``docs`` without the hit spans of ``min_words`` words or more, and without the documents of which hit spans
+    cover ``max_share`` or more. Only spans of ``window`` words or more count."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("body"))
+    found = find_contamination(row, items, window, id_col="row", text_col="body")
+    size = lambda s: s.end - s.start
+    hit = F.filter("spans", lambda s: size(s) >= window)
+    covered = F.aggregate(hit, F.lit(0).cast("long"), lambda a, s: a + size(s))
+    stay = found.where((covered == 0) | (covered < max_share * F.col("n_words"))).select("row", F.filter(hit, lambda s: size(s) >= min_words).alias("cut"))
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = b.column(0).flatten()
+            texts = fields[at].to_pylist()
+            for i, cut in enumerate(b.column(1).to_pylist()):
+                if cut:
+                    texts[i] = cut_words(texts[i].encode(), [(x["start"], x["end"]) for x in cut]).decode()
+            fields[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(fields, names=names)
+
+    return stay.mapInArrow(run, docs.schema)

@@ -67,6 +67,26 @@ def test_decontaminated_drops_leaks_only(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 2, 3, 4]
 
 
+def test_passages_are_cut_out_and_covered_documents_dropped(spark):
+    q = [f"q{i}" for i in range(30)]
+    item = " ".join(q)
+    texts = {
+        1: "x " * 50 + "(Q3, " + ", ".join(q[4:20]) + ") y" + " y" * 60,  # 17 of 128 words
+        2: "é " * 50 + " ".join(q[:12]) + " ü" * 50,  # too short to be cut, too little to be dropped
+        3: "x " * 20 + item,
+        4: "é-" * 100 + item + " ü" * 100 + " " + " ".join(q[10:25]),  # 45 of 245 words in two spans
+        5: "x " * 30 + " ".join(q[:9]),  # 9 of 39 words
+        6: "x " * 50,
+        7: None,
+    }
+    items = spark.createDataFrame([(0, item), (1, "short")], "item_id long, text string")
+    docs = frame(spark, list(texts.items()))
+    left = decontaminate.without_passages(docs, items)
+    got = {r.doc_id: r.text for r in left.collect()}
+    assert left.columns == docs.columns
+    assert got == {1: "x " * 50 + "() y" + " y" * 60, 2: texts[2], 4: "é-" * 100 + " ü" * 100 + " ", 6: texts[6], 7: None}
+
+
 def brute_bytes(rows, length):
     seen, out = set(), {}
     for i, raw in rows:
