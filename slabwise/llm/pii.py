@@ -1,8 +1,8 @@
 """Personal data, and information-theoretic sanitisation of what reveals it. DataFrame functions only.
 
 Pattern kinds are found first. Every distinct value is a protected entity; terms near it are counted with it in
-distinct contexts, corpus counts of all terms give how much an entity becomes likelier once the term is seen, and
-terms past the disclosure thresholds are marked wherever they occur, to be generalised or removed.
+distinct contexts, and terms of its documents in distinct ones; corpus counts of all terms give how much an entity
+becomes likelier once the term is seen and what chance would give, and terms past the disclosure thresholds are marked wherever they occur, to be generalised or removed.
 """
 
 from __future__ import annotations
@@ -115,25 +115,40 @@ def _contexts(t: Column, base: Column, reach: int, words: int) -> Column:
     return F.transform(base, near)
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, *, text_col: str, min_contexts: int, min_share: float, min_bits: float) -> DataFrame | None:
-    """(term, bits): terms that are with one entity in ``min_contexts`` distinct contexts or more and make up
-    ``min_share`` or more of the term's uses, ``min_bits`` more likely than the entity is anyway. None if no term is
-    often enough with any entity."""
-    seen = found.select(F.explode("contexts").alias("c")).select("c.entity", F.explode("c.terms").alias("term"), "c.context")
-    pairs = seen.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"))
-    often = written(pairs.where(F.col("contexts") >= min_contexts), "often")
-    if often.isEmpty():
-        return None
-    entities = found.select(F.explode("contexts").alias("c")).groupBy("c.entity").agg(F.count(F.lit(1)).alias("uses"))
-    uses = docs.select(F.explode(_words(F.col(text_col))).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("all"))
-    counted = often.join(uses, "term").join(entities, "entity")
-    total = found.agg(F.sum(F.size("contexts"))).first()[0]
-    share = F.col("n") / F.greatest("all", "n")
-    bits = F.log2(share / (F.col("uses") / F.lit(float(total))))
-    return written(counted.where((share >= min_share) & (bits >= min_bits)).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
+def _surprise(n: Column, mean: Column) -> Column:
+    """Bits of the Chernoff bound on ``n`` or more events where ``mean`` are expected by chance; 0 if not more."""
+    return F.when(n > mean, (n * F.log(n / mean) - n + mean) / F.log(F.lit(2.0))).otherwise(0.0)
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, words: int = 4, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
+def revealing_terms(docs: DataFrame, found: DataFrame, *, text_col: str, max_chance: float, min_share: float, min_bits: float) -> DataFrame | None:
+    """(term, bits): terms of which ``min_share`` or more of the uses are near one entity, or in its documents, which
+    make the entity ``min_bits`` likelier (smoothed), and which meet it in more distinct contexts, or documents, than
+    chance gives with probability ``max_chance`` over all pairs seen. None without entities."""
+    each = found.select("ver", F.explode("contexts").alias("c"))
+    entities = each.groupBy("c.entity").agg(F.count(F.lit(1)).alias("uses"), F.sum(F.size("c.terms")).alias("slots"), F.countDistinct("ver").alias("texts"))
+    entities = written(entities, "entities")
+    if entities.isEmpty():
+        return None
+    near = each.select("c.entity", F.explode("c.terms").alias("term"), F.col("c.context").alias("at"), F.lit(1).alias("kind"))
+    own = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c.entity))).alias("entity"), "said", F.col("ver").alias("at"))
+    whole = own.select("entity", F.explode("said").alias("term"), "at", F.lit(0).alias("kind"))
+    once = near.unionByName(whole).groupBy("kind", "entity", "term", "at").agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(once.groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n")), "pairs")
+    tests = {r[0]: r[1] for r in pairs.groupBy("kind").count().collect()}
+    uses = docs.select(F.explode(_words(F.col(text_col))).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("all"))
+    uses = written(uses, "uses")
+    words, texts = uses.agg(F.sum("all")).first()[0], docs.count()
+    total = entities.agg(F.sum("uses")).first()[0]
+    likely = F.greatest("all", "n")
+    counted = pairs.join(uses, "term").join(entities, "entity")
+    mean = F.when(F.col("kind") == 1, likely * F.col("slots") / F.lit(float(words or 1))).otherwise(likely * F.col("texts") / F.lit(float(texts or 1)))
+    needed = F.when(F.col("kind") == 1, F.lit(float(tests.get(1, 1)))).otherwise(F.lit(float(tests.get(0, 1)))) / max_chance
+    bits = F.log2((F.col("n") + 0.5) / (likely + 1.0) / ((F.col("uses") + 0.5) / F.lit(total + 1.0)))
+    good = (F.col("n") / likely >= min_share) & (bits >= min_bits) & (_surprise(F.col("times").cast("double"), mean) >= F.log2(needed))
+    return written(counted.where(good).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
+
+
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, words: int = 4, max_chance: float = 0.05, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
     """(id, spans): one row per input row; spans are array<(kind, start, end)> by kind, then start.
 
     Null texts count as empty and have no spans. Rows that repeat an id each get their own text's spans, a null id
@@ -142,11 +157,11 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("ver"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = own.select("id", "ver", "text", find_base(F.col("text")).alias("base")).where(F.size("base") > 0)
     place = lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"))
-    found = written(base.select("id", "ver", F.transform("base", place).alias("base"), _contexts(F.col("text"), F.col("base"), reach, words).alias("contexts")), "pii")
+    found = written(base.select("id", "ver", F.transform("base", place).alias("base"), _contexts(F.col("text"), F.col("base"), reach, words).alias("contexts"), F.filter(_words(F.col("text")), lambda w: F.length(w) >= 3).alias("said")), "pii")
     once = lambda df, c: df.groupBy("id", "ver").agg(F.first(c).alias(c))
     out = _left(own.select("id", "ver"), once(found, "base"))
     spans = F.coalesce("base", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    terms = revealing_terms(own, found, text_col="text", min_contexts=min_contexts, min_share=min_share, min_bits=min_bits)
+    terms = revealing_terms(own, found, text_col="text", max_chance=max_chance, min_share=min_share, min_bits=min_bits)
     if terms is not None:
         few = terms.count() <= BROADCAST_TERMS
         word = own.select("id", "ver", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))

@@ -66,6 +66,15 @@ def test_revealing_terms_are_marked_everywhere(spark):
     assert clean[64] == "again [TERM] alone, zorks no" and "z@home.org" not in clean[0] and "[EMAIL]" in clean[0]
 
 
+def test_terms_beside_an_entity_mentioned_twice_are_marked(spark):
+    r = random.Random(5)
+    filler = lambda: " ".join(r.choice("alpha beta gamma delta epsilon zeta theta".split()) for _ in range(40))
+    texts = [f"{filler()} Quill at q@home.org {filler()}" for _ in range(2)] + [filler() for _ in range(300)]
+    texts += [f"{filler()} m{i}@x.org {filler()}" for i in range(60)] + ["only Quill here"]
+    got = {x.doc_id: x.spans for x in pii.digest(pii.find_pii(docs_of(spark, texts))).collect()}
+    assert got[362] == "term:5:10" and all("term" in got[i] for i in (0, 1)) and not any("term" in got[i] for i in range(2, 362))
+
+
 def test_pii_of_repeated_null_and_no_rows(spark):
     rows = [(None, "a@b.cd"), (None, None), (1, "x@y.zz"), (1, "x@y.zz"), (1, "none")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
