@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import _WORD_BYTES, small_batches, words_of
+from slabwise.llm.common import _WORD_BYTES, bounded_batches, words_of
 
 #: Words of items in one automaton (about two states a word); more items make more passes.
 BLOCK_WORDS = 100_000
@@ -171,7 +171,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 8, *, id
     Repeated documents each get their row; an empty side gives empty hits.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in _blocks(items, item_col, item_text_col, block_words):

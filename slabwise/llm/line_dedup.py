@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import BLANKS, lower_ascii, small_batches, written
+from slabwise.llm.common import BLANKS, lower_ascii, bounded_batches, written
 
 _NO_ID = -(2**63)
 _MARK, _OPEN, _NOTE = 0, 1, 2
@@ -116,9 +116,9 @@ def line_marks(docs: DataFrame, min_docs: int = 10, *, keep_first: bool = False,
     hashed = F.transform(key, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (F.length(x) >= min_chars).alias("long")))
     each = docs.select(*_doc(id_col, text_col), F.posexplode(hashed).alias("pos", "x")).where("x.long").select("x.h1", "x.h2", "id", "ver", "pos")
     order = ["h1", "h2", "id", "ver", "pos"]
-    small_batches(spark, 20_000)
+    bounded_batches(spark)
     out = written(each.repartitionByRange("h1", "h2", "id").sortWithinPartitions(*order).mapInArrow(lambda b: _stream(b, min_docs, keep_first), _OUT), "line-marks")
-    small_batches(spark)
+    bounded_batches(spark)
     notes = out.where(F.col("kind") == _NOTE).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min(F.struct("id", "ver", "pos")).alias("first"))
     frequent = notes.where(F.col("docs") >= min_docs)
     marks = out.where(F.col("kind") == _MARK).select("id", "ver", "pos")

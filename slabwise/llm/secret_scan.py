@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import small_batches
+from slabwise.llm.common import bounded_batches
 
 #: Kinds in report order; the first three are the pattern kinds.
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "pem")
@@ -149,7 +149,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no findings. Other columns of ``docs`` are not read, whatever their names. Repeated
     rows and ids give repeated results; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     listed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import small_batches, written
+from slabwise.llm.common import bounded_batches, written
 from slabwise.llm.components import components
 
 BITS, SEED = 64, 42
@@ -58,7 +58,7 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +157,7 @@ def link_components(fps: DataFrame, reach: int = 3) -> DataFrame:
     picked = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     sample = np.array(picked, np.int64).view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree(sample, max(1, min(MAX_SHARDS, n // SHARD))))
-    small_batches(spark, 20_000)
+    bounded_batches(spark)
 
     def dealt(batches: Iterator[pa.RecordBatch], parts: dict[int, int] | None = None) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +198,7 @@ def link_components(fps: DataFrame, reach: int = 3) -> DataFrame:
     meet = fps.mapInArrow(lambda b: dealt(b, parts), "key long, fp long").repartition("key").sortWithinPartitions("key")
     edges = meet.mapInArrow(joined, "u long, v long")
     out = components(edges)
-    small_batches(spark)
+    bounded_batches(spark)
     return out
 
 
@@ -324,7 +324,7 @@ def _confirmed(own: DataFrame, nodes: DataFrame, comp: DataFrame, min_similarity
     members = written(placed.join(counts, "root").select("root", F.col("node").alias("id"), "ver", F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("parts")), "members")
     few = members.count() <= BROADCAST_CANDIDATES
     texts = own.join(F.broadcast(members) if few else members, ["id", "ver"]).select("root", "parts", "id", "ver", "text")
-    small_batches(spark)
+    bounded_batches(spark)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,7 +359,7 @@ def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int
     ``min_similarity`` or more in common; at 0.8 a link is missed once in 244 million times. component is the smallest
     id reachable. Null ids count as the least long; texts without words are alike.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text_col).alias("ver"), F.col(text_col).cast("binary").alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int
     parts = large.select("j", "m", F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("parts"))
     sized = dealt.join(F.broadcast(parts) if large.count() <= BROADCAST_GROUPS else parts, ["j", "m"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     keyed = _in_pairs(sized, "node").select("j", "m", "pair", "node", "sig")
-    small_batches(docs.sparkSession, 8192)
+    bounded_batches(docs.sparkSession)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -406,7 +406,7 @@ def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int
     edges = keyed.repartition("j", "m", "pair").sortWithinPartitions("j", "m", "pair").mapInArrow(joined, "u long, v long")
     candidates = components(edges)
     comp = components(_confirmed(own, nodes, candidates, min_similarity, shingle))
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rooted = written(nodes.join(comp, "node", "left").select("same", F.coalesce("root", "node").alias("component")), "rooted")
     return marks.select("id", "same").join(rooted, "same").select(F.col("id").alias(id_col), "component")
 

@@ -1,11 +1,12 @@
-"""Removal of long repeated byte strings with run-length suffix indexes.
+"""Removal of long repeated byte strings with run-length indexes.
 
 Every window of ``length`` bytes is assigned to one anchor inside it, its smallest hashed k-gram, which the window's
-bytes alone decide: equal windows have equal anchors. Only anchors that occur twice matter; their windows are cut
-from the texts as short segments. Equal segments are folded; distinct ones are sharded by anchor, so that all equal
-windows meet. Each shard is indexed block by block as a run-compressed Burrows-Wheeler transform with sampled run
-ends; all segments stream through it by last-to-first steps, which gives at each place the interval of suffixes that
-match ``length`` bytes or more, and every window of an interval but the earliest is marked.
+bytes alone decide: equal windows have equal anchors, so texts are sharded by anchor. The windows of one anchor are a
+segment of the text. Segments that are equal from end to end are one string with many places, of which the first
+stands for all. Distinct segments of an anchor meet in one task: the first of each is indexed (a run-compressed
+Burrows-Wheeler transform with sampled run ends), the others stream through it, and their windows with matching
+statistics of ``length`` or more are marked; what did not match is the input of the next round. Anchors with too many
+distinct segments are cut finer, again and again, until they fit or are single windows.
 """
 
 from __future__ import annotations
@@ -18,23 +19,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import release, small_batches, written
+from slabwise.llm.common import bounded_batches, release, written
+from slabwise.llm.runindex import RunLengthIndex
 
 #: Bytes of a k-gram (three 8-byte words).
 GRAM = 24
-#: Bytes of segments in one index; an anchor's segments stay together.
-BLOCK = 1 << 18
-#: Distinct segments of an anchor that stay together; those of more crowded anchors are cut this finely.
-CROWD, FINER = 128, 4
-#: Crowded anchors that are broadcast, at most.
-BROADCAST_ANCHORS = 100_000
-#: Symbols in a first sort key.
-_PACK = 7
+#: Bytes of segments that meet in one index and its streams, about.
+BLOCK = 1 << 20
+#: Distinct segments of an anchor that meet in one task, at most; those of more crowded anchors are cut finer.
+CROWD = 16
+#: Windows in a cut, coarse to fine. Single windows of one anchor are equal, so that nothing stays crowded.
+WIDTHS = (20, 5, 1)
 #: Bytes of text whose k-grams are hashed at once; longer texts are cut with an overlap that loses no window.
 SLICE = 1 << 20
 _POS_BITS = 28
 _NO_ID = -(2**63)
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_BASE = 0xA24BAED4963EE407
+_powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -57,11 +59,22 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return h
 
 
+def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    global _powers
+    if len(_powers[0]) < n:
+        each = [np.full(max(n, SLICE + 4096), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for x in each:
+            x[0] = 1
+        _powers = (np.cumprod(each[0]), np.cumprod(each[1]))
+    return _powers[0][:n], _powers[1][:n]
+
+
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window start, number of windows, anchor's offset, anchor hash) of each run of windows with
-    one anchor."""
+    """(text number, first window start, number of windows, anchor's offset, anchor hash, segment hash) of each run
+    of windows with one anchor."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if not len(sizes) or sizes.max() < length:
         return none
     b = np.frombuffer(b"".join(texts), np.uint8)
@@ -84,100 +97,21 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     stop = np.minimum(stop, starts[text] + sizes[text] - length + 1)
     fine = stop > first
     first, stop, text = first[fine], stop[fine], text[fine]
-    return text, first - starts[text], stop - first, at[first] - first, h[at[first]]
-
-
-class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of several texts, each with its own end mark, and sampled run ends."""
-
-    def __init__(self, texts: list[bytes], length: int) -> None:
-        self.count, self.length = len(texts), length
-        sizes = np.fromiter(map(len, texts), np.int64, self.count)
-        self.sizes = sizes
-        ends = np.cumsum(sizes + 1) - 1
-        n = int(ends[-1]) + 1 if self.count else 0
-        symbol = np.zeros(n, np.int64)
-        inside = np.ones(n, bool)
-        inside[ends] = False
-        symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-        text = np.repeat(np.arange(self.count), sizes + 1)
-        left = ends[text] - np.arange(n) + 1  # symbols up to the end mark, it included
-        rank, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(_PACK):  # seven symbols of nine bits, nothing past an end mark
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - j] = symbol[j:]
-            rank = (rank << 9) | np.where(alive, ahead, 0)
-            alive &= ahead != 0
-        order = np.argsort(rank)
-        rank, depth, half, at = self._ranked(rank, order), _PACK, None, 0
-        while True:
-            if depth <= length < 2 * depth:
-                half, at = rank, length - depth
-            if n == 0 or half is not None and (rank[order[-1]] == n - 1 or depth >= int(left.max(initial=0))):
-                break
-            ahead = np.where(left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)] + self.count, text)
-            rank = rank * (n + self.count) + ahead  # past an end mark texts are told apart by their number
-            order = np.argsort(rank)
-            rank, depth = self._ranked(rank, order), 2 * depth
-        same = (half[order[1:]] == half[order[:-1]]) & (half[np.minimum(order[1:] + at, n - 1)] == half[np.minimum(order[:-1] + at, n - 1)]) if n else np.zeros(0, bool)
-        same &= (left[order[1:]] > length) & (left[order[:-1]] > length)
-        self.bounds = np.flatnonzero(np.concatenate(([True], ~same)))  # where suffixes stop sharing `length` bytes
-        symbol[ends] = np.arange(self.count)
-        symbol[inside] += self.count - 1
-        last = symbol[order - 1]
-        self.run_start = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
-        self.run_head = last[self.run_start]
-        size = np.diff(np.append(self.run_start, n))
-        self.run_end_sample = order[self.run_start + size - 1]  # text place of the suffix at each run's end
-        by = np.argsort(self.run_head, kind="stable")
-        total = np.cumsum(size[by]) - size[by]
-        self.run_base = np.empty(len(by), np.int64)  # rows of suffixes are in the order of their first symbols
-        self.run_base[by] = total
-        self.rows = n
-
-    @staticmethod
-    def _ranked(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        sorted_key, rank = key[order], np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))[: len(key)]
-        return rank
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """Last-to-first: the rows of the suffixes that begin one symbol earlier."""
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.run_base[run] + rows - self.run_start[run]
-
-    def repeated(self) -> Iterator[tuple[int, int, int]]:
-        """(text, first, last) of runs of window starts that also start in an earlier text of the index."""
-        rows = np.arange(self.count)  # the end marks are the first rows, in order
-        active = np.arange(self.count)
-        owner, at, kind = [], [], []
-        for t in range(1, int(self.sizes.max()) + 1 if self.count else 0):
-            fits = self.sizes[active] >= t
-            active = active[fits]
-            rows = self.step(rows[fits])
-            if t >= self.length:
-                owner.append(active)
-                at.append(self.sizes[active] - t)
-                kind.append(np.searchsorted(self.bounds, rows, "right"))
-        if not owner:
-            return
-        o, a, c = np.concatenate(owner), np.concatenate(at), np.concatenate(kind)
-        least = np.full(len(self.bounds) + 1, self.count, np.int64)
-        np.minimum.at(least, c, o)
-        hit = o != least[c]
-        o, a = o[hit], a[hit]
-        by = np.lexsort((a, o))
-        o, a = o[by], a[by]
-        cut = np.flatnonzero((np.diff(o) != 0) | (np.diff(a) != 1)) + 1
-        for i, j in zip(np.concatenate(([0], cut)).tolist() if len(o) else [], np.append(cut, len(o)).tolist(), strict=False):
-            yield int(o[i]), int(a[i]), int(a[j - 1])
+    power, inverse = _weights(len(h))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power)))
+    same = (total[stop + length - GRAM] - total[first]) * inverse[first]
+    return text, first - starts[text], stop - first, at[first] - first, h[at[first]], same
 
 
 def _doc(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("ver")]
 
 
+_PLACE = "h long, s long, id long, ver long, lo int, m int, off int"
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _PLACE.split(", ")]
     for b in batches:
         texts = [t.as_py() or b"" for t in b.column(2)]
         ids, vers = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -188,165 +122,251 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             while to < len(pieces) and n < SLICE:
                 n += len(pieces[to][2])
                 to += 1
-            which, lo, m, off, h = anchors([x[2] for x in pieces[at:to]], length)
+            which, lo, m, off, h, s = anchors([x[2] for x in pieces[at:to]], length)
             if len(h):
                 row, begin = (np.array([x[k] for x in pieces[at:to]])[which] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(vers[row]), pa.array((begin + lo).astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(off.astype(np.int32))], names=["h", "id", "ver", "lo", "m", "off"])
+                cols = [h.view(np.int64), s.view(np.int64), ids[row], vers[row], *(x.astype(np.int32) for x in (begin + lo, m, off))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
             at = to
 
 
-def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h to those whose h has another row, and those of a task's first and last h, which may have
-    one in a neighbour: a row too many does no harm."""
-    held, first = None, True
+_LATER, _FIRST = 0, 1
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, s, m, off, id, ver, lo) with their kind: _LATER for what is equal to the row before,
+    _FIRST for others. Rows alone under their h go, and so do repeats of a row.
+
+    A task's first row is taken as a first, and its outer rows stay: a row too many does no harm, as the index finds
+    segments that are equal too.
+    """
+    held: pa.Table | None = None
+    begun = False
+
+    def sent(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        """All rows of t but the ends, which only give the neighbours: its first row if begun, its last unless last."""
+        col = {n: t.column(n).to_numpy() for n in ("h", "s", "m", "off", "id", "ver", "lo")}
+        n = t.num_rows
+        equal = lambda *names: np.concatenate(([False], np.logical_and.reduce([col[x][1:] == col[x][:-1] for x in names])))
+        near = equal("h")
+        later = equal("h", "s", "m", "off")
+        again = later & equal("id", "ver", "lo")
+        keep = near | np.append(near[1:], False)
+        if not begun:
+            keep[0] = True
+        if last:
+            keep[-1] = True
+        keep &= ~again
+        at = np.flatnonzero(keep)
+        at = at[(at >= int(begun)) & (at < n - int(not last))]
+        if len(at):
+            kind = pa.array(np.where(later[at], _LATER, _FIRST).astype(np.int32))
+            yield from t.take(pa.array(at)).append_column("kind", kind).combine_chunks().to_batches()
+
     for b in batches:
         if not b.num_rows:
             continue
-        table = pa.Table.from_batches([held, b]).combine_chunks() if held is not None else pa.Table.from_batches([b])
-        h = table.column(0).to_numpy()
-        change = np.flatnonzero(np.diff(h)) + 1
-        starts = np.concatenate(([0], change))
-        stops = np.append(change, len(h))
-        size = stops - starts
-        keep = size > 1
-        keep[0] |= first
-        flags = np.repeat(keep, size)
-        last = starts[-1]
-        if size[-1] > 4096:  # known to repeat: only one row has to stay for the next batch
-            last = stops[-1] - 1
-        done = table.slice(0, last).filter(pa.array(flags[:last]))
-        yield from done.combine_chunks().to_batches()
-        first = first and len(starts) == 1
-        rest = table.slice(last).combine_chunks().to_batches()
-        held = rest[0] if rest else None
-        if size[-1] > 4096:
-            first = True  # the row that stays is of a run that repeats
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        if t.num_rows - int(begun) < 2:
+            held = t
+            continue
+        yield from sent(t, False)
+        held, begun = t.slice(t.num_rows - 2), True
     if held is not None:
-        yield held
+        yield from sent(held, True)
 
 
-_SEGMENT = "s1 long, s2 long, h long, id long, ver long, lo int, m int, off int, piece binary"
-_KINDS = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+def _classes(rows: DataFrame, name: str) -> DataFrame:
+    """rows (h, s, m, off, id, ver, lo, …) with ``kind``, written. Dealt by ranges that end inside a hot anchor too."""
+    dealt = rows.repartitionByRange("h", "s", "id").sortWithinPartitions("h", "s", "m", "off", "id", "ver", "lo")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return written(dealt.mapInArrow(_classed, f"{kinds}, kind int"), name)
 
 
-def _segments(rows: list[tuple]) -> pa.RecordBatch:
-    """(h, id, ver, lo, m, off, piece) rows with a 128-bit hash of the piece."""
-    named = [(int.from_bytes((s := xxhash.xxh3_128_digest(r[6]))[:8], "little", signed=True), int.from_bytes(s[8:], "little", signed=True), *r) for r in rows]
-    cols = zip(*named, strict=True) if named else [()] * 9
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=["s1", "s2", "h", "id", "ver", "lo", "m", "off", "piece"])
+def _grouped(classed: DataFrame) -> DataFrame:
+    """The first rows of anchors that have two or more of them, with their number ``c``."""
+    firsts = classed.where(F.col("kind") == _FIRST).drop("kind", "s")
+    return firsts.join(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "h")
 
 
-def _pieces(b: pa.RecordBatch, length: int) -> Iterator[tuple]:
-    for i, v, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-        raw = t.as_py() or b""
-        for x in found:
-            yield x["h"], i, v, x["lo"], x["m"], x["off"], raw[x["lo"] : x["lo"] + x["m"] + length - 1]
-
-
-def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield _segments(list(_pieces(b, length))).drop_columns(["piece"])
+_PIECE = "h long, c long, id long, ver long, lo int, m int, off int, piece binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(id, ver, text, found) to the pieces of text that are found."""
     for b in batches:
-        yield _segments(list(_pieces(b, length))).drop_columns(["s1", "s2"])
-
-
-def _finer(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Segments of crowded anchors cut by how far before the anchor their windows start. The windows of a cut have
-    all but a few bytes in common, and those common bytes are the new anchor."""
-    reach = length - GRAM + 1
-    width = -(-reach // FINER)
+        found = b.column(3)
+        part = np.repeat(np.arange(b.num_rows), found.value_lengths().to_numpy())
+        h, c, lo, m, off = found.flatten().flatten()
+        texts = [t.as_py() or b"" for t in b.column(2)]
+        a = lo.to_numpy()
+        z = a + m.to_numpy() + length - 1
+        pieces = pa.array([texts[i][x:y] for i, x, y in zip(part.tolist(), a.tolist(), z.tolist(), strict=True)], pa.binary())
+        at = pa.array(part)
+        yield pa.RecordBatch.from_arrays([h, c, b.column(0).take(at), b.column(1).take(at), lo, m, off, pieces], names=["h", "c", "id", "ver", "lo", "m", "off", "piece"])
+
+
+def _finer(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Segments of crowded anchors cut by how far before the anchor their windows start, ``width`` starts a cut. The
+    windows of a cut have all but a few bytes in common, and those common bytes are the new anchor. Where a piece's
+    windows begin further on than the cut does, offsets stay those of the whole cut."""
+    kinds = [("h", pa.int64()), ("s", pa.int64()), ("id", pa.int64()), ("ver", pa.int64()), ("lo", pa.int32()), ("m", pa.int32()), ("off", pa.int32()), ("piece", pa.binary())]
+    signed = lambda x: x - (1 << 64) * (x >> 63)
     for b in batches:
         rows = []
-        for i, v, lo, m, off, piece in zip(*(b.column(k).to_pylist() for k in ("id", "ver", "lo", "m", "off", "piece")), strict=True):
-            for k in range(FINER):
+        for h, i, v, lo, m, off, piece in zip(*(b.column(k).to_pylist() for k in ("h", "id", "ver", "lo", "m", "off", "piece")), strict=True):
+            for k in range((off - m + 1) // width, off // width + 1):
                 first, last = max(0, off - width * (k + 1) + 1), min(m - 1, off - width * k)
-                if first <= last:
-                    core = piece[off - width * k : off - width * (k + 1) + 1 + length]
-                    h = xxhash.xxh64_intdigest(core, k)
-                    rows.append((h - (1 << 64) * (h >> 63), i, v, lo + first, last - first + 1, off - first, piece[first : last + length]))
-        yield _segments(rows)
+                core = piece[off - width * k : off - width * (k + 1) + 1 + length]
+                own = piece[first : last + length]
+                rows.append((signed(xxhash.xxh64_intdigest(core, (h + k) & (1 << 64) - 1)), signed(xxhash.xxh64_intdigest(own, h & (1 << 64) - 1)), i, v, lo + first, last - first + 1, off - first, own))
+        cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+class _Meeting:
+    """Distinct segments of whole groups that wait for their round: group, number, where in the document they begin,
+    and bytes. What is left of one keeps its number; no two windows of a segment are equal. A round takes the first
+    segment of each group as the index of the others."""
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self.group, self.own, self.lo = (np.zeros(0, np.int64) for _ in range(3))
+        self.data: list[bytes] = []
+
+    def add(self, group: np.ndarray, own: np.ndarray, lo: np.ndarray, data: list[bytes]) -> None:
+        """Groups in one piece, segments of a group in their order."""
+        self.group, self.own, self.lo = np.append(self.group, group), np.append(self.own, own), np.append(self.lo, lo)
+        self.data += data
+
+    def size(self) -> int:
+        return sum(map(len, self.data))
+
+    def round(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, start, end) of the bytes matched."""
+        new = np.concatenate(([True], self.group[1:] != self.group[:-1]))
+        at = np.flatnonzero(new)
+        ref = self.own == self.own[at][np.cumsum(new) - 1]
+        refs, rest = np.flatnonzero(ref), np.flatnonzero(~ref)
+        index = RunLengthIndex([self.data[i] for i in refs.tolist()])
+        data = [self.data[i] for i in rest.tolist()]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        stops = np.cumsum(sizes)
+        reach = index.matching(np.frombuffer(b"".join(data), np.uint8), stops - sizes, stops)
+        windows = np.ones(len(reach), bool)  # whether a window starts here
+        tails = (stops[:, None] - np.arange(1, self.length)[None, :]).ravel()
+        windows[tails] = False
+        hit = reach >= self.length
+        of = np.repeat(np.arange(len(data)), sizes)
+        base = (stops - sizes)[of]
+        spans = []
+        for flags in (hit, windows & ~hit):
+            edge = np.ones(len(flags), bool)
+            edge[1:] = (flags[1:] != flags[:-1]) | (of[1:] != of[:-1])
+            begin = np.flatnonzero(edge)
+            end = np.append(begin[1:], len(flags))
+            good = flags[begin]
+            spans.append((begin[good], end[good]))
+        (a, z), (c, d) = spans
+        rows = rest[of[a]]
+        found = self.own[rows], self.lo[rows] + a - base[a], self.lo[rows] + z - base[a] + self.length - 1
+        rows = rest[of[c]]
+        left = [self.data[r][x:y] for r, x, y in zip(rows.tolist(), (c - base[c]).tolist(), (d - base[c] + self.length - 1).tolist(), strict=True)]
+        self.group, self.own, self.lo, self.data = self.group[rows], self.own[rows], self.lo[rows] + c - base[c], left
+        self._drop_alone()
+        return found
+
+    def _drop_alone(self) -> None:
+        """Groups with one segment left have nothing to meet."""
+        if not len(self.group):
+            return
+        new = np.concatenate(([True], self.group[1:] != self.group[:-1]))
+        number = np.cumsum(new) - 1
+        low, high = (f.reduceat(self.own, np.flatnonzero(new)) for f in (np.minimum, np.maximum))
+        keep = np.flatnonzero((low != high)[number])
+        self.group, self.own, self.lo, self.data = self.group[keep], self.own[keep], self.lo[keep], [self.data[i] for i in keep.tolist()]
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Distinct segments sorted by (h, id, ver, lo) to removed byte spans (id, ver, start, end) of their first
-    places."""
-    block: list[tuple[int, int, int, bytes]] = []
-    group: list[tuple[int, int, int, bytes]] = []
-    size, key = 0, None
-
-    def spans() -> Iterator[pa.RecordBatch]:
-        held = sorted(block, key=lambda x: x[:3])
-        got = [(*held[t][:2], held[t][2] + a, held[t][2] + z + length) for t, a, z in RunLengthIndex([x[3] for x in held], length).repeated()]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "ver", "start", "end"])
-
-    def add() -> None:
-        nonlocal size
-        if len(group) > 1:  # a single segment shares no window with another
-            block.extend(group)
-            size += sum(len(x[3]) for x in group)
-        group.clear()
+    """Distinct segments sorted by (h, id, ver, lo) to byte spans (id, ver, start, end) that occur earlier."""
+    meeting = _Meeting(length)
+    ids, vers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the segments in the meeting
+    groups = waiting = 0
+    held: pa.Table | None = None
+
+    def rounds(enough: int) -> Iterator[pa.RecordBatch]:
+        nonlocal waiting, ids, vers
+        while len(meeting.data) and waiting > enough:
+            own, start, end = meeting.round()
+            waiting = meeting.size()
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(vers[own]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["id", "ver", "start", "end"])
+        left, meeting.own = np.unique(meeting.own, return_inverse=True)
+        ids, vers = ids[left], vers[left]
+
+    def taken(t: pa.Table) -> None:
+        nonlocal groups, waiting, ids, vers
+        h, i, v, lo = (t.column(n).to_numpy() for n in ("h", "id", "ver", "lo"))
+        other = np.concatenate(([True], h[1:] != h[:-1]))
+        fresh = np.flatnonzero(other | np.concatenate(([True], (i[1:] != i[:-1]) | (v[1:] != v[:-1]) | (lo[1:] != lo[:-1]))))  # rows that repeat go
+        number = np.arange(len(fresh)) + len(ids)
+        ids, vers = np.append(ids, i[fresh]), np.append(vers, v[fresh])
+        data = t.column("piece").take(pa.array(fresh)).to_pylist()
+        meeting.add((np.cumsum(other) - 1)[fresh] + groups, number, lo[fresh].astype(np.int64), data)
+        meeting._drop_alone()
+        groups += int(other.sum())
+        waiting = meeting.size()
 
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(5)]
-        for h, i, v, lo, piece in zip(*cols, strict=True):
-            if h != key:
-                add()
-                key = h
-                if size >= BLOCK:
-                    yield from spans()
-                    block.clear()
-                    size = 0
-            group.append((i, v, lo, piece))
-    add()
-    if block:
-        yield from spans()
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        h = t.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1], "left"))
+        if last:
+            taken(t.slice(0, last))
+            yield from rounds(BLOCK)
+        held = t.slice(last)
+    if held is not None:
+        taken(held)
+    yield from rounds(0)
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ver, spans): for each document with bytes to remove, the spans (start, end) in bytes, not merged.
 
     id is the document's id (the least long for null), ver a hash of its text; documents are in the order of both.
+    Segments count as equal if their 64-bit hashes and those of their anchors are.
     """
     if not GRAM + 40 <= length:
         raise ValueError(f"length must be {GRAM + 40} or more")
-    spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(docs.sparkSession)
     own = docs.select(*_doc(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    rows = own.mapInArrow(lambda b: _anchor_rows(b, length), "h long, id long, ver long, lo int, m int, off int")
-    small_batches(spark, 20_000)
-    twice = written(rows.repartitionByRange("h", "id", "lo").sortWithinPartitions("h").mapInArrow(_repeated_rows, "h long, id long, ver long, lo int, m int, off int"), "anchors")
-    release(spark)
-    small_batches(spark)
-    with_text = lambda rows: own.join(rows.groupBy("id", "ver").agg(F.collect_set(F.struct("lo", "m", "off", "h")).alias("found")), ["id", "ver"]).select("id", "ver", "text", "found")
-    at = ("h", "m", "off")
-    firsts = _folded(with_text(twice).mapInArrow(lambda b: _hashed(b, length), _SEGMENT.removesuffix(", piece binary")), at)
-    release(spark)
-    groups = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)  # one alone shares no window
-    pieces = written(with_text(firsts.join(groups.select("h"), "h", "left_semi")).mapInArrow(lambda b: _cut(b, length), _SEGMENT.removeprefix("s1 long, s2 long, ")), "pieces")
-    release(spark)
-    crowds = written(groups.where(F.col("c") > CROWD).select("h"), "crowds")
-    crowded = F.broadcast(crowds) if crowds.count() <= BROADCAST_ANCHORS else crowds
-    finer = written(pieces.join(crowded, "h", "left_semi").mapInArrow(lambda b: _finer(b, length), _SEGMENT), "finer")
-    finest = _folded(finer, (*at, "piece"))
-    sharded = pieces.join(crowded, "h", "left_anti").select(finest.columns).unionByName(finest).repartition("h").sortWithinPartitions("h", "id", "ver", "lo").select("h", "id", "ver", "lo", "piece")
-    spans = sharded.mapInArrow(lambda b: _indexed(b, length), "id long, ver long, start int, end int")
-    for each, kept in ((twice, firsts), (finer, finest)):  # equal to an earlier one from end to end
-        later = each.select("id", "ver", "lo", "m").join(kept.select("id", "ver", "lo"), ["id", "ver", "lo"], "left_anti")
+    places = written(own.mapInArrow(lambda b: _anchor_rows(b, length), _PLACE), "anchors")
+    classed = _classes(places, "classes")
+    release(places)
+    asked = _grouped(classed).groupBy("id", "ver").agg(F.collect_list(F.struct("h", "c", "lo", "m", "off")).alias("found"))
+    pieces = written(own.join(asked, ["id", "ver"]).select("id", "ver", "text", "found").mapInArrow(lambda b: _cut(b, length), _PIECE), "pieces")
+    equal, tables = [classed], [classed, pieces]
+    sharded, crowded = pieces.where(F.col("c") <= CROWD), pieces.where(F.col("c") > CROWD)
+    for width in WIDTHS:
+        if crowded.isEmpty():
+            break
+        cuts = crowded.mapInArrow(lambda b, width=width: _finer(b, length, width), f"{_PLACE}, piece binary")
+        equal.append(_classes(cuts, "cuts"))
+        finer = written(_grouped(equal[-1]).select(*pieces.columns), "finer")
+        tables += [equal[-1], finer]
+        enough = CROWD if width > 1 else 1 << 62
+        sharded, crowded = sharded.unionByName(finer.where(F.col("c") <= enough)), finer.where(F.col("c") > enough)
+    order = ["h", "id", "ver", "lo"]
+    met = sharded.select(*order, "piece").repartition("h").sortWithinPartitions(*order)
+    spans = met.mapInArrow(lambda b: _indexed(b, length), "id long, ver long, start int, end int")
+    for each in equal:
+        later = each.where(F.col("kind") == _LATER)
         spans = spans.unionByName(later.select("id", "ver", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).alias("end")))
-    spans = written(spans, "spans")
-    del sharded, later, groups, crowded
-    release(spark, twice, firsts, pieces, crowds, finer, finest)
-    return spans.groupBy("id", "ver").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def _folded(segments: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The earliest of each group of equal segments."""
-    one = segments.groupBy("s1", "s2").agg(F.min(F.struct("id", "ver", "lo")).alias("at"), *(F.first(c).alias(c) for c in keep))
-    return written(one.select("h", "at.*", *keep[1:]), "firsts")
+    spans = written(spans.groupBy("id", "ver").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    release(*tables)
+    return spans
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from slabwise.llm.common import small_batches, written
+from slabwise.llm.common import bounded_batches, written
 
 #: Objects in a shard (about), in a page; children of a node; query classes in a block.
 SHARD, PAGE, FANOUT, BLOCK = 8192, 128, 16, 20_000
@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64,
     largest integer inner product, ties to the smaller id. Vectors are compared with those of their own dimension;
     null ids take no part; rows that repeat an id and vector count once. Columns besides the two named are not read."""
     spark = vectors.sparkSession
-    small_batches(spark, 512)
+    bounded_batches(spark)
     each = written(integer_vectors(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "vectors")
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     objects = each.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -216,7 +216,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64,
     named = asked.select(F.col("id").alias("query_id"), "v").join(classes.select("v", "q"), "v").select("query_id", "q")
     out = named.join(best, "q").where("query_id <> id")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    small_batches(spark)
+    bounded_batches(spark)
     return out.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import labelled_sample, logistic, small_batches, words_of
+from slabwise.llm.common import labelled_sample, logistic, bounded_batches, words_of
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -116,7 +116,7 @@ def _decay(scores: np.ndarray, share: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_ROWS, prior: float = 100.0, min_docs: int = 3, min_evidence: float = 12.0) -> ToxicModel:
     """Fit on at most ``rows`` labelled rows for which ``train`` (on column id) holds; equal texts count once."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     sample = labelled_sample(docs, labels, "toxic", train, rows).dropDuplicates(["text"]).cache()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id
     chance is at most ``significant``. Null and empty texts have no tokens and get the score of a text without
     segments. Other columns are not read; repeated rows repeat."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
 

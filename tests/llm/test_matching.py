@@ -5,11 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from slabwise.llm import decontaminate, line_dedup, simhash_dedup, suffix_dedup
 from slabwise.llm.components import components
+from slabwise.llm.runindex import RunLengthIndex
 
 
 def frame(spark, rows):
@@ -101,7 +103,7 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("cut,crowd", [(1 << 20, 128), (37, 128), (1 << 20, 1)])
+@pytest.mark.parametrize("cut,crowd", [(1 << 20, 16), (37, 16), (1 << 20, 1)])
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, cut, crowd):
     monkeypatch.setattr(suffix_dedup, "SLICE", cut)
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
@@ -121,15 +123,69 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert suffix_dedup.dedup_bytes(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_run_length_index_steps_spell_the_texts():
-    texts = [b"abracadabra" * 12, b"cadabraabra" * 13, bytes(range(256)), b"a" * 150]
-    x = suffix_dedup.RunLengthIndex(texts, 100)
-    rows = np.arange(len(texts))
+def test_matching_statistics_are_brute_force():
+    r = random.Random(3)
+    for _ in range(60):
+        letters = r.choice([b"ab", b"abc", b"\0\xffa", bytes(range(256))])
+        make = lambda n, letters=letters: bytes(r.choice(letters) for _ in range(n))
+        held = [make(r.randint(0, 60)) for _ in range(r.randint(1, 6))]
+        asked = [make(r.randint(0, 20)) + held[0][r.randint(0, 5) :] + make(3) for _ in range(5)] + [b"", b"z" * 5]
+        stops = np.cumsum([len(q) for q in asked])
+        starts = stops - [len(q) for q in asked]
+        got = RunLengthIndex(held).matching(np.frombuffer(b"".join(asked), np.uint8), starts, stops)
+        for q, a in zip(asked, starts.tolist(), strict=True):
+            for i in range(len(q)):
+                assert got[a + i] == max(n for n in range(len(q) - i + 1) if any(q[i : i + n] in x for x in held))
+    assert not RunLengthIndex([]).matching(np.zeros(3, np.uint8), np.array([0]), np.array([3])).any()
+
+
+def test_run_length_index_is_small_on_repetitive_strings():
+    texts = [b"abracadabra" * 12 + bytes([i]) for i in range(50)]
+    x = RunLengthIndex(texts)
+    assert len(x.run_start) < x.rows / 8 and len(x.first_place) == len(x.last_place) == len(x.run_start)
+    rows = np.arange(len(texts))  # the end marks' suffixes come first
     for back in range(1, 120):
         run = np.searchsorted(x.run_start, rows, "right") - 1
-        assert [h - len(texts) for h in x.run_head[run].tolist()] == [t[-back] for t in texts]
+        assert [h - 1 for h in x.run_head[run].tolist()] == [t[-back] for t in texts]
         rows = x.step(rows)
-    assert len(x.run_start) < x.rows
+
+
+def test_suffix_dedup_of_a_passage_with_many_neighbours(spark, monkeypatch):
+    """One anchor holds a distinct segment of every document: it is cut finer, and no task gets the whole group."""
+    most = []
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(120))
+    docs = [(i, f"{r.getrandbits(400):x} {passage} {r.getrandbits(400):x}") for i in range(3000)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.dedup_bytes(frame(spark, docs)).collect()}
+    assert got == brute_bytes([(i, t.encode()) for i, t in docs], 100)
+    grouped = suffix_dedup._grouped
+    monkeypatch.setattr(suffix_dedup, "_grouped", lambda c: most.append(grouped(c)) or most[-1])
+    suffix_dedup.repeated_spans(frame(spark, docs).limit(400))
+    assert len(most) == 1 + len(suffix_dedup.WIDTHS)
+
+
+@pytest.mark.parametrize("block", [1, 3000])
+def test_rounds_of_the_index_are_brute_force(monkeypatch, block):
+    """Segments of groups of all sizes, repeated rows too, in batches that cut groups."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    r = random.Random(block)
+    rows, want = [], set()
+    for h in range(12):
+        core, seen = bytes(r.choice(b"xyz") for _ in range(100)), {}
+        for d in range(r.choice([1, 2, 3, 9])):
+            left, right = (bytes(r.choice(b"pq") for _ in range(r.randint(0, 40))) for _ in range(2))
+            piece = left + core + right if r.random() < 0.8 else bytes(r.choice(b"mn") for _ in range(120))
+            rows += [(h, d, 0, 5, piece)] * r.choice([1, 1, 2])
+            for p in range(len(piece) - 99):
+                if seen.setdefault(piece[p : p + 100], d) != d:
+                    want |= {(h, d, 5 + x) for x in range(p, p + 100)}
+    table = pa.table(dict(zip(["h", "id", "ver", "lo", "piece"], map(list, zip(*[(h, 100 * h + d, v, lo, x) for h, d, v, lo, x in rows], strict=True)), strict=True)))
+    table = table.set_column(3, "lo", table.column("lo").cast(pa.int32())).set_column(4, "piece", table.column("piece").cast(pa.binary()))
+    got = set()
+    for b in suffix_dedup._indexed(iter(table.to_batches(max_chunksize=7)), 100):
+        for x in b.to_pylist():
+            got |= {(x["id"] // 100, x["id"] % 100, p) for p in range(x["start"], x["end"])}
+    assert got == want
 
 
 def test_line_dedup_is_brute_force(spark):
