@@ -3,8 +3,9 @@
 Vectors become integers and equal ones one object. Objects are dealt to the nearest of sampled pivots; each shard
 is an M-tree of pages with covering radii and parent distances, in the space with one more coordinate in which the
 nearest object has the largest inner product. A query first searches its home shard; the score found there and the
-shards' balls tell which other shards can hold better ones, and only those are searched. Queries stream through a
-shard in blocks, so neither side has to be gathered.
+shards' balls tell which other shards can hold better ones, and only those are searched. Objects are never copied:
+queries go to the trees that may hold what they need and stream through them. A shard over the size of a tree is
+several trees, so a task's memory has a bound.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from slabwise.llm.common import bounded_batches, written
+from slabwise.llm.common import bounded_batches, release, written
 
-#: Objects in a shard (about), in a page; children of a node; query classes in a block.
-SHARD, PAGE, FANOUT, BLOCK = 8192, 128, 16, 20_000
-#: Pivots, at most; beyond that shards grow.
-MAX_SHARDS = 2048
+#: Objects in a shard (about), in a tree (at most, about), in a page; children of a node.
+SHARD, TREE, PAGE, FANOUT = 8192, 32_768, 128, 16
+#: Pivots that are broadcast, at most. With more objects shards grow, but are cut into trees.
+PIVOTS = 2048
 _SLACK = 1e-6
 
 
@@ -141,18 +142,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): for each row of ``vectors`` for which ``is_query`` (on column id) holds, the k other rows with the
-    largest integer inner product, ties to the smaller id. Vectors are compared with those of their own dimension;
-    null ids take no part; rows that repeat an id and vector count once. Columns besides the two named are not read."""
+    """(query_id, rank, id, score): for each row of ``vectors`` for which ``is_query`` (on column id) holds, the k other
+    rows with the largest integer inner product, ties to the smaller id.
+
+    Vectors are compared with those of their own dimension; null ids take no part. Rows that repeat an id and vector
+    count once; rows that share an id but not the vector are rows of their own, each asked and each found. Components
+    so large that a score could leave 64 bits are an error. Columns besides the two named are not read.
+    """
     spark = vectors.sparkSession
     bounded_batches(spark)
     each = written(integer_vectors(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "vectors")
+    most, width = each.agg(F.max(F.greatest(F.array_max("v"), F.negate(F.array_min("v")))), F.max(F.size("v"))).first()
+    if (most or 0) ** 2 * (width or 0) >= 1 << 63:
+        raise ValueError("components too large for scores of 64 bits")
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     objects = each.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    asked = each.where(is_query)
-    n = each.count()
-    shards = max(1, min(MAX_SHARDS, n // SHARD))
-    pivots = [(len(r.v), np.array(r.v, np.float64)) for r in each.orderBy(F.xxhash64("id"), "id").limit(shards).collect()]
+    grouped = written(objects, "grouped")
+    shards = max(1, min(PIVOTS, grouped.count() // SHARD))
+    pivots = [(len(r.v), np.array(r.v, np.float64)) for r in grouped.orderBy(F.xxhash64("v"), "v").limit(shards).collect()]
     shared = spark.sparkContext.broadcast(pivots)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,27 +175,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64,
                     shard[at] = np.array([i for i, _ in own])[((c**2).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard * 65536 + dims)], names=[*b.schema.names, "shard"])
 
-    objects = written(objects.select("v", "ids").mapInArrow(home, "v array<long>, ids array<long>, shard long"), "objects")
-    classes = asked.groupBy("v").agg(F.min("id").alias("q"))
-    classes = written(classes.select("v", "q").mapInArrow(home, "v array<long>, q long, shard long"), "queries")
-
     def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard = b.column(1).to_numpy()
             for s in np.unique(shard):
                 x = _matrix(b.column(0).take(pa.array(np.flatnonzero(shard == s)))).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([x.sum(axis=0).tolist()]), pa.array([len(x)]), pa.array([float(np.sqrt(((x - _centre(shared.value, s)) ** 2).sum(axis=1)).max())])], names=["shard", "sums", "n", "radius"])
-
-    radii = {r.shard: r.radius for r in objects.select("v", "shard").mapInArrow(balls, "shard long, sums array<double>, n long, radius double").groupBy("shard").agg(F.max("radius").alias("radius")).collect()}
-    known = spark.sparkContext.broadcast(radii)
-    parts = max(1, -(-(n // 20) // BLOCK))
+                radius = float(np.sqrt(((x - _centre(shared.value, s)) ** 2).sum(axis=1)).max())
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(x)]), pa.array([radius])], names=["shard", "n", "radius"])
+
+    homed = written(grouped.select("v", "ids").mapInArrow(home, "v array<long>, ids array<long>, shard long"), "objects")
+    sizes = homed.select("v", "shard").mapInArrow(balls, "shard long, n long, radius double").groupBy("shard").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect()
+    known = spark.sparkContext.broadcast({r.shard: r.radius for r in sizes})
+    trees = F.broadcast(spark.createDataFrame([(r.shard, -(-r.n // TREE)) for r in sizes], "shard long, trees long"))
+    objects = homed.join(trees, "shard").select("shard", F.pmod(F.xxhash64("v"), "trees").alias("tree"), "v", "ids")
+    asked = each.where(is_query)
+    classes = asked.select("v").distinct().mapInArrow(home, "v array<long>, shard long")
+    classes = written(classes.select("v", "shard", F.monotonically_increasing_id().alias("q")), "queries")
 
     def searched(asked: DataFrame) -> DataFrame:
-        """asked: (shard, q, v, least) to (q, score, ids)."""
-        block = F.pmod(F.xxhash64("q"), F.lit(parts))
-        right = asked.select("shard", block.alias("block"), F.lit(1).alias("side"), "q", "v", F.array().cast("array<long>").alias("ids"), "least")
-        left = objects.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("q"), "v", "ids", F.lit(None).cast("long").alias("least"))
-        return left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "side").mapInArrow(lambda b: _searching(b, k + 1), "q long, score long, ids array<long>")
+        """asked: (shard, q, v, least) to (q, score, ids, same)."""
+        right = asked.join(trees, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), F.lit(1).alias("side"), "q", "v", F.array().cast("array<long>").alias("ids"), "least")
+        left = objects.select("shard", "tree", F.lit(0).alias("side"), F.lit(0).cast("long").alias("q"), "v", "ids", F.lit(None).cast("long").alias("least"))
+        return left.unionByName(right).repartition("shard", "tree").sortWithinPartitions("shard", "tree", "side").mapInArrow(lambda b: _searching(b, k + 1), "q long, score long, ids array<long>, same boolean")
 
     first = written(searched(classes.select("shard", "q", "v", F.lit(None).cast("long").alias("least"))), "first")
     kth = _best(first, ["q"], k + 1).groupBy("q").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("low"))
@@ -214,10 +222,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, scale: int = 64,
     second = written(searched(bound.mapInArrow(others, "shard long, q long, v array<long>, least long")), "second")
     best = _best(first.unionByName(second), ["q"], k + 1)
     named = asked.select(F.col("id").alias("query_id"), "v").join(classes.select("v", "q"), "v").select("query_id", "q")
-    out = named.join(best, "q").where("query_id <> id")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    bounded_batches(spark)
-    return out.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    out = named.join(best, "q").where(~(F.col("same") & (F.col("query_id") == F.col("id"))))
+    order = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "id"))
+    out = written(out.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score"), "top")
+    release(each, grouped, homed, classes, first, second)
+    return out
 
 
 def _centre(pivots: list[tuple[int, np.ndarray]], shard: int) -> np.ndarray:
@@ -226,24 +235,24 @@ def _centre(pivots: list[tuple[int, np.ndarray]], shard: int) -> np.ndarray:
 
 
 def _best(found: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k best ids of each query: (q, score, id)."""
-    each = found.select("q", "score", F.explode("ids").alias("id"))
-    return each.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).drop("r")
+    """The k best rows of each query: (q, score, id, same)."""
+    each = found.select("q", "score", "same", F.explode("ids").alias("id"))
+    return each.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id", "same"))).where(F.col("r") <= k).drop("r")
 
 
 def _searching(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and block, objects before queries; queries run in blocks of an Arrow batch."""
+    """Rows sorted by shard and tree, objects before queries; queries run in blocks of an Arrow batch."""
     key, held, ids, tree = None, [], [], None
     for b in batches:
         if not b.num_rows:
             continue
-        shard, block, side, q = (b.column(i).to_numpy() for i in range(4))
+        shard, number, side, q = (b.column(i).to_numpy() for i in range(4))
         least = b.column(6).to_numpy(zero_copy_only=False).astype(np.float64)
         least = np.where(np.isnan(least), -np.inf, least)
-        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(number) != 0) | (np.diff(side) != 0)) + 1
         for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-            if (shard[a], block[a]) != key:
-                key, held, ids, tree = (shard[a], block[a]), [], [], None
+            if (shard[a], number[a]) != key:
+                key, held, ids, tree = (shard[a], number[a]), [], [], None
             x = _matrix(b.column(4).slice(a, z - a))
             if side[a] == 0:
                 held.append(x)
@@ -254,4 +263,5 @@ def _searching(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             tree = tree or MTree(np.concatenate(held))
             who, rows, scores = tree.search(x, k, least[a:z])
             if len(who):
-                yield pa.RecordBatch.from_arrays([pa.array(q[a:z][who]), pa.array(scores), pa.array([ids[r] for r in rows.tolist()], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+                same = (tree.x[rows] == x[who]).all(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(q[a:z][who]), pa.array(scores), pa.array([ids[r] for r in rows.tolist()], pa.list_(pa.int64())), pa.array(same)], names=["q", "score", "ids", "same"])

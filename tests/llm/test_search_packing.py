@@ -13,33 +13,43 @@ from slabwise.llm import packing, topk_search
 
 
 def brute_top(rows, k):
-    v = {}
-    for i, x in rows:
-        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
-            v[i] = [math.floor(64 * float(np.float32(c))) for c in x]
+    fine = {(i, tuple(x)) for i, x in rows if i is not None and x and all(c is not None and math.isfinite(c) for c in x)}
+    v = [(i, x, [math.floor(64 * float(np.float32(c))) for c in x]) for i, x in fine]
     out = []
-    for q in (i for i in v if i % 5 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
-        out += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
+    for q, own, e in v:
+        if q % 5 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), c) for c, other, f in v if (c, other) != (q, own) and len(f) == len(e))[:k]
+            out += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
-def test_top_k_is_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard,tree", [(8192, 32768), (40, 25), (100_000, 50)])
+def test_top_k_is_brute_force(spark, monkeypatch, shard, tree):
     monkeypatch.setattr(topk_search, "SHARD", shard)
+    monkeypatch.setattr(topk_search, "TREE", tree)
     r = np.random.default_rng(2)
     rows = [(i, r.normal(size=6).tolist()) for i in range(400)]
     rows += [(1000 + i, [1.0] * 6) for i in range(90)]  # ties beyond k
     rows += [(2000, None), (2001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, []), (2005, [0.5, 0.5]), (2010, [0.1, -0.5]), (None, [1.0] * 6), (2015, [0.0] * 6), (5, rows[5][1])]
+    rows += [(10, rows[11][1]), (10, [1.5] * 6), (0, [1.0] * 6)]  # ids that repeat with other vectors
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("v", F.lit("clash"))
     got = topk_search.top_k(d, F.col("id") % 5 == 0, 20).collect()
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, 20)
 
 
+@pytest.mark.parametrize("k", [3, 20])
+def test_top_k_of_an_id_with_two_vectors(spark, k):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((i, [i / 10, 1 - i / 10]) for i in range(1, 5))]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") == 0, k).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, k)
+
+
 def test_top_k_of_few_and_no_rows(spark):
     d = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk_search.top_k(d, F.col("id") % 5 == 0).collect()] == [(0, 1, 1, 64 * 128)]
     assert topk_search.top_k(d.limit(0), F.col("id") % 5 == 0).count() == 0
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.top_k(spark.createDataFrame([(0, [1e15]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("id") == 0)
 
 
 def test_m_tree_avoids_computations():
