@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import BLANKS, lower_ascii, bounded_batches, written
+from slabwise.llm.common import BLANKS, bounded_batches, lower_ascii, release, written
 
+#: Bytes of bitmaps that are broadcast to the scan, at most; with more, the texts are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 _NO_ID = -(2**63)
 _MARK, _OPEN, _NOTE = 0, 1, 2
 _OUT = "kind int, h1 long, h2 long, id long, ver long, pos int, n long"
@@ -117,8 +119,9 @@ def line_marks(docs: DataFrame, min_docs: int = 10, *, keep_first: bool = False,
     each = docs.select(*_doc(id_col, text_col), F.posexplode(hashed).alias("pos", "x")).where("x.long").select("x.h1", "x.h2", "id", "ver", "pos")
     order = ["h1", "h2", "id", "ver", "pos"]
     bounded_batches(spark)
+    each = written(each, "lines")  # splitting and hashing once, not once more for the bounds of the ranges
     out = written(each.repartitionByRange("h1", "h2", "id").sortWithinPartitions(*order).mapInArrow(lambda b: _stream(b, min_docs, keep_first), _OUT), "line-marks")
-    bounded_batches(spark)
+    release(each)
     notes = out.where(F.col("kind") == _NOTE).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min(F.struct("id", "ver", "pos")).alias("first"))
     frequent = notes.where(F.col("docs") >= min_docs)
     marks = out.where(F.col("kind") == _MARK).select("id", "ver", "pos")
@@ -156,15 +159,20 @@ def kept_lines(text: str, keep: bytes | None) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(stay), "\n".join(stay)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, *, keep_first: bool = False, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay in ``text_col``, and new columns n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, *, keep_first: bool = False, min_chars: int = 1, counts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines that stay in ``text_col``, and, with ``counts``, new columns n_lines and n_dropped.
 
     A line's key is the line without outer ASCII blanks, A-Z in lower case. Null and empty texts are one empty line.
     Rows that share an id are one document when documents are counted, a null id too; each keeps its own bitmap.
-    Columns named n_lines or n_dropped in the input are replaced; others pass through.
+    With ``counts``, columns named n_lines or n_dropped in the input are replaced; all others pass through. An empty
+    table gives no rows.
     """
-    maps = keep_bitmaps(line_marks(docs, min_docs, keep_first=keep_first, min_chars=min_chars, id_col=id_col, text_col=text_col))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    marks = line_marks(docs, min_docs, keep_first=keep_first, min_chars=min_chars, id_col=id_col, text_col=text_col)
+    maps = written(keep_bitmaps(marks), "bitmaps")
+    if (maps.agg(F.sum(F.octet_length("keep") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
+        maps = F.broadcast(maps)
+    more = ["n_lines", "n_dropped"] if counts else []
+    names = [c for c in docs.columns if c not in more]
     left = docs.select(F.struct(*names).alias("row"), *_doc(id_col, text_col))
     both = left.join(maps, ["id", "ver"], "left").select("row", "keep")
     at = next(i for i, c in enumerate(names) if c == text_col)
@@ -174,10 +182,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, *, keep_first: bool = False
             fields = b.column(0).flatten()
             done = [kept_lines(t or "", k) for t, k in zip(fields[at].to_pylist(), b.column(1).to_pylist(), strict=True)]
             fields[at] = pa.array([x[2] for x in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*fields, pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*fields, *(pa.array([x[i] for x in done], pa.int64()) for i in range(len(more)))], names=[*names, *more])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return both.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_lines long, n_dropped long")
+    return both.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} long" for c in more]))
 
 
 def digest(done: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

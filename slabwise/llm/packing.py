@@ -1,9 +1,9 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is small, so dynamic programming over it finds the bucket boundaries with the least
-padding. Inside a bucket, documents are numbered without gathering them: rows are dealt into hashed chunks, numbered
-there, and moved by the counts of the chunks before, so a bucket with most rows is still many tasks. Batches of a
-token budget are cut from that numbering.
+Dynamic programming over the global histogram of lengths finds the bucket boundaries with the least padding. Inside a
+bucket, documents are numbered in the order of their ids without gathering them: rows are dealt by ranges of (bucket,
+id) and keep their place in the range, and the counts of the ranges before a place give the number. Batches of a token
+budget are cut from that numbering.
 """
 
 from __future__ import annotations
@@ -12,13 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from slabwise.llm.common import BLANKS, written
+from slabwise.llm.common import BLANKS, release, written
 
-#: Lengths up to this are told apart; longer ones share a cell with others within 1/2048 of their size, so that the
-#: histogram has at most about 60,000 cells whatever the data.
-EXACT = 4096
-#: Rows in a chunk, about.
-CHUNK = 20_000
+#: Bits of a row's number inside its partition, as monotonically_increasing_id has them.
+_ROW_BITS = 33
 
 
 def word_count(text: Column) -> Column:
@@ -73,25 +70,30 @@ def pack(docs: DataFrame, length: Column, *, buckets: int = 16, budget: int = 16
     """(id, n_tokens, bucket_id, bucket_len, batch_no, slot): one row per input row.
 
     A batch holds as many documents of its bucket as fit ``budget`` when padded to bucket_len, one at least; slot is
-    the place in it. Documents without tokens are in the bucket of the shortest. Null ids are packed like others;
-    repeated rows get slots of their own; columns besides ``id_col`` and those in ``length`` are not read; an empty
-    table gives no rows.
+    the place in it, in the order of ids, null first, then lengths. Of equally good boundaries, those with fewer
+    buckets and then the larger ones are taken. Documents without tokens are in the bucket of the shortest. Null ids
+    are packed like others; repeated rows get slots of their own; columns besides ``id_col`` and those in ``length``
+    are not read; an empty table gives no rows.
+
+    The driver holds the histogram: k different lengths need k * k / 2 tokens at least, so 10^12 tokens have 1.4
+    million at most.
     """
-    sized = written(docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n")), "lengths")
-    step = F.when(F.col("n") <= EXACT, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n")) - 11).cast("long"))
-    cells = sized.groupBy(F.ceil(F.col("n") / step).alias("cell"), step.alias("step")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).collect()
-    bounds = optimal_buckets([(r.most, r.c, r.s) for r in sorted(cells, key=lambda r: r.most)], buckets)
-    rows = sum(r.c for r in cells)
-    chunks = max(1, -(-rows // CHUNK))
+    size = F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long")
+    sized = written(docs.select(F.col(id_col).alias("id"), size.alias("n")), "lengths")
+    histogram = sorted((r.n, r.c) for r in sized.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect())
+    bounds = optimal_buckets([(n, c, n * c) for n, c in histogram], buckets)
     cut = F.array(*(F.lit(b).cast("long") for b in bounds or [0]))
     bucket = sum(((F.col("n") > b).cast("int") for b in bounds[:-1]), F.lit(0))
-    dealt = sized.select("id", "n", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "n"), F.lit(chunks)).alias("chunk"))
-    counts = dealt.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("bucket", "chunk").orderBy("id", "n")
-    placed = dealt.withColumn("i", F.row_number().over(own)).join(offsets, ["bucket", "chunk"])
-    at = F.col("before") + F.col("i") - 1
+    order = ["bucket", "id", "n"]
+    dealt = sized.select("id", "n", bucket.alias("bucket"), F.monotonically_increasing_id().alias("u")).repartitionByRange(*order, "u").sortWithinPartitions(*order)
+    placed = written(dealt.select("id", "n", "bucket", F.monotonically_increasing_id().alias("row")), "placed")
+    release(sized)
+    part = F.shiftright("row", _ROW_BITS).alias("part")
+    ranges = placed.groupBy("bucket", part).agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first"))  # buckets and partitions together, about
+    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("bucket", "part", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    at = F.col("row") + F.col("shift")
     size = F.element_at(cut, F.col("bucket") + 1)
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(size, F.lit(1).cast("long"))))
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("bucket").alias("bucket_id"), size.alias("bucket_len"), F.floor(at / room).alias("batch_no"), (at % room).cast("int").alias("slot"))
+    joined = placed.withColumn("part", part).join(F.broadcast(ranges), ["bucket", "part"])
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("bucket").alias("bucket_id"), size.alias("bucket_len"), F.floor(at / room).alias("batch_no"), (at % room).cast("int").alias("slot"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import lower_ascii, written
+from slabwise.llm.common import lower_ascii, release, written
 
 #: Kinds in report order; the last is what the co-occurrence estimate adds.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -29,6 +29,7 @@ _PATTERNS = {
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _WORD_END = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]++"
 _SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
@@ -49,19 +50,36 @@ def _likely(kind: str, t: Column) -> Column:
     return t.rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][0-9\x20-]{12}")
 
 
-def _located(t: Column, pattern: Column) -> Column:
-    """Matches with their places in code points: what lies between matches gives the places."""
-    pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.element_at(acc.found, i)
-        start = acc.at + F.length(F.element_at(acc.pieces, i))
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), F.array_append(acc.out, F.struct(start.alias("start"), end.alias("end"), m.alias("found"))).alias("out"), acc.found.alias("found"), acc.pieces.alias("pieces"))
 
+def _located(t: Column, pattern: Column) -> Column:
+    """Matches with their places in code points: what lies between matches gives the places.
+
+    Appending to an array copies it, so places are added up in stretches of about the square root of the number of
+    matches, and the stretches put together: the work grows with the power 1.5 of the matches of one text.
+    """
     none = F.array().cast(_SPANS)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"), found.alias("found"), pieces.alias("pieces"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda acc: acc.out)).otherwise(none)
+    pairs = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), m.alias("found")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc.at + x.gap
+        end = start + x.len
+        return F.struct(end.alias("at"), F.array_append(acc.out, F.struct(start.alias("start"), end.alias("end"), x.found.alias("found"))).alias("out"))
+
+    def placed(parts: Column) -> Column:
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x.gap + x.len))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        each = F.zip_with(parts, begins, lambda part, at: F.when(part.isNotNull(), F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc.out)).otherwise(none))
+        return F.flatten(each)
+
+    def cut(hits: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(hits))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(hits), size), lambda i: F.slice(hits, i, size))
+
+    return _let(F.filter(pairs, lambda x: x.found.isNotNull()), lambda hits: F.when(F.size(hits) > 0, _let(cut(hits), placed)).otherwise(none))
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,16 +121,26 @@ def _words(c: Column) -> Column:
 
 
 def _contexts(t: Column, base: Column, reach: int, words: int) -> Column:
-    """For each base span its entity and the terms near it: the last words before and the first after, whole ones."""
+    """For each base span its entity and the terms near it: the last words before and the first after, whole ones.
+
+    Texts are cut into stretches first, as a substring is found by counting characters from the beginning.
+    """
+    size = max(512, reach)
+
+    def window(parts: Column, at: Column, n: Column) -> Column:
+        """``n`` code points, ``reach`` at most, from place ``at`` on."""
+        i = F.floor(at / size).cast("int")
+        two = F.concat(F.coalesce(F.get(parts, i), F.lit("")), F.coalesce(F.get(parts, i + 1), F.lit("")))
+        return F.substring(two, at - i * size + 1, n)
 
-    def near(x: Column) -> Column:
-        before = F.substring(t, F.greatest(x.start - reach, F.lit(0)) + 1, F.least(x.start, F.lit(reach)))
-        after = F.substring(t, x.end + 1, F.lit(reach))
+    def near(parts: Column, x: Column) -> Column:
+        before = window(parts, F.greatest(x.start - reach, F.lit(0)), F.least(x.start, F.lit(reach)))
+        after = window(parts, x.end, F.lit(reach))
         left, right = _words(F.concat(F.lit(" "), before)), _words(F.concat(after, F.lit(" ")))
         cut = F.concat(F.slice(F.reverse(left), 1, words), F.slice(right, 1, words))
         return F.struct(F.xxhash64(x.kind, x.value).alias("entity"), F.array_distinct(F.filter(cut, lambda w: F.length(w) >= 3)).alias("terms"), F.xxhash64(before, after).alias("context"))
 
-    return F.transform(base, near)
+    return _let(F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)), lambda parts: F.transform(base, lambda x: near(parts, x)))
 
 
 def _surprise(n: Column, mean: Column) -> Column:
@@ -125,27 +153,38 @@ def revealing_terms(docs: DataFrame, found: DataFrame, *, text_col: str, max_cha
     make the entity ``min_bits`` likelier (smoothed), and which meet it in more distinct contexts, or documents, than
     chance gives with probability ``max_chance`` over all pairs seen. None without entities."""
     each = found.select("ver", F.explode("contexts").alias("c"))
-    entities = each.groupBy("c.entity").agg(F.count(F.lit(1)).alias("uses"), F.sum(F.size("c.terms")).alias("slots"), F.countDistinct("ver").alias("texts"))
+    held = each.groupBy("c.entity", "ver").agg(F.count(F.lit(1)).alias("uses"), F.sum(F.size("c.terms")).alias("slots"))
+    place = [F.bit_xor(F.xxhash64(F.lit(i), "ver")) for i in (1, 2)]  # tells sets of documents apart
+    entities = held.groupBy("entity").agg(F.sum("uses").alias("uses"), F.sum("slots").alias("slots"), F.count(F.lit(1)).alias("texts"), F.xxhash64(F.count(F.lit(1)), *place).alias("class"))
     entities = written(entities, "entities")
     if entities.isEmpty():
+        release(entities)
         return None
-    near = each.select("c.entity", F.explode("c.terms").alias("term"), F.col("c.context").alias("at"), F.lit(1).alias("kind"))
-    own = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c.entity))).alias("entity"), "said", F.col("ver").alias("at"))
-    whole = own.select("entity", F.explode("said").alias("term"), "at", F.lit(0).alias("kind"))
-    once = near.unionByName(whole).groupBy("kind", "entity", "term", "at").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(once.groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n")), "pairs")
-    tests = {r[0]: r[1] for r in pairs.groupBy("kind").count().collect()}
+    near = each.select("c.entity", F.explode("c.terms").alias("term"), F.col("c.context").alias("at")).groupBy("entity", "term", "at").agg(F.count(F.lit(1)).alias("n"))
+    near = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n")).withColumn("members", F.lit(1).cast("long"))
+    near = near.join(entities.select("entity", "uses", "slots", "texts"), "entity").select(F.lit(1).alias("kind"), "term", "times", "n", "members", "uses", "slots", "texts")
+    # Entities of the same documents meet the same terms there, so they are one: a text with many entities and many
+    # terms makes no row for each pair. The one used least tells most.
+    classes = entities.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("uses").alias("uses"), F.first("texts").alias("texts"))
+    within = held.select("entity", "ver").join(entities.select("entity", "class"), "entity").select("class", "ver").distinct()
+    said = found.select("ver", F.explode("said").alias("term")).groupBy("ver", "term").agg(F.count(F.lit(1)).alias("n"))
+    whole = said.join(within, "ver").groupBy("class", "term").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"))
+    whole = whole.join(classes, "class").select(F.lit(0).alias("kind"), "term", "times", "n", "members", "uses", F.lit(0).cast("long").alias("slots"), "texts")
+    pairs = written(near.unionByName(whole), "pairs")
+    tests = {r[0]: r[1] for r in pairs.groupBy("kind").agg(F.sum("members")).collect()}
     uses = docs.select(F.explode(_words(F.col(text_col))).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("all"))
     uses = written(uses, "uses")
     words, texts = uses.agg(F.sum("all")).first()[0], docs.count()
     total = entities.agg(F.sum("uses")).first()[0]
     likely = F.greatest("all", "n")
-    counted = pairs.join(uses, "term").join(entities, "entity")
+    counted = pairs.join(uses, "term")
     mean = F.when(F.col("kind") == 1, likely * F.col("slots") / F.lit(float(words or 1))).otherwise(likely * F.col("texts") / F.lit(float(texts or 1)))
     needed = F.when(F.col("kind") == 1, F.lit(float(tests.get(1, 1)))).otherwise(F.lit(float(tests.get(0, 1)))) / max_chance
     bits = F.log2((F.col("n") + 0.5) / (likely + 1.0) / ((F.col("uses") + 0.5) / F.lit(total + 1.0)))
     good = (F.col("n") / likely >= min_share) & (bits >= min_bits) & (_surprise(F.col("times").cast("double"), mean) >= F.log2(needed))
-    return written(counted.where(good).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
+    terms = written(counted.where(good).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
+    release(entities, pairs, uses)
+    return terms
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, words: int = 4, max_chance: float = 0.05, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
@@ -155,9 +194,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     too. Columns besides the two named are not read; an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("ver"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = own.select("id", "ver", "text", find_base(F.col("text")).alias("base")).where(F.size("base") > 0)
+    base = own.select("id", "ver", "text", find_base(F.col("text")).alias("hits")).where(F.size("hits") > 0)
     place = lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"))
-    found = written(base.select("id", "ver", F.transform("base", place).alias("base"), _contexts(F.col("text"), F.col("base"), reach, words).alias("contexts"), F.filter(_words(F.col("text")), lambda w: F.length(w) >= 3).alias("said")), "pii")
+    found = written(base.select("id", "ver", F.transform("hits", place).alias("base"), _contexts(F.col("text"), F.col("hits"), reach, words).alias("contexts"), F.filter(_words(F.col("text")), lambda w: F.length(w) >= 3).alias("said")), "pii")
     once = lambda df, c: df.groupBy("id", "ver").agg(F.first(c).alias(c))
     out = _left(own.select("id", "ver"), once(found, "base"))
     spans = F.coalesce("base", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
@@ -165,14 +204,16 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if terms is not None:
         few = terms.count() <= BROADCAST_TERMS
         word = own.select("id", "ver", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-        marked = word.join(F.broadcast(terms) if few else terms, "term")
-        sets = written(marked.groupBy("id", "ver").agg(F.collect_set("term").alias("terms")), "marked")
-        joined = _left(sets, own)
-        rx = F.concat(F.lit(r"(?<![A-Za-z\x80-\x{10FFFF}])(?:"), F.array_join(F.reverse(F.array_sort("terms")), "|"), F.lit(r")(?![A-Za-z\x80-\x{10FFFF}])"))
-        at = F.transform(_located(lower_ascii(F.col("text")), rx), lambda x: F.struct(F.lit("term").alias("kind"), x.start.alias("start"), x.end.alias("end")))
-        out = _left(out, joined.select("id", "ver", at.alias("more")).groupBy("id", "ver").agg(F.first("more").alias("more")))
+        known = F.broadcast(terms) if few else terms
+        sets = written(word.join(known, "term", "left_semi").select("id", "ver").distinct(), "marked")
+        every = _left(sets, own).select("id", "ver", F.explode(_located(lower_ascii(F.col("text")), F.lit(_WORD))).alias("x"))
+        marks = every.select("id", "ver", "x.*").join(known, F.col("found") == F.col("term"), "left_semi")
+        at = F.transform(F.array_sort(F.collect_set(F.struct("start", "end"))), lambda x: F.struct(F.lit("term").alias("kind"), x.start.alias("start"), x.end.alias("end")))
+        out = _left(out, marks.groupBy("id", "ver").agg(at.alias("more")))
         spans = F.concat(spans, F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    return out.select(F.col("id").alias(id_col), spans.alias("spans"))
+    out = written(out.select(F.col("id").alias(id_col), spans.alias("spans")), "pii-spans")
+    release(found, *([terms, sets] if terms is not None else []))
+    return out
 
 
 def _left(a: DataFrame, b: DataFrame) -> DataFrame:

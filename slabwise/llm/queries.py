@@ -107,4 +107,17 @@ f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op10_packing": r"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+h AS (SELECT n, count(*) AS c FROM d GROUP BY n),
+cells AS (SELECT row_number() OVER (ORDER BY n) AS j, n, CAST(sum(c) OVER (ORDER BY n) AS BIGINT) AS cc, CAST(sum(c * n) OVER (ORDER BY n) AS BIGINT) AS tt FROM h),
+ends AS (SELECT * FROM cells UNION ALL SELECT 0, 0, 0, 0),
+dp AS (SELECT 1 AS k, j, n * cc - tt AS cost, CAST(0 AS BIGINT) AS frm FROM cells
+UNION ALL SELECT any_value(dp.k) + 1, c.j, min(dp.cost + c.n * (c.cc - e.cc) - (c.tt - e.tt)), max_by(dp.j, (-(dp.cost + c.n * (c.cc - e.cc) - (c.tt - e.tt)), dp.j))
+FROM dp JOIN ends e ON e.j = dp.j JOIN cells c ON c.j > dp.j WHERE dp.k < 16 GROUP BY c.j, c.n),
+top AS (SELECT k, j FROM dp WHERE j = (SELECT max(j) FROM cells) ORDER BY cost, k LIMIT 1),
+path AS (SELECT k, j FROM top UNION ALL SELECT path.k - 1, dp.frm FROM path JOIN dp ON dp.k = path.k AND dp.j = path.j WHERE path.k > 1),
+bounds AS (SELECT CAST(path.k - 1 AS INTEGER) AS bucket_id, n AS bucket_len, coalesce(lag(n) OVER (ORDER BY path.k), -1) AS low FROM path JOIN cells USING (j)),
+placed AS (SELECT doc_id, d.n, bucket_id, bucket_len, row_number() OVER (PARTITION BY bucket_id ORDER BY doc_id NULLS FIRST, d.n) - 1 AS i, greatest(1, 16384 // greatest(bucket_len, 1)) AS room FROM d JOIN bounds ON d.n > low AND d.n <= bucket_len)
+SELECT doc_id, n AS n_tokens, bucket_id, bucket_len, CAST(i // room AS BIGINT) AS batch_no, CAST(i % room AS INTEGER) AS slot FROM placed""",
 }

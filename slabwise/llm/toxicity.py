@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
-Token log-odds between toxic and clean training documents, with an informative Dirichlet prior, give each term a
-score; all other tokens have a small negative one. A linear-time scan finds every maximal segment of a document, an
-extreme-value (Karlin-Altschul) law turns segment scores into significances, and a calibration of the significant
-segments gives the document's score.
+Token log-odds between toxic and clean training documents, with an informative Dirichlet prior, give each term that
+has evidence enough a score, positive or negative; tokens without have a small negative one. A linear-time scan finds
+every maximal segment of a document, an extreme-value (Karlin-Altschul) law turns segment scores into significances,
+and a calibration of the significant segments gives the document's score.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import labelled_sample, logistic, bounded_batches, words_of
+from slabwise.llm.common import bounded_batches, labelled_sample, logistic, words_of
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
-#: Terms in the lexicon, at most; they are those with the most evidence.
-LEXICON = 5_000
-#: Score of a token outside the lexicon.
-GAP = -0.5
+#: Score of a token without evidence, at most, the least that one with evidence against it gets, and the mean score of
+#: clean tokens, at most: an extreme-value law needs a negative one.
+GAP, LEAST, MEAN = -0.5, -2.0, -0.25
 #: A token is scored by itself and by its beginnings of these byte lengths; the best counts.
 PREFIXES = range(4, 11)
 _MEMO = 300_000
@@ -37,7 +36,8 @@ def keys_of(word: bytes) -> list[bytes]:
 
 
 class TermScores(dict):
-    """Scores of words by the lexicon, filled as words are met and emptied when large; absent words score None."""
+    """Scores of words by the lexicon, filled as words are met and emptied when large; absent words score None. The
+    best positive key counts; without one, the word's own evidence against it does."""
 
     def __init__(self, terms: dict[bytes, float]) -> None:
         super().__init__()
@@ -46,7 +46,8 @@ class TermScores(dict):
     def __missing__(self, word: bytes) -> float | None:
         if len(self) > _MEMO:
             self.clear()
-        found = self[word] = max((s for k in keys_of(word) if (s := self.terms.get(k))), default=None)
+        best = max((s for k in keys_of(word) if (s := self.terms.get(k, 0.0)) > 0), default=None)
+        found = self[word] = best if best is not None else self.terms.get(word)
         return found
 
     def __reduce__(self):
@@ -56,6 +57,7 @@ class TermScores(dict):
 @dataclass
 class ToxicModel:
     terms: TermScores
+    gap: float  # score of a token without evidence
     decay: float  # lambda of the extreme-value law
     log_k: float
     weights: np.ndarray  # calibration; the last is the intercept
@@ -64,7 +66,7 @@ class ToxicModel:
 def maximal_segments(scores: list[tuple[int, float]], gap: float = GAP) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a token sequence, in linear time.
 
-    ``scores`` has (position, positive score) of scored tokens in order; every other token scores ``gap`` < 0.
+    ``scores`` has (position, score) of scored tokens in order; every other token scores ``gap`` < 0.
     """
     kept: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum at its end
     back: list[int] = []  # for each, the nearest earlier one that starts lower
@@ -72,6 +74,9 @@ def maximal_segments(scores: list[tuple[int, float]], gap: float = GAP) -> list[
     for at, s in scores:
         total += gap * (at - last - 1)
         last = at
+        if s <= 0:
+            total += s
+            continue
         a, low, high = at, total, total + s
         total = high
         while True:
@@ -92,7 +97,7 @@ def segments(raw: bytes | None, model: ToxicModel) -> tuple[int, list[tuple[int,
     words = words_of(raw)
     hits = [(i, s) for i, s in enumerate(map(model.terms.__getitem__, words)) if s is not None]
     base = model.log_k + math.log(max(1, len(words)))
-    return len(words), [(a, b, s, base - model.decay * s) for a, b, s in maximal_segments(hits)] if hits else []
+    return len(words), [(a, b, s, base - model.decay * s) for a, b, s in maximal_segments(hits, model.gap)] if hits else []
 
 
 def _features(segs: list[tuple[int, int, float, float]]) -> list[float]:
@@ -102,7 +107,8 @@ def _features(segs: list[tuple[int, int, float, float]]) -> list[float]:
 
 
 def _decay(scores: np.ndarray, share: np.ndarray) -> float:
-    """Positive root of sum(share * exp(x * score)) = 1; scores must have a negative mean."""
+    """Positive root of sum(share * exp(x * score)) = 1; scores must have a negative mean. Without positive ones there
+    is none, and the largest tried is taken."""
     lo, hi = 0.0, 1.0
     f = lambda x: float((share * np.exp(np.clip(x * scores, -700, 700))).sum()) - 1
     while f(hi) < 0 and hi < 64:
@@ -114,22 +120,23 @@ def _decay(scores: np.ndarray, share: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_ROWS, prior: float = 100.0, min_docs: int = 3, min_evidence: float = 12.0) -> ToxicModel:
-    """Fit on at most ``rows`` labelled rows for which ``train`` (on column id) holds; equal texts count once."""
+    """Fit on at most ``rows`` labelled rows for which ``train`` (on column id) holds; equal texts count once, as toxic
+    if any of them is."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sample = labelled_sample(docs, labels, "toxic", train, rows).dropDuplicates(["text"]).cache()
+    sample = labelled_sample(docs, labels, "toxic", train, rows).groupBy("text").agg(F.max("y").alias("y")).cache()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             n = [0, 0]
-            for raw, y in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            for raw, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 seen[y].update({k for w in set(words_of(raw.as_py())) for k in keys_of(w)})
                 n[y] += 1
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array([b"", *words], pa.binary()), pa.array([n[0], *(seen[0][w] for w in words)], pa.int64()), pa.array([n[1], *(seen[1][w] for w in words)], pa.int64())], names=["w", "n0", "n1"])
 
-    table = sample.select("id", "text", "y").mapInArrow(counts, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
+    table = sample.mapInArrow(counts, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
     total = table.where(F.length("w") == 0).first()
     t0, t1 = (float(total.n0), float(total.n1)) if total else (0.0, 0.0)
     terms: dict[bytes, float] = {}
@@ -140,18 +147,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_
         n, rate = F.col("n0") + F.col("n1"), t1 / (t0 + t1)
         part = lambda k, r: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / n / r)).otherwise(0.0)
         evidence = part("n1", rate) + part("n0", 1 - rate)  # nats against the word being as usual in clean documents
-        scored = table.where((F.length("w") > 0) & (F.col("n1") >= min_docs)).select("w", delta.alias("d"), evidence.alias("e"))
-        best = scored.where((F.col("e") >= min_evidence) & (F.col("d") > 0)).orderBy(F.desc("e"), "w").limit(LEXICON)
-        terms = {bytes(r.w): min(12.0, float(r.d)) for r in best.collect()}
-    model = ToxicModel(TermScores(terms), 1.0, 0.0, np.zeros(6))
+        scored = table.where((F.length("w") > 0) & (n >= min_docs)).select("w", "n1", delta.alias("d"), evidence.alias("e"))
+        whole = F.substring("w", 1, 1) != F.lit(b"^")  # a beginning is no evidence against a word
+        sure = scored.where((F.col("e") >= min_evidence) & F.when(F.col("d") > 0, F.col("n1") >= min_docs).otherwise(whole))
+        terms = {bytes(r.w): min(12.0, max(LEAST, float(r.d))) for r in sure.collect()}  # of the sample, so bounded by it
+    model = ToxicModel(TermScores(terms), GAP, 1.0, 0.0, np.zeros(6))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = Counter(s for raw in b.column(0) for s in map(model.terms.__getitem__, words_of(raw.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["s", "c"])
+
+    usual = sample.where("y = 0").select("text").mapInArrow(tokens, "s double, c long").groupBy("s").agg(F.sum("c").alias("c")).collect() if terms else []
+    scored, blank = [(r.s, r.c) for r in usual if r.s is not None], sum(r.c for r in usual if r.s is None)
+    if usual:
+        n = blank + sum(c for _, c in scored)
+        model.gap = min(GAP, (MEAN * n - sum(s * c for s, c in scored)) / max(1, blank))
+        model.decay = _decay(np.array([model.gap, *(s for s, _ in scored)]), np.array([blank, *(c for _, c in scored)]) / n)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [segments(raw.as_py(), model) for raw in b.column(1)]
+            done = [segments(raw.as_py(), model) for raw in b.column(0)]
             top = [max((s for _, _, s, _ in segs), default=0.0) for _, segs in done]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([n for n, _ in done], pa.int64()), pa.array(top, pa.float64()), pa.array([[[float(x) for x in s] for s in segs] for _, segs in done], pa.list_(pa.list_(pa.float64())))], names=["y", "n", "top", "segs"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in done], pa.int64()), pa.array(top, pa.float64()), pa.array([[[float(x) for x in s] for s in segs] for _, segs in done], pa.list_(pa.list_(pa.float64())))], names=["y", "n", "top", "segs"])
 
-    got = sample.select("id", "text", "y").mapInArrow(hits, "y int, n long, top double, segs array<array<double>>").collect()
+    got = sample.mapInArrow(hits, "y int, n long, top double, segs array<array<double>>").collect()
     table.unpersist()
     sample.unpersist()
     y = np.array([r.y for r in got], float)
@@ -159,12 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, rows: int = TRAIN_
         rate = (y.sum() + 1) / (len(y) + 2)
         model.weights = np.array([0.0] * 5 + [math.log(rate / (1 - rate))])
         return model
-    clean = [r for r in got if r.y == 0]
-    tokens = sum(r.n for r in clean) or 1
-    found = np.array([s[2] for r in clean for s in r.segs])
-    values, share = np.append(found, GAP), np.append(np.full(len(found), 1 / tokens), max(0.0, 1 - len(found) / tokens))
-    model.decay = _decay(values, share) if len(found) else 1.0
-    model.log_k = math.log(max(1, len(found)) / tokens)  # places a token where a segment can begin
+    found = sum(len(r.segs) for r in got if r.y == 0)
+    model.log_k = math.log(max(1, found) / max(1, sum(r.n for r in got if r.y == 0)))  # places a token where a segment can begin
     x = np.array([_features([(int(a), int(b), s, model.log_k + math.log(max(1, r.n)) - model.decay * s) for a, b, s, _ in r.segs]) for r in got])
     model.weights = logistic(x, y)
     return model

@@ -80,23 +80,46 @@ def test_buckets_have_the_least_padding(seed):
         assert len(bounds) <= k and bounds == sorted(set(bounds)) and padding(lengths, bounds) == best
 
 
-def test_batches_fill_in_order_of_slots(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CHUNK", 50)
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_batches_fill_in_order_of_slots(spark, parts):
     r = random.Random(3)
-    rows = [(i, " ".join(["w"] * r.choice([1, 5, 5, 5, 40, 400]))) for i in range(1000)] + [(None, None), (5, ""), (7, "a b"), (7, "a b"), (8, "z " * 9000)]
+    rows = [(i, " ".join(["w"] * r.choice([1, 5, 5, 5, 40, 400, 5000 + i, 9000 + i]))) for i in range(1000)] + [(None, None), (None, ""), (5, ""), (7, "a b"), (7, "a b"), (8, "z " * 90_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit(1)).withColumn("n", F.lit(2))
-    got = packing.pack(d, packing.word_count(d.text), buckets=4, budget=1000).collect()
-    assert sorted((str(x.doc_id), x.n_tokens) for x in got) == sorted((str(i), len((t or "").split())) for i, t in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = packing.pack(d, packing.word_count(d.text), buckets=6, budget=1000).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    lengths = sorted((i is not None, i or 0, len((t or "").split())) for i, t in rows)
+    assert sorted((x.doc_id is not None, x.doc_id or 0, x.n_tokens) for x in got) == lengths
     groups = {}
     for x in got:
         assert x.n_tokens <= x.bucket_len
-        groups.setdefault((x.bucket_id, x.bucket_len), []).append((x.batch_no, x.slot))
+        groups.setdefault((x.bucket_id, x.bucket_len), []).append((x.doc_id is not None, x.doc_id or 0, x.n_tokens, x.batch_no, x.slot))
     for (_, size), places in groups.items():
         room = max(1, 1000 // max(1, size))
-        assert sorted(places) == [(i // room, i % room) for i in range(len(places))]
+        assert [p[3:] for p in sorted(places)] == [(i // room, i % room) for i in range(len(places))]
+    sizes = sorted({n for *_, n in lengths})
+    cells = [(n, c := sum(m == n for *_, m in lengths), n * c) for n in sizes]
+    least = plain_buckets(cells, 6)
+    assert sum(x.bucket_len - x.n_tokens for x in got) == least and max(sizes) > 4096 and len(sizes) > 200
     assert packing.pack(d.limit(0), packing.word_count(d.text)).count() == 0
 
 
+def plain_buckets(cells, k):
+    """The least padding by the plain quadratic programme."""
+    n = len(cells)
+    best = [0] + [math.inf] * n
+    for _ in range(k):
+        best = [0] + [min(best[i] + sum(c * cells[j - 1][0] - s for _, c, s in cells[i:j]) for i in range(j)) for j in range(1, n + 1)] if n < 60 else _quick(cells, best)
+    return best[n]
+
+
+def _quick(cells, best):
+    x = np.array([c[0] for c in cells], np.float64)
+    count, total = (np.concatenate(([0], np.cumsum([c[i] for c in cells]))).astype(np.float64) for i in (1, 2))
+    return [0] + [float((np.array(best[:j]) + x[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])).min()) for j in range(1, len(cells) + 1)]
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     raw = spark.read.parquet(f"{sf}/documents.parquet")
