@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Fixed values of the format: sizes in bytes, flag bits, rates.
 SEGMENT_MAGIC = 0xB10BCA4EB10BCA4E
 RECORD_BYTES, HEADER_BYTES, FOOTER_BYTES = 40, 16, 20
@@ -28,16 +32,19 @@ class StoreConfig:
     large_threshold: int = 4 << 20
     segment_bytes: int = 2 << 30
     degraded_keep_batches: int = 6
+    flush_concurrency: int = 6
     bloom_fp_rate: float = 0.01
     bloom_keys: int = 1_000_000
     checksum: bool = False
     verify: bool = False
     policy: str = "sieve"
+    key_hash: Callable[[Column], Column] = F.xxhash64  # of the key, to a long
+    checksum_of: Callable[[Column], Column] | None = None  # of the value, to 32 bits; CRC32 without
 
     def __post_init__(self) -> None:
         if self.policy not in ("sieve", "fifo"):
             raise ValueError(f"unknown policy {self.policy}")
-        if self.shards < 1 or self.max_size < 0:
-            raise ValueError("shards must be 1 or more and max_size 0 or more")
+        if self.shards < 1 or self.max_size < 0 or self.flush_concurrency < 1:
+            raise ValueError("shards and flush_concurrency must be 1 or more and max_size 0 or more")
         if not 0 < self.bloom_fp_rate < 1 or self.bloom_keys < 0:
             raise ValueError("bloom_fp_rate must be between 0 and 1 and bloom_keys 0 or more")

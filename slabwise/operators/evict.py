@@ -24,21 +24,23 @@ def _limits(live: DataFrame, percent: int) -> DataFrame:
     return live.agg(total.alias("total"), need(total, limit).alias("need"))
 
 
-def _first(df: DataFrame, bucket: list[str], order: list[str], needed: int) -> DataFrame:
-    placed = running(df, bucket, [F.col(c) for c in order], {"__before": F.col("size"), "ord": F.lit(1)})
+def _first(df: DataFrame, bucket: list[str], order: list[str], needed: int, width: int) -> DataFrame:
+    coarse = F.struct(*bucket[:-1], F.floor(F.col(bucket[-1]) / width).alias("part"))
+    placed = running(df, bucket, [F.col(c) for c in order], {"__before": F.col("size"), "ord": F.lit(1)}, coarse)
     return placed.where(F.col("__before") < needed).drop("__before").withColumn("ord", (F.col("ord") + 1).cast("long"))
 
 
-def fifo(live: DataFrame, needed: int, bucket: str, pos: str) -> DataFrame:
-    """Victims with ``ord`` from 1: the oldest until ``needed`` bytes are free. ``bucket`` is a prefix of ``pos``."""
-    return _first(live, [bucket], [pos], needed)
+def fifo(live: DataFrame, needed: int, bucket: str, pos: str, width: int = 1000) -> DataFrame:
+    """Victims with ``ord`` from 1: the oldest until ``needed`` bytes are free. ``bucket`` is a number that does not
+    fall along ``pos``; ``width`` buckets are put together where all of them are ordered."""
+    return _first(live, [bucket], [pos], needed, width)
 
 
-def sieve(live: DataFrame, needed: int, bucket: str, pos: str, hand: int | None) -> DataFrame:
+def sieve(live: DataFrame, needed: int, bucket: str, pos: str, hand: int | None, width: int = 1000) -> DataFrame:
     """Victims of one SIEVE batch with ``ord`` from 1: unvisited ones from the hand on and round, then the rest."""
     behind = F.lit(False) if hand is None else F.col(pos) < hand
     turned = live.withColumn("__late", F.col("visited").cast("int")).withColumn("__behind", behind.cast("int"))
-    return _first(turned, ["__late", "__behind", bucket], [pos], needed).drop("__late", "__behind")
+    return _first(turned, ["__late", "__behind", bucket], [pos], needed, width).drop("__late", "__behind")
 
 
 def sieve_after(live: DataFrame, victims: DataFrame, pos: str, hand: int | None) -> DataFrame:
@@ -58,19 +60,30 @@ def sieve_after(live: DataFrame, victims: DataFrame, pos: str, hand: int | None)
 
 
 class SieveList:
-    """The policy step by step, for replays in which puts and reads come between evictions."""
+    """The policy step by step, for replays in which puts and reads come between evictions. Keys are linked both ways,
+    oldest first, so that every step but a turn of the hand takes constant time."""
 
     def __init__(self) -> None:
         self.size: dict = {}
         self.bit: dict = {}
-        self.order: list = []
+        self.after: dict = {None: None}  # None is before the oldest and after the newest
+        self.before: dict = {None: None}
         self.hand = None
         self.total = 0
 
+    @property
+    def order(self) -> list:
+        out, key = [], self.after[None]
+        while key is not None:
+            out.append(key)
+            key = self.after[key]
+        return out
+
     def put(self, key, size: int) -> None:
         if key in self.size:
             self.drop(key)
-        self.order.append(key)
+        newest = self.before[None]
+        self.after[newest], self.before[key], self.after[key], self.before[None] = key, newest, None, key
         self.size[key], self.bit[key] = size, False
         self.total += size
 
@@ -81,29 +94,28 @@ class SieveList:
         return False
 
     def drop(self, key) -> None:
-        at = self.order.index(key)
+        older, newer = self.before.pop(key), self.after.pop(key)
+        self.after[older], self.before[newer] = newer, older
         if self.hand == key:
-            self.hand = self.order[at + 1] if at + 1 < len(self.order) else None
-        self.order.pop(at)
+            self.hand = newer
         self.total -= self.size.pop(key)
         del self.bit[key]
 
     def evict(self):
-        if not self.order:
+        if self.after[None] is None:
             return None
-        at = self.order.index(self.hand) if self.hand is not None else 0
-        while self.bit[self.order[at]]:
-            self.bit[self.order[at]] = False
-            at = (at + 1) % len(self.order)
-        victim = self.order[at]
-        self.hand = victim
-        self.drop(victim)
-        return victim
+        key = self.hand if self.hand is not None else self.after[None]
+        while self.bit[key]:
+            self.bit[key] = False
+            key = self.after[key] if self.after[key] is not None else self.after[None]
+        self.hand = key
+        self.drop(key)
+        return key
 
     def shrink(self, max_size: int) -> list:
         out = []
         if max_size and self.total > max_size:
             target = max_size * C.HYSTERESIS_PERCENT // 100
-            while self.total > target and self.order:
+            while self.total > target and self.after[None] is not None:
                 out.append(self.evict())
         return out

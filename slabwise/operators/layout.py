@@ -32,6 +32,22 @@ def route(size: Column, threshold: int) -> Column:
     return F.when(size > threshold, F.lit("large")).otherwise(F.lit("slab"))
 
 
+def large_slabs(df: DataFrame, writer: str, order: list[str]) -> DataFrame:
+    """df with a slab of its own for each blob: negative numbers, apart from those of packed slabs."""
+    return df.withColumn("slab", -F.row_number().over(Window.partitionBy(writer).orderBy(*order)).cast("long"))
+
+
+def segment_ids(segment: Column, writer: Column, start: int, writers: int) -> Column:
+    """Numbers of the segments that ``writers`` open side by side, from ``start`` on: none twice, later ones larger."""
+    return F.lit(start) + segment * writers + writer
+
+
+def segment_records(chunks: DataFrame, segment: str, chunk: str, order: list[str], keep: list[str]) -> DataFrame:
+    """(segment, records): each segment's records put together from its chunks, in their order."""
+    rows = F.array_sort(F.collect_list(F.struct(chunk, *order, *(c for c in keep if c not in order))))
+    return chunks.groupBy(segment).agg(F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in keep))).alias("records"))
+
+
 def chunked(df: DataFrame, segment: str, order: list[str], limit: int = C.CHUNK_RECORDS) -> DataFrame:
     """df with the chunk that each record of a segment is written in."""
     w = Window.partitionBy(segment).orderBy(*order)

@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def running(df: DataFrame, bucket: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, bucket: list[str], order: list[Column], sums: dict[str, Column], coarse: Column | None = None) -> DataFrame:
     """df with, for each name in ``sums``, the sum of its column over all rows before (exclusive).
 
     ``bucket`` columns come first in the order, then ``order`` inside a bucket; together they are a total order.
+    ``coarse`` puts neighbouring buckets together, in their order: then only its groups are ordered as a whole, which
+    keeps that one task small where there are many buckets.
     """
     inside = Window.partitionBy(*bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*bucket).agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
-    before = totals.select(*bucket, *(F.coalesce(F.sum(f"__t_{n}").over(across), F.lit(0)).alias(f"__b_{n}") for n in sums))
+    if coarse is None:
+        across = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*bucket, *(F.coalesce(F.sum(f"__t_{n}").over(across), F.lit(0)).alias(f"__b_{n}") for n in sums))
+    else:
+        grouped = totals.withColumn("__coarse", coarse)
+        before = running(grouped, ["__coarse"], [F.col(c) for c in bucket], {f"__b_{n}": F.col(f"__t_{n}") for n in sums}).select(*bucket, *(f"__b_{n}" for n in sums))
     local = df.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__l_{n}") for n, c in sums.items()))
     joined = local.join(before, bucket)
     return joined.select(*df.columns, *((F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from slabwise import blobstore
+from slabwise.config import StoreConfig
 from slabwise.functions import columns as K
 from slabwise.operators import bloom, evict, layout, maintain, store
 from slabwise.operators.ordered import last_before, running
 from slabwise.sources import compression, corpus, segfile
 from slabwise.streaming import ingest
+from slabwise.tables import drop, scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {}
 
 SLAB, SEGMENT, LARGE, SHARDS, HAND, LIMIT_PERCENT, CHUNK, BATCH = 65_536, 262_144, 16_384, 4, 100, 60, 20, 100
 WRITER_DOCS = 1000
-BLOOM = bloom.Geometry.of(1000, 0.01)
+FP_RATE = 0.01
 
 IDX = "idx AS (SELECT doc_id, doc_id // 50 AS segment_id, doc_id % 50 // 20 AS chunk, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, doc_id % 11 = 0 AS deleted, doc_id % 3 = 0 AS visited, doc_id AS ingest_seq FROM documents)"
 LIVE = IDX + ", live AS (SELECT * FROM idx WHERE NOT deleted)"
@@ -131,12 +131,13 @@ def compress_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("doc_id", K.chosen_codec(F.col("size"), physical).alias("codec"))
 
 
-@query()
+@query("SELECT lang, codec, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS logical, true AS saves, true AS restored FROM documents, (VALUES ('zstd'), ('zlib'), ('lz4'), ('s2')) t(codec) GROUP BY lang, codec")
 def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each language and codec, whether compression saves bytes and gives back what went in."""
     d = corpus.table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("v"))
-    sized = d.select("lang", F.octet_length("v").cast("long").alias("logical"), F.octet_length(compression.compress(F.col("v"), "zlib")).cast("long").alias("zlib"), F.octet_length(compression.compress(F.col("v"), "zstd")).cast("long").alias("zstd"))
-    each = sized.select("lang", "logical", F.explode(F.create_map(F.lit("zlib"), F.col("zlib"), F.lit("zstd"), F.col("zstd"))).alias("codec", "physical"))
-    return each.groupBy("lang", "codec").agg(F.sum("logical").alias("logical"), F.sum("physical").alias("physical"))
+    packed = d.select("lang", "v", *(compression.compress(F.col("v"), c).alias(c) for c in compression.LEVELS))
+    sized = packed.select("lang", F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), F.octet_length("v").cast("long").alias("logical"), F.octet_length(c).cast("long").alias("physical"), (compression.decompress(F.col(c), c) == F.col("v")).alias("same")) for c in compression.LEVELS))).alias("x")).select("lang", "x.*")
+    return sized.groupBy("lang", "codec").agg(F.sum("logical").alias("logical"), (F.sum("physical") < F.sum("logical")).alias("saves"), F.bool_and("same").alias("restored"))
 
 
 @query(f"WITH {IDX} SELECT doc_id, {ROUND.format('size')} AS aligned FROM idx")
@@ -254,21 +255,40 @@ def segment_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"), F.md5(joined).alias("digest"))
 
 
+def _segment_files(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
+    """Writes the corpus as segment files, a slab for each chunk; (segment_id, path, bytes)."""
+    d = corpus.table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    rows = d.select(F.floor(i / corpus.SEGMENT_DOCS).alias("segment_id"), F.floor(i % corpus.SEGMENT_DOCS / corpus.CHUNK_DOCS).alias("slab"), i.alias("pos_order"), F.xxhash64("doc_id").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("value"), F.lit(0).cast("long").alias("flags"))
+    return written(segfile.write_segments(rows, base, SHARDS), "files")
+
+
 @query(f"WITH {IDX} SELECT DISTINCT segment_id FROM idx WHERE segment_id % 2 = 0")
 def known_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = corpus.index(spark, sf_dir).select("segment_id").distinct()
-    known = i.where(F.col("segment_id") % 2 == 0)
-    return i.join(known, "segment_id", "left_semi")
+    """The segments of the index whose files are there; those with odd numbers are removed before."""
+    base = scratch(spark, "known")
+    for r in _segment_files(spark, sf_dir, base).where("segment_id % 2 = 1").toLocalIterator():
+        drop(spark, r.path)
+    there = segfile.scan_files(spark, f"{base}/segments").select(K.segment_id_of(F.element_at(F.split("path", "/"), -1)).alias("segment_id"))
+    return corpus.index(spark, sf_dir).select("segment_id").distinct().join(there, "segment_id", "left_semi")
 
 
-@query(f"WITH {IDX}, t AS (SELECT doc_id, segment_id, size, hex(encode(coalesce(text, ''))) AS h FROM idx JOIN documents USING (doc_id)), c AS (SELECT segment_id, string_agg(h, '' ORDER BY doc_id) AS body FROM t GROUP BY segment_id), p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY segment_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM t) SELECT doc_id, pos, substring(body, 2 * pos + 1, 2 * size) = h AS ok FROM p JOIN c USING (segment_id)")
+@query(f"WITH {IDX}, slab AS (SELECT segment_id, chunk, {ROUND.format('sum(size)')} AS bytes FROM idx GROUP BY ALL), start AS (SELECT segment_id, chunk, coalesce(sum(bytes) OVER (PARTITION BY segment_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM slab), placed AS (SELECT idx.*, CAST(begins + coalesce(sum(size) OVER (PARTITION BY segment_id, chunk ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM idx JOIN start USING (segment_id, chunk)) SELECT doc_id, pos, md5(coalesce(text, '')) AS digest FROM placed JOIN documents USING (doc_id)")
 def read_blob_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("value"))
-    placed = layout.offsets(d.select("doc_id", F.floor(F.col("doc_id") / corpus.SEGMENT_DOCS).alias("segment_id"), "value", F.octet_length("value").cast("long").alias("size")), ["segment_id"], ["doc_id"])
-    body = placed.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "value"))).alias("parts"))
-    whole = body.select("segment_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p.value)).alias("content"))
-    ok = F.substring("content", (F.col("pos") + 1).cast("int"), F.col("size").cast("int")) == F.col("value")
-    return placed.join(whole, "segment_id").select("doc_id", "pos", ok.alias("ok"))
+    """Each blob by its place in its segment file."""
+    base = scratch(spark, "ranges")
+    files = _segment_files(spark, sf_dir, base)
+    ids = corpus.index(spark, sf_dir).select("doc_id", F.xxhash64("doc_id").alias("hash"))
+    entries = segfile.records(files.select("path")).join(ids, "hash").select("doc_id", "segment_id", "pos", "physical_size")
+    return segfile.read_range(entries, base, SHARDS).select("doc_id", "pos", F.md5("value").alias("digest"))
+
+
+@query(f"WITH {IDX} SELECT segment_id, count(*) AS n, md5(string_agg(doc_id || ':' || size, ',' ORDER BY chunk, doc_id)) AS digest FROM idx GROUP BY segment_id")
+def segment_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's record from its chunks."""
+    whole = layout.segment_records(corpus.index(spark, sf_dir), "segment_id", "chunk", ["doc_id"], ["doc_id", "size"])
+    said = F.array_join(F.transform("records", lambda r: F.concat_ws(":", r.doc_id, r["size"])), ",")
+    return whole.select("segment_id", F.size("records").cast("long").alias("n"), F.md5(said).alias("digest"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN doc_id % 13 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) = md5(coalesce(text, '')) AS ok FROM documents")
@@ -302,15 +322,24 @@ def overlay_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.overlay(_layers(spark, sf_dir), order=["ts", "seq"], keep=["layer", "size"])
 
 
-def _probes_sql(keys: str, col: str = "key") -> str:
+def _geometry(keys: DataFrame) -> bloom.Geometry:
+    return bloom.Geometry.of(keys.count(), FP_RATE)
+
+
+def _blocks_sql(keys: str) -> str:
+    return f"(SELECT greatest(1, CAST(ceil(floor(ceil(-count(*) * ln({FP_RATE}::DOUBLE) / (ln(2) * ln(2))) * 1.15::DOUBLE) / 512) AS BIGINT)) FROM {keys})"
+
+
+def _probes_sql(keys: str, built: str, col: str = "key") -> str:
+    """Probes of ``keys`` into a filter for as many keys as ``built`` has."""
     h = HASH.format(col)
     low = f"({h} & 4294967295)"
-    return f"SELECT {col} AS key, (low * {BLOOM.blocks} >> 32) * 16 + ((low + i * (((low >> 17) | ((low << 15) & 4294967295)))) & 511) // 32 AS word_idx, CAST(1 AS BIGINT) << CAST((low + i * ((low >> 17) | ((low << 15) & 4294967295))) & 31 AS INTEGER) AS mask FROM (SELECT {col}, {low} AS low, unnest(range({BLOOM.probes})) AS i FROM {keys})"
+    return f"SELECT {col} AS key, (low * {_blocks_sql(built)} >> 32) * 16 + ((low + i * (((low >> 17) | ((low << 15) & 4294967295)))) & 511) // 32 AS word_idx, CAST(1 AS BIGINT) << CAST((low + i * ((low >> 17) | ((low << 15) & 4294967295))) & 31 AS INTEGER) AS mask FROM (SELECT {col}, {low} AS low, unnest(range({bloom.Geometry.of(1, FP_RATE).probes})) AS i FROM {keys})"
 
 
-_FILTER = f"docs AS (SELECT 'doc-' || doc_id AS key FROM documents), bloom AS (SELECT word_idx, bit_or(mask) AS word FROM ({_probes_sql('docs')}) GROUP BY word_idx)"
+_FILTER = f"docs AS (SELECT 'doc-' || doc_id AS key FROM documents), bloom AS (SELECT word_idx, bit_or(mask) AS word FROM ({_probes_sql('docs', 'docs')}) GROUP BY word_idx)"
 _ABSENT = "absent AS (SELECT 'miss-' || item_id AS key FROM benchmark UNION SELECT 'page-' || page_id FROM pages), asked AS (SELECT key FROM docs UNION ALL SELECT key FROM absent)"
-_TESTED = _FILTER + ", " + _ABSENT + f", tested AS (SELECT key, bool_and(coalesce(word & mask, 0) <> 0) AS maybe FROM ({_probes_sql('asked')}) p LEFT JOIN bloom USING (word_idx) GROUP BY key)"
+_TESTED = _FILTER + ", " + _ABSENT + f", tested AS (SELECT key, bool_and(coalesce(word & mask, 0) <> 0) AS maybe FROM ({_probes_sql('asked', 'docs')}) p LEFT JOIN bloom USING (word_idx) GROUP BY key)"
 
 
 def _doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,17 +356,19 @@ def _asked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _doc_keys(spark, sf_dir)
-    return bloom.test(_asked_keys(spark, sf_dir), "key", "h", bloom.build(keys, "h", BLOOM), BLOOM)
+    g = _geometry(keys)
+    return bloom.test(_asked_keys(spark, sf_dir), "key", "h", bloom.build(keys, "h", g), g)
 
 
-_TIERS = _LAYERS + f", filt AS (SELECT word_idx, bit_or(mask) AS word FROM ({_probes_sql('latest')}) GROUP BY word_idx), gets AS (SELECT key, count(*) AS n FROM ops WHERE op = 'get' GROUP BY key), seen AS (SELECT key, bool_and(coalesce(word & mask, 0) <> 0) AS maybe FROM ({_probes_sql('gets')}) p LEFT JOIN filt USING (word_idx) GROUP BY key)"
+_TIERS = _LAYERS + f", filt AS (SELECT word_idx, bit_or(mask) AS word FROM ({_probes_sql('latest', 'latest')}) GROUP BY word_idx), gets AS (SELECT key, count(*) AS n FROM ops WHERE op = 'get' GROUP BY key), seen AS (SELECT key, bool_and(coalesce(word & mask, 0) <> 0) AS maybe FROM ({_probes_sql('gets', 'latest')}) p LEFT JOIN filt USING (word_idx) GROUP BY key)"
 
 
 @query(f"WITH {_TIERS} SELECT CASE WHEN NOT maybe THEN 'bloom_reject' WHEN layer < 2 THEN 'memtable' WHEN layer = 2 THEN 'index' ELSE 'ghost' END AS tier, CAST(sum(n) AS BIGINT) AS n FROM gets JOIN seen USING (key) LEFT JOIN top USING (key) GROUP BY 1")
 def lookup_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     gets = corpus.ops(spark, sf_dir).where("op = 'get'").groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("h", K.portable_hash(F.col("key")))
     keys = _puts(spark, sf_dir).select("key").distinct().select(K.portable_hash(F.col("key")).alias("h"))
-    maybe = bloom.test(gets, "key", "h", bloom.build(keys, "h", BLOOM), BLOOM)
+    g = _geometry(keys)
+    maybe = bloom.test(gets, "key", "h", bloom.build(keys, "h", g), g)
     top = overlay_lookup(spark, sf_dir).select("key", "layer")
     tier = F.when(~F.col("maybe"), "bloom_reject").when(F.col("layer") < 2, "memtable").when(F.col("layer") == 2, "index").otherwise("ghost")
     return gets.join(maybe, "key").join(top, "key", "left").groupBy(tier.alias("tier")).agg(F.sum("n").alias("n"))
@@ -364,8 +395,7 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OPS} SELECT op, count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM ops GROUP BY op")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{at.rstrip('/')}/slabwise-stream-{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="slabwise-stream-")
+    base = scratch(spark, "stream")
     static = corpus.table(spark, sf_dir, "events")
     ingest.ingest(spark, f"{sf_dir}/events.parquet*", static.schema, f"{base}/ops", f"{base}/state")
     return ingest.totals(spark.read.parquet(f"{base}/ops"))
@@ -486,11 +516,27 @@ def evict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("n", "bytes", (total.scalar() - F.col("bytes")).alias("remaining"))
 
 
-@query()
+REPLAY_KEYS = 100_000
+
+
+@query(f"""WITH RECURSIVE {OPS}, cap AS (SELECT CAST(floor(sum(size) * 5 / 100) AS BIGINT) AS cap, greatest({SHARDS}, count(DISTINCT key) // {REPLAY_KEYS}) AS shards FROM ops),
+o AS (SELECT CAST({HASH.format('key')} % shards AS INTEGER) AS shard, cap // shards AS share, ts, seq, op, key, coalesce(size, 0) AS size FROM ops, cap),
+n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, seq) AS i FROM o),
+s AS (SELECT shard, share, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq, CAST([] AS STRUCT(k VARCHAR, b BOOLEAN, z BIGINT)[]) AS q, CAST(0 AS BIGINT) AS h, CAST(0 AS BIGINT) AS total, false AS over, CAST(NULL AS VARCHAR) AS victim FROM n WHERE i = 1
+UNION ALL SELECT shard, share, i, seq, q, h, total, share > 0 AND len(q) > 0 AND total > CASE WHEN evicting THEN share * 95 // 100 ELSE share END, victim FROM (
+SELECT shard, share, i, seq, true AS evicting,
+list_transform(list_filter(q, lambda e, x: x <> p), lambda e, x: CASE WHEN f IS NULL OR (CASE WHEN p >= a THEN x >= a AND x < p ELSE x >= a - 1 OR x < p END) THEN {{'k': e.k, 'b': false, 'z': e.z}} ELSE e END) AS q,
+CASE WHEN p < len(q) THEN p ELSE 0 END AS h, total - q[p].z AS total, q[p].k AS victim
+FROM (SELECT *, coalesce(f, a) AS p FROM (SELECT *, coalesce(list_min(list_filter(list_transform(q, lambda e, x: CASE WHEN NOT e.b AND x >= a THEN x END), lambda x: x IS NOT NULL)), list_min(list_filter(list_transform(q, lambda e, x: CASE WHEN NOT e.b THEN x END), lambda x: x IS NOT NULL))) AS f FROM (SELECT *, greatest(h, 1) AS a FROM s WHERE over)))
+UNION ALL SELECT shard, share, i, seq, false, CASE WHEN op = 'get' THEN list_transform(q, lambda e: CASE WHEN e.k = key THEN {{'k': e.k, 'b': true, 'z': e.z}} ELSE e END) ELSE list_append(list_filter(q, lambda e: e.k <> key), {{'k': key, 'b': false, 'z': size}}) END,
+CASE WHEN op = 'get' OR w IS NULL OR w > h THEN h WHEN w < h THEN h - 1 WHEN w < len(q) THEN h ELSE 0 END,
+CASE WHEN op = 'get' THEN total ELSE total + size - coalesce(q[w].z, 0) END, NULL
+FROM (SELECT s.shard, s.share, n.i, n.seq, n.op, n.key, n.size, s.q, s.h, s.total, list_position(list_transform(s.q, lambda e: e.k), n.key) AS w FROM s JOIN n ON n.shard = s.shard AND n.i = s.i + 1 WHERE NOT s.over)))
+SELECT shard, seq, victim FROM s WHERE victim IS NOT NULL""")
 def sieve_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = corpus.ops(spark, sf_dir)
-    cap = ops.agg(F.floor(F.sum("size") * 5 / 100)).first()[0] or 0
-    return ingest.sieve_replay(ops, int(cap), SHARDS)
+    row = ops.agg(F.floor(F.sum("size") * 5 / 100).alias("cap"), F.countDistinct("key").alias("keys")).first()
+    return ingest.sieve_replay(ops, int(row.cap or 0), max(SHARDS, row["keys"] // REPLAY_KEYS))
 
 
 @query(f"WITH {OPS}, n AS (SELECT (row_number() OVER (ORDER BY ts, seq) - 1) // {BATCH} AS batch FROM ops), b AS (SELECT batch, count(*) AS n FROM n GROUP BY batch) SELECT batch, n FROM b ORDER BY batch DESC LIMIT 6")
@@ -527,7 +573,8 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILTER} SELECT CAST(word_idx AS INTEGER) AS word_idx, word FROM bloom")
 def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build(_doc_keys(spark, sf_dir), "h", BLOOM)
+    keys = _doc_keys(spark, sf_dir)
+    return bloom.build(keys, "h", _geometry(keys))
 
 
 @query(f"WITH {_TESTED} SELECT key, maybe FROM tested")
@@ -555,39 +602,136 @@ def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(spark, sf_dir).select("hits", "ghosts", F.when(F.col("absent") == 0, F.lit(0.0)).otherwise(F.col("ghosts") / F.col("absent")).alias("fpr"))
 
 
-@query(f"WITH {_COUNTED}, d AS (SELECT count(*) AS deleted FROM documents WHERE doc_id % 11 = 0) SELECT deleted > 1000 * 0.1 AS stale, hits > 2000 AND CAST(ghosts AS DOUBLE) / greatest(hits, 1) > 0.05 AS fpr_bad, deleted > 1000 * 0.1 OR (hits > 2000 AND CAST(ghosts AS DOUBLE) / greatest(hits, 1) > 0.05) AS rebuild FROM c, d")
+@query(f"WITH {_COUNTED}, d AS (SELECT count(*) FILTER (doc_id % 11 = 0) AS deleted, count(*) AS keys FROM documents) SELECT deleted > keys * 0.1 AS stale, hits > 2000 AND CAST(ghosts AS DOUBLE) / greatest(hits, 1) > 0.05 AS fpr_bad, deleted > keys * 0.1 OR (hits > 2000 AND CAST(ghosts AS DOUBLE) / greatest(hits, 1) > 0.05) AS rebuild FROM c, d")
 def bloom_rebuild_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deleted = corpus.index(spark, sf_dir).where("deleted").agg(F.count(F.lit(1)).alias("deleted"))
-    return _counted(spark, sf_dir).withColumn("deleted", deleted.scalar()).select(*bloom.rebuild_due(F.col("deleted"), F.lit(1000), F.col("hits"), F.col("ghosts"), 0.01))
+    i = corpus.index(spark, sf_dir).agg(F.count_if("deleted").alias("deleted"), F.count(F.lit(1)).alias("keys"))
+    counted = _counted(spark, sf_dir).withColumn("deleted", i.select("deleted").scalar()).withColumn("keys", i.select("keys").scalar())
+    return counted.select(*bloom.rebuild_due(F.col("deleted"), F.col("keys"), F.col("hits"), F.col("ghosts"), FP_RATE))
 
 
-@query(f"WITH {PUTS}, keys AS (SELECT 'doc-' || doc_id AS key FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT key FROM latest) SELECT CAST(word_idx AS INTEGER) AS word_idx, bit_or(mask) AS word FROM ({_probes_sql('keys')}) GROUP BY word_idx")
+@query(f"WITH {PUTS}, keys AS (SELECT 'doc-' || doc_id AS key FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT key FROM latest) SELECT CAST(word_idx AS INTEGER) AS word_idx, bit_or(mask) AS word FROM ({_probes_sql('keys', 'keys')}) GROUP BY word_idx")
 def bloom_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = _live(spark, sf_dir).select(K.portable_hash(F.concat(F.lit("doc-"), F.col("doc_id"))).alias("h"))
     delta = _puts(spark, sf_dir).select("key").distinct().select(K.portable_hash(F.col("key")).alias("h"))
-    return bloom.merge(bloom.build(live, "h", BLOOM), bloom.build(delta, "h", BLOOM))
+    g = bloom.Geometry.of(live.count() + delta.count(), FP_RATE)
+    return bloom.merge(bloom.build(live, "h", g), bloom.build(delta, "h", g))
 
 
 # Files, callbacks, reports.
 
 
-@query()
+@query(f"WITH {IDX}, f AS (SELECT min(segment_id) AS lost FROM idx) SELECT 'valid' AS status, count(DISTINCT segment_id) - 1 AS n FROM idx HAVING count(DISTINCT segment_id) > 1 UNION ALL SELECT 'corrupt', 1 UNION ALL SELECT 'recovered', count(*) FILTER (segment_id <> lost) FROM idx, f")
 def recover_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the corpus as segment files, damages one, and counts what recovery finds."""
-    at = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    base = f"{at.rstrip('/')}/slabwise-recover-{uuid.uuid4().hex}"
-    d = corpus.table(spark, sf_dir, "documents")
-    rows = d.select(F.floor(F.col("doc_id") / corpus.SEGMENT_DOCS).alias("segment_id"), F.floor(F.col("doc_id") % corpus.SEGMENT_DOCS / corpus.CHUNK_DOCS).alias("slab"), F.col("doc_id").alias("pos_order"), F.xxhash64("doc_id").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("value"), F.lit(0).cast("long").alias("flags"))
-    first = segfile.write_segments(rows, base, SHARDS).orderBy("segment_id").first()
-    if first is not None:
-        with open(first.path, "r+b") as f:
-            f.truncate(10)
-    files = segfile.scan_files(spark, f"file://{base}") if first is not None else spark.createDataFrame([], "path string, length long, content binary")
+    """Writes the corpus as segment files, damages the first, and counts what recovery finds."""
+    base = scratch(spark, "recover")
+    first = _segment_files(spark, sf_dir, base).orderBy("segment_id").first()
+    fs, at = segfile.file_system(first.path)
+    with fs.open_output_stream(at) as f:
+        f.write(b"too short")
+    files = segfile.scan_files(spark, f"{base}/segments")
     counts = segfile.footers(files).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    blobs = segfile.recovered_index(files).agg(F.lit("recovered").alias("status"), F.count(F.lit(1)).alias("n"))
-    out = spark.createDataFrame(counts.unionByName(blobs).collect(), "status string, n long")  # two counts; the files go
-    shutil.rmtree(base, ignore_errors=True)
-    return out
+    return counts.unionByName(segfile.recovered_index(files).agg(F.lit("recovered").alias("status"), F.count(F.lit(1)).alias("n")))
+
+
+# The store as a whole: the corpus goes in, and what comes back is compared.
+
+
+def _store(spark: SparkSession, name: str, **more) -> blobstore.Store:
+    return blobstore.Store(spark, scratch(spark, name), StoreConfig(**{"shards": SHARDS, "flush_concurrency": 4, "large_threshold": LARGE, "slab_bytes": SLAB, "segment_bytes": SEGMENT, "bloom_keys": 1000, "key_hash": K.portable_hash} | more))
+
+
+def _blob_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = corpus.table(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id")).cast("binary").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("value"), "doc_id")
+
+
+def _known(got: DataFrame) -> DataFrame:
+    return got.select(F.col("key").cast("string").alias("key"), "found", "tier", F.md5("value").alias("digest"))
+
+
+@query(f"WITH {REQ} SELECT key, doc_id IS NOT NULL AS found, CASE WHEN doc_id IS NOT NULL THEN 'index' END AS tier, CASE WHEN doc_id IS NULL THEN NULL WHEN doc_id % 10 = 0 THEN md5(coalesce(text, '') || '!') ELSE md5(coalesce(text, '')) END AS digest FROM req LEFT JOIN documents ON key = 'doc-' || doc_id")
+def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts the corpus, puts a tenth of it anew, opens the store again and asks for all of it and for absent keys."""
+    rows = _blob_rows(spark, sf_dir)
+    with _store(spark, "store", checksum=True) as s:
+        s.put(rows.select("key", "value"))
+        s.put(rows.where(F.col("doc_id") % 10 == 0).select("key", F.concat("value", F.lit(b"!")).alias("value")))
+    with blobstore.Store(spark, s.path, StoreConfig(**vars(s.config) | {"verify": True})) as again:
+        return _known(again.get(_requests(spark, sf_dir)))
+
+
+@query("SELECT 'doc-' || doc_id AS key, doc_id % 5 >= 1 AS found, CASE WHEN doc_id % 5 >= 3 THEN 'memtable' WHEN doc_id % 5 >= 1 THEN 'index' END AS tier, CASE WHEN doc_id % 5 >= 1 THEN md5(coalesce(text, '')) END AS digest FROM documents")
+def store_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches are written, then writing fails: of three more, the newest two stay in memory and are read."""
+    rows = _blob_rows(spark, sf_dir)
+    with _store(spark, "degraded", degraded_keep_batches=2) as s:
+        for part in (1, 2, 0, 3, 4):
+            if part == 0:
+                s.report(OSError("no space"))
+            s.put(rows.where(F.col("doc_id") % 5 == part).select("key", "value"))
+        return _known(s.get(rows.select("key")))
+
+
+@query(f"WITH {IDX}, k AS (SELECT {HASH.format(chr(39) + 'doc-' + chr(39) + ' || doc_id')} % 4 = 1 AS lost, size FROM idx) SELECT count(*) AS hits, count(*) FILTER (lost) AS ghosts, count(*) FILTER (lost) AS deleted, CAST(coalesce(sum(size) FILTER (NOT lost), 0) AS BIGINT) AS bytes FROM k")
+def store_self_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one writer are lost; reads find out, drop its entries and count them."""
+    rows = _blob_rows(spark, sf_dir)
+    with _store(spark, "heal", segment_bytes=1 << 40) as s:
+        s.put(rows.select("key", "value"))
+        seen = s.index().select("segment_id").distinct().where(F.col("segment_id") % 4 == 1).collect()
+        for r in seen:
+            drop(spark, segfile.path_of(s.path, r.segment_id, SHARDS))
+        s.get(rows.select("key"))
+        return spark.createDataFrame([(s.hits, s.ghosts, s.deleted, s.size)], "hits long, ghosts long, deleted long, bytes long")
+
+
+@query(f"""WITH {IDX}, k AS (SELECT {HASH.format(chr(39) + 'doc-' + chr(39) + ' || doc_id')} AS h, size FROM idx), t AS (SELECT CAST(sum(size) AS BIGINT) AS total FROM k),
+c AS (SELECT total, total * {LIMIT_PERCENT} // 100 AS cap FROM t), r AS (SELECT size, coalesce(sum(size) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT CAST(count(*) AS BIGINT) AS victims, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(any_value(total) - coalesce(sum(size), 0) AS BIGINT) AS remaining FROM r, c WHERE before < total - cap * 95 // 100""")
+def store_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of the policy: the oldest go until the store is at 95 % of its limit."""
+    rows = _blob_rows(spark, sf_dir)
+    total = rows.agg(F.sum(F.octet_length("value")).cast("long")).first()[0] or 0
+    with _store(spark, "evict", policy="fifo", flush_concurrency=1, large_threshold=1 << 40) as s:
+        s.put(rows.select("key", "value"))
+        s.config = StoreConfig(**vars(s.config) | {"max_size": total * LIMIT_PERCENT // 100})
+        done = s.evict()
+        return spark.createDataFrame([(done["victims"], done["bytes"], s.size)], "victims long, bytes long, remaining long")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS compacted, count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, CAST(2 AS BIGINT) AS segments FROM documents")
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly all of a segment is replaced; what is left of it is put again and the segment goes."""
+    rows = _blob_rows(spark, sf_dir)
+    with _store(spark, "compact", flush_concurrency=1, slab_bytes=1 << 40, segment_bytes=1 << 40, large_threshold=1 << 40) as s:
+        s.put(rows.select("key", "value"))
+        s.put(rows.where(F.col("doc_id") % 50 != 0).select("key", "value"))
+        gone = len(s.compact())
+        got = s.get(rows.select("key")).where("found").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).cast("long").alias("bytes")).first()
+        return spark.createDataFrame([(gone, got.n, got.bytes, s.files().count())], "compacted long, n long, bytes long, segments long")
+
+
+@query(f"WITH {IDX} SELECT doc_id, -row_number() OVER (PARTITION BY doc_id // {WRITER_DOCS} ORDER BY doc_id) AS slab FROM idx WHERE size > {LARGE}")
+def large_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each large blob is a slab of its own."""
+    i = corpus.index(spark, sf_dir).where(layout.route(F.col("size"), LARGE) == "large")
+    return layout.large_slabs(i.withColumn("writer", F.floor(F.col("doc_id") / WRITER_DOCS)), "writer", ["doc_id"]).select("doc_id", "slab")
+
+
+@query(f"WITH {IDX} SELECT DISTINCT segment_id, 1000 + segment_id // {SHARDS} * {SHARDS} + segment_id % {SHARDS} AS id FROM idx")
+def segment_open_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of segments that writers open side by side."""
+    i = corpus.index(spark, sf_dir).select("segment_id").distinct()
+    return i.select("segment_id", layout.segment_ids(F.floor(F.col("segment_id") / SHARDS), F.col("segment_id") % SHARDS, 1000, SHARDS).alias("id"))
+
+
+_SLAB_SIZES = (0, 1 << 20, 100 << 20, 128 << 20, 64 << 30)
+
+
+@query("SELECT bytes, least(1048576, greatest(4096, bytes // 8192)) AS slots FROM (VALUES " + ", ".join(f"(CAST({n} AS BIGINT))" for n in _SLAB_SIZES) + ") t(bytes)")
+def slab_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index slots of slabs of several sizes."""
+    return spark.createDataFrame([(n, K.slab_slots(n)) for n in _SLAB_SIZES], "bytes long, slots long")
 
 
 @query(f"WITH {REQ} SELECT req.key, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM req JOIN documents ON req.key = 'doc-' || doc_id")

@@ -1,7 +1,12 @@
-"""Binary segment files: slabs on pages, then a metadata block with a checksummed footer at the end of the file."""
+"""Binary segment files: slabs on pages, then a metadata block with a checksummed footer at the end of the file.
+
+Files are listed by Spark and opened where the work is, through Arrow's file systems (local, HDFS, object stores), so
+that a reader seeks to what it needs and a segment may be larger than any buffer.
+"""
 
 from __future__ import annotations
 
+import errno
 import io
 import os
 import re
@@ -10,7 +15,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -76,89 +82,210 @@ def read_metadata(f: io.BufferedIOBase | io.BytesIO, size: int, segment_id: int
     return out
 
 
+def file_system(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's file system of a URI (or an absolute local path), and the path in it."""
+    scheme, _, rest = uri.partition(":")
+    if not rest:
+        return arrow_fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    return arrow_fs.FileSystem.from_uri(uri)
+
+
 def id_of(name: str) -> int:
     m = re.match(r"[+-]?\d+", os.path.basename(name))
     return int(m[0]) if m else 0
 
 
+def path_of(base: str, segment_id: int, shards: int) -> str:
+    return f"{base}/segments/{segment_id % max(1, shards):04d}/{segment_id}.seg"
+
+
 def encode_segment(segment_id: int, ctime: int, slabs: list[list[tuple[int, bytes, int]]]) -> bytes:
     """A whole segment of slabs of (hash, value, flags); positions are absolute, slabs start on pages."""
-    out, records = bytearray(), []
+    out = io.BytesIO()
+    w = SegmentWriter(out, segment_id, ctime)
     for slab in slabs:
         for h, value, flags in slab:
-            records.append((h & (1 << 64) - 1, len(out), len(value), len(value), flags & (1 << 64) - 1))
-            out += value
-        out += bytes(-len(out) % C.PAGE)
-    return bytes(out) + encode_metadata(segment_id, ctime, np.array(records, _RECORD))
+            w.add(h, value, flags)
+        w.end_slab()
+    w.close()
+    return out.getvalue()
+
+
+class SegmentWriter:
+    """Writes blobs one after another; of what is written only the records are kept, 40 bytes each."""
+
+    def __init__(self, out, segment_id: int, ctime: int) -> None:
+        self.out, self.segment_id, self.ctime = out, segment_id, ctime
+        self.pos = 0
+        self.records: list[tuple[int, int, int, int, int]] = []
+
+    def add(self, h: int, value: bytes, flags: int) -> None:
+        self.records.append((h & (1 << 64) - 1, self.pos, len(value), len(value), flags & (1 << 64) - 1))
+        self.out.write(value)
+        self.pos += len(value)
+
+    def end_slab(self) -> None:
+        pad = -self.pos % C.PAGE
+        self.out.write(bytes(pad))
+        self.pos += pad
+
+    def close(self) -> int:
+        """Size of the file."""
+        self.end_slab()
+        meta = encode_metadata(self.segment_id, self.ctime, np.array(self.records, _RECORD))
+        self.out.write(meta)
+        return self.pos + len(meta)
 
 
 def write_segments(blobs: DataFrame, base: str, shards: int = 1, ctime: int = 0) -> DataFrame:
     """Writes (segment_id, slab, pos_order, hash, value, flags) rows as one file per segment under base/segments/;
-    returns (segment_id, path, bytes). base has to be a folder that all executors share."""
+    (segment_id, path, bytes) once read, which does the writing. base is a URI that all executors reach.
+
+    A segment is streamed; a file appears whole under its name, and a task that runs again writes the same file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = slab = None
+
+        def begin(seg: int):
+            fs, to = file_system(path_of(base, seg, shards))
+            fs.create_dir(os.path.dirname(to), recursive=True)
+            tmp = f"{os.path.dirname(to)}/.{seg}.{os.getpid()}.tmp"
+            return fs, tmp, to, SegmentWriter(fs.open_output_stream(tmp), seg, ctime)
+
+        def end() -> pa.RecordBatch:
+            fs, tmp, to, w = writer
+            size = w.close()
+            w.out.close()
+            fs.move(tmp, to)
+            return pa.RecordBatch.from_arrays([pa.array([w.segment_id]), pa.array([path_of(base, w.segment_id, shards)]), pa.array([size])], names=["segment_id", "path", "bytes"])
+
+        for b in batches:
+            for seg, sl, h, flags, value in zip(*(b.column(n).to_pylist() for n in ("segment_id", "slab", "hash", "flags", "value")), strict=True):
+                if writer is None or seg != writer[3].segment_id:
+                    if writer is not None:
+                        yield end()
+                    writer, slab = begin(seg), sl
+                if sl != slab:
+                    writer[3].end_slab()
+                    slab = sl
+                writer[3].add(h, value or b"", flags)
+        if writer is not None:
+            yield end()
+
+    order = ["segment_id", "slab", "pos_order"]
+    rows = blobs.select(*order, "hash", "flags", "value").repartition("segment_id").sortWithinPartitions(*order)
+    return rows.mapInArrow(run, "segment_id long, path string, bytes long")
 
-    def run(frames: pd.DataFrame) -> pd.DataFrame:
-        seg = int(frames.segment_id.iloc[0])
-        rows = frames.sort_values(["slab", "pos_order"])
-        slabs = [[(int(h), bytes(v), int(f)) for h, v, f in zip(g["hash"], g["value"], g["flags"], strict=True)] for _, g in rows.groupby("slab")]
-        raw = encode_segment(seg, ctime, slabs)
-        folder = f"{base}/segments/{seg % max(1, shards):04d}"
-        os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/.{seg}.tmp", "wb") as f:
-            f.write(raw)
-        os.replace(f"{folder}/.{seg}.tmp", f"{folder}/{seg}.seg")  # a task that runs again writes the same file
-        return pd.DataFrame({"segment_id": [seg], "path": [f"{folder}/{seg}.seg"], "bytes": [len(raw)]})
 
-    return blobs.groupBy("segment_id").applyInPandas(run, "segment_id long, path string, bytes long")
+def scan_files(spark: SparkSession, base: str) -> DataFrame:
+    """(path, length) of the files *.seg under base, on any file system that Spark lists; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.seg").option("recursiveFileLookup", "true").load(base).select("path", "length")
 
 
-def scan_files(spark: SparkSession, base: str) -> DataFrame:
-    """Files *.seg under base by Spark's own binary reader: any file system, one row a file."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.seg").option("recursiveFileLookup", "true").load(base).select("path", "length", "content")
+def _metadata(path: str) -> tuple[int, int, np.ndarray]:
+    """The metadata of a file by its footer: two reads at its end, whatever its size."""
+    fs, at = file_system(path)
+    try:
+        with fs.open_input_file(at) as f:
+            return read_metadata(f, f.size(), id_of(path))
+    except FileNotFoundError as e:
+        raise SegmentError(f"no such file: {e}") from None
 
 
 def footers(files: DataFrame) -> DataFrame:
     """(path, status, error, segment_id, ctime, n): whether each file's metadata can be read; files stay as they are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for path, raw in zip(f.path, f.content, strict=True):
+            for path in b.column(0).to_pylist():
                 try:
-                    seg, ctime, records = read_metadata(io.BytesIO(raw), len(raw), id_of(path))
+                    seg, ctime, records = _metadata(path)
                     rows.append((path, "valid", None, seg, ctime, len(records)))
                 except SegmentError as e:
                     rows.append((path, "corrupt", str(e), None, None, 0))
-            yield pd.DataFrame(rows, columns=["path", "status", "error", "segment_id", "ctime", "n"]).astype({"segment_id": "Int64", "ctime": "Int64"})
+            kinds = [pa.string()] * 3 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["path", "status", "error", "segment_id", "ctime", "n"])
 
-    return files.select("path", "content").mapInPandas(run, STATUS_DDL)
+    return files.select("path").mapInArrow(run, STATUS_DDL)
 
 
-def recovered_index(files: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
-    """The index rebuilt from readable files: the newest segment's record of each hash, without ``tombstones``
-    (column hash) and records marked deleted."""
+def _record_batch(seg: int, ctime: int, r: np.ndarray) -> pa.RecordBatch:
+    column = lambda c: np.ascontiguousarray(r[c]).view("<i8")
+    fixed = [np.full(len(r), seg, np.int64), np.full(len(r), ctime, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*fixed, *map(column, _RECORD.names))], names=["segment_id", "ctime", *_RECORD.names])
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, raw in zip(f.path, f.content, strict=True):
+def records(files: DataFrame) -> DataFrame:
+    """The blob records of all readable files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
                 try:
-                    seg, ctime, records = read_metadata(io.BytesIO(raw), len(raw), id_of(path))
+                    yield _record_batch(*_metadata(path))
                 except SegmentError:
                     continue
-                out = pd.DataFrame({c: records[c].astype("<i8") if c not in ("hash", "flags") else records[c].view("<i8") if records[c].flags.c_contiguous else records[c].copy().view("<i8") for c in _RECORD.names})
-                out.insert(0, "ctime", ctime)
-                out.insert(0, "segment_id", seg)
-                yield out
 
-    each = files.select("path", "content").mapInPandas(run, RECORD_DDL).where(F.col("flags").bitwiseAND(F.lit(1 << C.DELETED_BIT)) == 0)
+    return files.select("path").mapInArrow(run, RECORD_DDL)
+
+
+def recovered_index(files: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """The index rebuilt from readable files: the newest segment's record of each hash, without ``tombstones``
+    (column hash) and records marked deleted."""
+    each = records(files).where(F.col("flags").bitwiseAND(F.lit(1 << C.DELETED_BIT)) == 0)
     cols = [c for c in each.columns if c != "hash"]
     newest = each.groupBy("hash").agg(F.max_by(F.struct(*cols), F.struct("segment_id", "pos")).alias("r")).select("hash", "r.*")
     return newest.join(tombstones, "hash", "left_anti") if tombstones is not None else newest
 
 
-def read_range(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """entries (segment_id, pos, physical_size, …) with ``value``: the bytes of each blob out of its segment file."""
-    name = F.regexp_extract("path", r"([0-9]+)\.seg$", 1).try_cast("bigint").alias("segment_id")
-    return entries.join(files.select(name, "content"), "segment_id").withColumn("value", F.substring("content", (F.col("pos") + 1).cast("int"), F.col("physical_size").cast("int"))).drop("content")
+def read_range(entries: DataFrame, base: str, shards: int = 1) -> DataFrame:
+    """entries (segment_id, pos, physical_size, …) with ``value``, the bytes of each blob, and ``error``, the name of
+    what went wrong instead (null value). Entries of a segment are read in order from one open file, by seeking."""
+    names = entries.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f, failed = None, None, None
+
+        def read(seg: int, pos: int, size: int) -> tuple[bytes | None, str | None]:
+            nonlocal now, f, failed
+            if seg != now:
+                if f is not None:
+                    f.close()
+                now, f, failed = seg, None, None
+                fs, at = file_system(path_of(base, seg, shards))
+                try:
+                    f = fs.open_input_file(at)
+                except OSError as e:
+                    failed = _error_name(e)
+            if f is None:
+                return None, failed
+            try:
+                got = f.read_at(size, pos)
+            except OSError as e:
+                return None, _error_name(e)
+            return (got, None) if len(got) == size else (None, "EIO")
+
+        for b in batches:
+            for part in range(0, b.num_rows, 256):
+                c = b.slice(part, 256)
+                got = [read(*x) for x in zip(*(c.column(c.schema.get_field_index(n)).to_pylist() for n in ("segment_id", "pos", "physical_size")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array([v for v, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())], names=[*names, "value", "error"])
+        if f is not None:
+            f.close()
+
+    sorted_rows = entries.repartition("segment_id").sortWithinPartitions("segment_id", "pos")
+    return sorted_rows.mapInArrow(run, f"{kinds}, value binary, error string")
+
+
+def _error_name(e: OSError) -> str:
+    return "ENOENT" if isinstance(e, FileNotFoundError) else errno.errorcode.get(e.errno or 0, "EIO")
 
 
 class _File(InputPartition):
@@ -167,7 +294,7 @@ class _File(InputPartition):
 
 
 class SegmentDataSource(DataSource):
-    """``spark.read.format("slabwise_segments").load(path)``: blob records of a folder that all machines share."""
+    """``spark.read.format("slabwise_segments").load(path)``: blob records of a folder that all machines reach."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,17 +312,15 @@ class _SegmentReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        found = [os.path.join(d, x) for d, _, names in os.walk(self.path) for x in names if x.endswith(".seg")]
-        return [_File(p) for p in sorted(found)] or [_File("")]
+        fs, at = file_system(self.path)
+        prefix = self.path.removesuffix(at) if self.path.endswith(at) else ""
+        found = fs.get_file_info(arrow_fs.FileSelector(at, recursive=True, allow_not_found=True))
+        return [_File(prefix + x.path) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".seg")] or [_File("")]
 
     def read(self, partition: _File):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
-            try:
-                seg, ctime, records = read_metadata(f, os.path.getsize(partition.path), id_of(partition.path))
-            except SegmentError:
-                return
-        signed = lambda v: int(v) - (1 << 64) * (int(v) >> 63)
-        for r in records:
-            yield (seg, ctime, signed(r["hash"]), int(r["pos"]), int(r["logical_size"]), int(r["physical_size"]), signed(r["flags"]))
+        try:
+            yield _record_batch(*_metadata(partition.path))
+        except SegmentError:
+            return

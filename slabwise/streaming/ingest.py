@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slabwise.functions import columns as K
 from slabwise.operators.evict import SieveList
 from slabwise.sources.corpus import as_ops
 
@@ -30,7 +31,7 @@ def sieve_replay(ops: DataFrame, max_size: int, shards: int, every: int = 1) ->
     """(shard, seq, victim): evictions of a log with puts and gets in between, each key in a shard with its share of
     ``max_size``. The policy is sequential in a shard; its rows stream in order and only live keys are held."""
     share = max_size // shards
-    dealt = ops.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "ts", "seq", "op", "key", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    dealt = ops.select(F.pmod(K.portable_hash(F.col("key")), F.lit(shards)).cast("int").alias("shard"), "ts", "seq", "op", "key", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, policy, puts = None, SieveList(), 0
@@ -51,21 +52,68 @@ def sieve_replay(ops: DataFrame, max_size: int, shards: int, every: int = 1) ->
     return dealt.repartition("shard").sortWithinPartitions("shard", "ts", "seq").mapInPandas(run, "shard int, seq long, victim string")
 
 
+class _Nodes:
+    """Nodes (size, bit, before, after) of a map state, read when they are asked for and written back when the batch
+    is done. Beside a key stands "k", so that the ends of the list are the empty key."""
+
+    def __init__(self, state) -> None:
+        self.state, self.held = state, {}
+
+    def of(self, key) -> list | None:
+        if key not in self.held:
+            at = ("" if key is None else f"k{key}",)
+            self.held[key] = list(self.state.getValue(at)) if self.state.containsKey(at) else [0, False, None, None] if key is None else None
+        return self.held[key]
+
+    def save(self) -> None:
+        for key, node in self.held.items():
+            at = ("" if key is None else f"k{key}",)
+            if node is not None:
+                self.state.updateValue(at, tuple(node))
+            elif self.state.containsKey(at):
+                self.state.removeKey(at)
+
+
+class _Field:
+    """One field of all nodes as a mapping."""
+
+    def __init__(self, nodes: _Nodes, at: int) -> None:
+        self.nodes, self.at = nodes, at
+
+    def __contains__(self, key) -> bool:
+        return self.nodes.of(key) is not None
+
+    def __getitem__(self, key):
+        return self.nodes.of(key)[self.at]
+
+    def __setitem__(self, key, value) -> None:
+        node = self.nodes.of(key)
+        if node is None:
+            node = self.nodes.held[key] = [0, False, None, None]
+        node[self.at] = value
+
+    def pop(self, key):
+        return self[key]
+
+    def __delitem__(self, key) -> None:
+        self.nodes.held[key] = None
+
+
 def sieve_state_processor(max_size: int):
-    """A stateful processor for streams grouped by shard; the policy's list is the state."""
+    """A stateful processor for streams grouped by shard. The policy's nodes are a map state, of which a batch reads
+    and writes only those that it touches."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Sieve(StatefulProcessor):
         def init(self, handle) -> None:
-            self.state = handle.getValueState("policy", "keys array<string>, sizes array<long>, bits array<boolean>, hand string")
+            self.nodes = handle.getMapState("nodes", "key string", "size long, bit boolean, before string, after string")
+            self.rest = handle.getValueState("rest", "hand string, total long")
 
         def handleInputRows(self, key, rows, timer_values):  # noqa: N802
-            policy = SieveList()
-            if self.state.exists():
-                keys, sizes, bits, policy.hand = self.state.get()
-                policy.order = list(keys)
-                policy.size, policy.bit = dict(zip(keys, sizes, strict=True)), dict(zip(keys, bits, strict=True))
-                policy.total = sum(sizes)
+            policy, nodes = SieveList(), _Nodes(self.nodes)
+            policy.size, policy.bit, policy.before, policy.after = (_Field(nodes, i) for i in range(4))
+            if self.rest.exists():
+                policy.hand, policy.total = self.rest.get()
             out = []
             for f in rows:
                 for r in f.sort_values(["ts", "seq"]).itertuples():
@@ -74,7 +122,8 @@ def sieve_state_processor(max_size: int):
                     else:
                         policy.put(r.key, int(r.size))
                         out += [(key[0], r.seq, v) for v in policy.shrink(max_size)]
-            self.state.update((policy.order, [policy.size[k] for k in policy.order], [policy.bit[k] for k in policy.order], policy.hand))
+            nodes.save()
+            self.rest.update((policy.hand, policy.total))
             yield pd.DataFrame(out, columns=["shard", "seq", "victim"])
 
         def close(self) -> None:

@@ -32,13 +32,3 @@ def test_same_rows_as_sql(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert normal(map(tuple, got.select(*cols).collect())) == normal(want)
-
-
-def test_recovery_counts_one_damaged_file(spark):
-    rows = {r.status: r.n for r in QUERIES["recover_index"](spark, SF).collect()}
-    assert rows == {"valid": 3, "corrupt": 1, "recovered": 150}
-
-
-def test_compression_report_saves_bytes(spark):
-    rows = QUERIES["compression_report"](spark, SF).collect()
-    assert rows and all(0 < r.physical < r.logical for r in rows)
