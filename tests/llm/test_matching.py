@@ -61,12 +61,19 @@ def test_decontamination_of_empty_sides(spark):
     assert decontaminate.find_contamination(docs.limit(0), items).count() == 0
 
 
-def test_decontaminated_drops_leaks_only(spark):
-    item = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14"
-    docs = frame(spark, [(1, "x " * 50 + item + " y" * 50), (2, "x " * 50), (3, "short"), (4, None), (2, "x " * 50)])
-    items = spark.createDataFrame([(0, item), (1, "short")], "item_id long, text string")
-    left = decontaminate.decontaminated(docs, items)
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 2, 3, 4]
+def test_many_blocks_of_items_meet_only_texts_that_share_a_window(spark, monkeypatch):
+    """Three Python stages over texts whatever the number of blocks; hot blocks are copied; long items are cut."""
+    monkeypatch.setattr(decontaminate, "BLOCK_TEXTS", 3)
+    r = random.Random(9)
+    make = lambda n: " ".join(f"w{r.randint(0, 3000)}" for _ in range(n))
+    items = [(i, make(r.choice([3, 8, 30]))) for i in range(300)] + [(1000, make(500))]
+    docs = [(i, f"{make(30)} {(items[i % 40][1] if i % 2 else items[-1][1][200:700])} {make(5)}") for i in range(80)] + ODD + [(200, "x " * 200_000 + items[7][1])]
+    got = decontaminate.find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=100)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") < 20 and "CartesianProduct" not in plan
+    want = [(i, *brute_hits(t, items)) for i, t in docs]
+    done = [(x.doc_id, x.n_words, sum(s.end - s.start for s in x.spans), list(x["items"])) for x in got.collect()]
+    assert sorted(map(str, done)) == sorted(map(str, want)) and any(x[2] for x in done)
 
 
 def test_passages_are_cut_out_and_covered_documents_dropped(spark):
