@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.common import written
-
-MAX_ROUNDS = 60
-
+from slabwise.llm.common import release, written
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v). Links what is larger than u (large) or smaller, with u itself, to the least of u and its neighbours."""
@@ -23,7 +20,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         linked = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return written(linked.where("u <> v").distinct(), "edges")
+    out = written(linked.where("u <> v").distinct(), "edges")
+    release(least)
+    return out
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -32,16 +31,15 @@ def _sign(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) pairs of longs to (node, root) with the smallest node of each component as root; nodes that are roots
-    themselves and nodes without links are left out. An empty table gives an empty one."""
+    themselves and nodes without links are left out. An empty table gives an empty one. The rounds grow with the
+    logarithm of the longest chain."""
     edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     sign = _sign(edges)
-    for _ in range(MAX_ROUNDS):
-        if not sign[0]:
-            break
-        edges = _star(_star(edges, True), False)
-        last, sign = sign, _sign(edges)
+    while sign[0]:
+        larger = _star(edges, True)
+        smaller = _star(larger, False)
+        release(edges, larger)
+        edges, last, sign = smaller, sign, _sign(smaller)
         if sign == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    if sign[0]:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,7 +2,8 @@
 
 Pattern candidates come first; base64 and hex candidates are then decoded, and only those that parse as a key
 encoding (DER with consistent nested lengths, an OpenSSH key file) or as a signed token with a JSON header are
-reported beside the pattern kinds. The operator is local to each document: no shuffle.
+reported beside the pattern kinds. Wrapped, escaped and URL-safe forms are joined before they are decoded, and key
+numbers have to fit one another. The operator is local to each document: no shuffle.
 """
 
 from __future__ import annotations
@@ -28,12 +29,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+#: A line, or lines that a line break, written out or not, ends; the alphabet of either kind.
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}(?:\\r)?(?:\\n|\r?\n)[\t ]*)*[A-Za-z0-9+/_-]{40,}(?:(?:\\r)?(?:\\n|\r?\n)[\t ]*[A-Za-z0-9+/_-]+)?={0,2}")
+_BREAK = re.compile(r"\\[rn]|\s+")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_FENCE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+_HEADER = re.compile(r"[A-Za-z-]+: [^\n]*(?:\n[ \t][^\n]*)*")
+#: Object identifiers of password-based encryption, PKCS#5 and PKCS#12.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_RUN = bytes(ord("h") if chr(c) in "0123456789abcdef" else 32 for c in range(256))
-_B64_RUN = bytes(ord("b") if c < 128 and (chr(c).isalnum() or chr(c) in "+/") else 32 for c in range(256))
+_B64_RUN = bytes(ord("b") if c < 128 and (chr(c).isalnum() or chr(c) in "+/-_") else 32 for c in range(256))
 
 
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -57,18 +63,27 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_key_der(data: bytes) -> bool:
-    """Whether bytes are a private or public key: PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo."""
+    """Whether bytes are a private or public key: PKCS#1, PKCS#8 (encrypted too), SEC1, DSA or SubjectPublicKeyInfo.
+    Numbers have to fit: an RSA modulus is the product of its factors, a DSA value the power that it stands for, and a
+    lone pair of numbers an odd modulus of 512 bits or more with a small odd exponent."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != 0x30 or not (items := der_items(top[0][1])):
         return False
     tags = [t for t, _ in items]
-    if tags[:9] == [2] * 9 or tags == [2, 2]:  # RSA private, RSA public
-        return all(c for _, c in items)
+    if tags[:9] == [2] * 9 or tags in ([2] * 6, [2, 2]):
+        x = [int.from_bytes(c, "big", signed=True) for t, c in items if t == 2]
+        if len(x) == 2:
+            return x[0] >= 1 << 511 and x[0] % 2 == 1 and 3 <= x[1] < 1 << 64 and x[1] % 2 == 1
+        if len(x) == 6:
+            return x[0] == 0 and x[1] >= 1 << 511 and max(x[1:]).bit_length() <= 16_384 and 1 < x[3] < x[1] and x[5] > 0 and pow(x[3], x[5], x[1]) == x[4]
+        return x[0] in (0, 1) and x[1] > 1 and min(x[2:6]) > 0 and (x[4] * x[5] == x[1] or x[0] == 1)
     alg = lambda c: bool((x := der_items(c)) and x[0][0] == 6)
     if tags[:3] == [2, 0x30, 4]:
         return alg(items[1][1])
     if tags[:2] == [2, 4] and items[0][1] == b"\x01":
         return 16 <= len(items[1][1]) <= 72
+    if tags == [0x30, 4]:
+        return alg(items[0][1]) and der_items(items[0][1])[0][1].startswith(_PBE) and len(items[1][1]) >= 16
     return tags == [0x30, 3] and alg(items[0][1])
 
 
@@ -98,7 +113,8 @@ def is_signed_token(text: str) -> bool:
 
 
 def _decoded(text: str) -> bytes:
-    body = text.rstrip("=")
+    """Bytes of base64 in either alphabet, line breaks left out."""
+    body = _BREAK.sub("", text).rstrip("=").translate({45: 43, 95: 47})
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4))
@@ -106,6 +122,23 @@ def _decoded(text: str) -> bytes:
         return b""
 
 
+def _fenced(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of fenced key texts: what is between the fences decodes to a key, or its headers say that it is
+    encrypted."""
+    begun = None
+    for m in _FENCE.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun and begun[2] == m[2]:
+            body = text[begun.end() : m.start()].replace("\\r", "").replace("\\n", "\n").replace("\r", "")
+            headers = "".join(_HEADER.findall(body))
+            data = _decoded(_HEADER.sub("", body))
+            encrypted = "Proc-Type: 4,ENCRYPTED" in headers and "DEK-Info: " in headers and len(data) >= 16 and len(data) % 8 == 0
+            if encrypted or is_key_der(data) or is_openssh_key(data):
+                yield begun.start(), m.end()
+            begun = None
+
+
 def find_secrets(raw: bytes | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points by start, then kind order. Cheap byte tests decide which patterns run."""
     if not raw:
@@ -136,10 +169,7 @@ def find_secrets(raw: bytes | None) -> list[tuple[str, int, int]]:
             if is_key_der(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
                 out.append(("der", *m.span()))
     if pem:
-        for m in _PEM.finditer(text):
-            data = _decoded(re.sub(r"\s+", "", m[2]))
-            if is_key_der(data) or is_openssh_key(data):
-                out.append(("pem", *m.span()))
+        out += [("pem", a, z) for a, z in _fenced(text)]
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

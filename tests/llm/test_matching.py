@@ -283,7 +283,9 @@ def test_simhash_is_brute_force(spark, monkeypatch):
     assert simhash_dedup.near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
 
-def test_dense_and_sparse_fingerprints_lose_no_link(spark):
+@pytest.mark.parametrize("most", [2_000_000, 100])
+def test_dense_and_sparse_fingerprints_lose_no_link(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_dedup, "MOST", most)
     r = np.random.default_rng(8)
     centre = r.integers(0, 1 << 63, 3, dtype=np.uint64)
     near = [int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centre for a, b in r.integers(0, 64, (400, 2))]
@@ -291,8 +293,6 @@ def test_dense_and_sparse_fingerprints_lose_no_link(spark):
     got = dict(tuple(v) for v in simhash_dedup.link_components(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")).collect())
     s = np.sort(x.view(np.int64)).tolist()
     u = np.array(s, np.int64).view(np.uint64)
-    want = brute_components(s, lambda i, j: (u[i] ^ u[j]).item().bit_count() <= 3) if len(s) < 50 else None
-    assert want is None
     parent = {}
     for i in range(len(u)):
         for j in np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= 3):
@@ -358,6 +358,35 @@ def test_similar_documents_are_confirmed_exactly(spark, monkeypatch, block):
     assert got == want and 10 < sum(i != c for i, c in want.items() if i < 1000) < 110
 
 
+@pytest.mark.parametrize("block", [1000, 25])
+def test_one_common_passage_makes_no_group_of_all(spark, monkeypatch, block):
+    """Every text holds one passage, so many share minima; pairs of copies are found and nothing else is linked."""
+    monkeypatch.setattr(simhash_dedup, "GROUP_BLOCK", block)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = []
+    for g in range(150):
+        w = [f"{g}w{i}" for i in range(80)]
+        docs += [(2 * g, f"{passage} {' '.join(w)}"), (2 * g + 1, f"{passage} {' '.join(w[:30] + ['new'] * (g % 2) + w[31:])}")]
+    got = {x.doc_id: x.component for x in simhash_dedup.similar_documents(frame(spark, docs)).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_one_of_each_of_odd_rows(spark):
+    """Ids that repeat with other texts, null ids, rows that repeat, text ids, and columns with the names used inside."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(3, a), (5, a), (5, b), (None, b), (None, "alone here"), (7, b + " x"), (9, ""), (8, None), (9, ""), (3, a)]
+    names = ["id", "text", "row", "v1", "v2", "node", "root", "s", "__id", "__stays"]
+    for kind in ("long", "string"):
+        d = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t, *range(8)) for i, t in rows], f"id {kind}, text string, " + ", ".join(f"`{n}` int" for n in names[2:]))
+        left = simhash_dedup.one_of_each(d, id_col="id")
+        assert left.columns == names
+        got = sorted((str(x.id), x.text or "") for x in left.collect())
+        assert got == sorted([("3", a), ("5", b), ("None", "alone here"), ("8", "")])
+        assert simhash_dedup.one_of_each(d.limit(0), id_col="id").count() == 0
+        comp = sorted((str(x.id), str(x.component)) for x in simhash_dedup.similar_documents(d, id_col="id").collect())
+        assert comp == sorted([("3", "3"), ("5", "3"), ("5", "5"), ("None", "5"), ("None", "None"), ("7", "5"), ("9", "8"), ("8", "8"), ("9", "8"), ("3", "3")])
+
+
 def test_no_pair_at_eight_tenths_is_lost(spark):
     docs = []
     for g in range(1500):  # 80 of 100 shingles in common

@@ -83,9 +83,18 @@ def test_pii_of_repeated_null_and_no_rows(spark):
     assert pii.find_pii(d.limit(0)).count() == 0
 
 
-def test_pii_runs_no_python(spark):
-    plan = pii.digest(pii.find_pii(docs_of(spark, ["a@b.cd"])))._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+def test_pii_runs_no_python(spark, monkeypatch):
+    plans = []
+    written = pii.written
+    monkeypatch.setattr(pii, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or written(df, name))
+    pii.digest(pii.find_pii(docs_of(spark, ["a@b.cd"]))).collect()
+    assert len(plans) >= 6 and not any(re.search("Python|Arrow|Pandas", p) for p in plans)
+
+
+def test_places_of_many_matches_in_one_text(spark):
+    t = " ".join(f"ü u{i}@ex{i % 97}.com at 10.0.{i % 250}.7" for i in range(3000))
+    x = pii.digest(pii.find_pii(docs_of(spark, [t]))).first()
+    assert x.base_sha256 == hashlib.sha256(said(plain_pii(t)).encode()).hexdigest() and x.n_email == x.n_ip == 3000
 
 
 def plain_secrets(t):
@@ -101,7 +110,16 @@ def der(tag, *parts):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
-RSA = der(0x30, der(2, b"\0"), *(der(2, bytes([1 + i]) * 60) for i in range(8)))
+def number(n):
+    return der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+P, Q = 2**521 - 1, 2**607 - 1
+D = pow(65537, -1, (P - 1) * (Q - 1))
+RSA = der(0x30, *map(number, (0, P * Q, 65537, D, P, Q, D % (P - 1), D % (Q - 1), pow(Q, -1, P))))
+RSA_PUBLIC = der(0x30, number(P * Q), number(65537))
+DSA = der(0x30, *map(number, (0, Q, 2**160 + 7, 3, pow(3, 12345, Q), 12345)))
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30)), der(4, bytes(range(64))))
 PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, bytes(range(32)))))
 JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256", "typ": "JWT"}).encode(), b'{"sub":"me"}', b"signature-bytes"))
 SSH = b"openssh-key-v1\0" + b"\0\0\0\4none" + b"\0\0\0\4none" + b"\0\0\0\0" + b"\0\0\0\1" + bytes(60)
@@ -118,7 +136,12 @@ def test_patterns_equal_plain_ones(spark):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == kind for k, *_ in want) for kind in secret_scan.BASE]
 
 
-@pytest.mark.parametrize("kind,text", [("jwt", JWT), ("der", base64.b64encode(RSA).decode()), ("der", base64.b64encode(PKCS8).decode()), ("der", PKCS8.hex() + "00" * 0 if len(PKCS8) >= 32 else ""), ("openssh", base64.b64encode(SSH).decode())])
+def wrapped(data, end="\n", width=64):
+    b = base64.b64encode(data).decode()
+    return end.join(b[i : i + width] for i in range(0, len(b), width))
+
+
+@pytest.mark.parametrize("kind,text", [("der", base64.b64encode(x).decode()) for x in (RSA_PUBLIC, DSA, ENCRYPTED)] + [("der", base64.urlsafe_b64encode(RSA).decode().rstrip("=")), ("der", wrapped(RSA)), ("der", wrapped(RSA, "\\n", 76)), ("der", wrapped(PKCS8, "\r\n  ", 40)), ("openssh", wrapped(SSH, "\n", 70)), ("jwt", JWT), ("der", base64.b64encode(RSA).decode()), ("der", base64.b64encode(PKCS8).decode()), ("der", PKCS8.hex() + "00" * 0 if len(PKCS8) >= 32 else ""), ("openssh", base64.b64encode(SSH).decode())])
 def test_structures_are_confirmed(kind, text):
     found = secret_scan.find_secrets(f"é see {text} end".encode())
     assert (kind, 6, 6 + len(text)) in found
@@ -128,7 +151,8 @@ def test_structures_are_confirmed(kind, text):
 
 
 def test_lookalikes_are_not_reported():
-    for t in ("eyJhbGciOiJub25l.x.y", "eyJub3Q.abc.def", base64.b64encode(bytes(range(90))).decode(), "30" * 40, "M" * 80):
+    signature = der(0x30, number(2**250 + 12345), number(2**251 + 7))  # two numbers, but no key
+    for t in (base64.b64encode(signature).decode(), signature.hex(), wrapped(bytes(range(200))), base64.b64encode(der(0x30, number(0), *(number(i + 2**500) for i in range(8)))).decode(), "eyJhbGciOiJub25l.x.y", "eyJub3Q.abc.def", base64.b64encode(bytes(range(90))).decode(), "30" * 40, "M" * 80):
         assert not [k for k, *_ in secret_scan.find_secrets(t.encode()) if k not in secret_scan.BASE], t
 
 
@@ -136,8 +160,19 @@ def test_pem_blocks():
     body = base64.b64encode(RSA).decode()
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + "\n-----END RSA PRIVATE KEY-----"
     assert ("pem", 2, 2 + len(pem)) in secret_scan.find_secrets(f"a {pem}".encode())
+    escaped = pem.replace("\n", "\\n")
+    assert ("pem", 3, 3 + len(escaped)) in secret_scan.find_secrets(f'k="{escaped}"'.encode())
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n" + wrapped(bytes(range(64))) + "\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", 0, len(locked)) in secret_scan.find_secrets(locked.encode())
+    assert "pem" not in {k for k, *_ in secret_scan.find_secrets(("-----BEGIN A-----" * 20_000 + "-----END B-----").encode())}
     assert not [k for k, *_ in secret_scan.find_secrets(pem.replace("RSA", "X").replace(body[4:20], "A" * 16).encode()) if k == "pem"]
 
 
+def test_secrets_of_repeated_and_null_ids(spark):
+    d = spark.createDataFrame([(None, "password=abcdefgh"), (None, None), (1, "x"), (1, "x"), (1, f"é {JWT}")], "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.spans) for x in secret_scan.digest(secret_scan.scan_secrets(d)).collect())
+    assert got == sorted([("None", "assign:0:17"), ("None", ""), ("1", ""), ("1", ""), ("1", f"jwt:2:{2 + len(JWT)}")])
+
+
 def test_secrets_of_no_rows(spark):
     assert secret_scan.digest(secret_scan.scan_secrets(docs_of(spark, ["x"]).limit(0))).count() == 0
