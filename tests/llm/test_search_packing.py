@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from slabwise.llm import packing, topk_search
 
 
@@ -118,24 +117,3 @@ def _quick(cells, best):
     x = np.array([c[0] for c in cells], np.float64)
     count, total = (np.concatenate(([0], np.cumsum([c[i] for c in cells]))).astype(np.float64) for i in (1, 2))
     return [0] + [float((np.array(best[:j]) + x[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])).min()) for j in range(1, len(cells) + 1)]
-
-
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.001"
-    raw = spark.read.parquet(f"{sf}/documents.parquet")
-    docs, sizes = raw, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == raw.columns, name
-        sizes.append(docs.count())
-    assert raw.count() > sizes[0] == sizes[1] > sizes[2] >= sizes[3] > 0
-    packed = corpus_pipeline.run(spark, sf)
-    assert sorted(r.doc_id for r in packed.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
-
-
-def test_pipeline_of_no_documents(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-    assert docs.count() == 0
