@@ -201,9 +201,14 @@ def _by_broadcast(own: DataFrame, items: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for b in batches:
-            texts = [words_of(t.as_py()) for t in b.column(1)]
-            done = [automaton.match(words) for words in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, texts), pa.int64()), pa.array([_said(x) for x, _ in done], _SPAN), pa.array([sorted(n) for _, n in done], pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "spans", "items"])
+            counts, spans, names = [], [], []
+            for t in b.column(1):
+                words = words_of(t.as_py())
+                found, said = automaton.match(words)
+                counts.append(len(words))
+                spans.append(_said(found))
+                names.append(sorted(said))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "spans", "items"])
 
     return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, text binary, n_words long, spans {_SPANS}, items array<string>")
 

@@ -240,6 +240,8 @@ SLACK = 0.3
 DEALS = 12
 #: Documents of a group compared in one task, half of them; groups that stay larger are blocks that meet in pairs.
 GROUP_BLOCK = 1000
+#: Hashes of the shingle sets that are confirmed in one task, half of them.
+SET_BLOCK = 1_000_000
 #: Keys that are broadcast to the texts or to other keys, at most; with more, both sides are shuffled.
 BROADCAST_KEYS = 300_000
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -325,9 +327,10 @@ def _few(keys: DataFrame) -> DataFrame:
 
 def _confirmed(own: DataFrame, nodes: DataFrame, comp: DataFrame, min_similarity: float, shingle: int) -> DataFrame:
     """(u, v) of the exact links inside candidates' components (node, root)."""
-    placed = written(nodes.select("node", "one", "v1", "v2").join(comp, "node", "left").select("node", "one", "v1", "v2", F.coalesce("root", "node").alias("root")), "placed")
-    counts = placed.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = written(placed.join(counts, "root").select("root", "node", "one", F.col("v1").alias("w1"), F.col("v2").alias("w2"), F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("parts")), "members")
+    placed = written(nodes.select("node", "one", "v1", "v2", "n").join(comp, "node", "left").select("node", "one", "v1", "v2", "n", F.coalesce("root", "node").alias("root")), "placed")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("n") / SET_BLOCK)).cast("int")
+    counts = placed.groupBy("root").agg(F.count(F.lit(1)).alias("c"), parts.alias("parts")).where("c > 1")
+    members = written(placed.join(counts, "root").select("root", "node", "one", F.col("v1").alias("w1"), F.col("v2").alias("w2"), "parts"), "members")
     release(placed)
     same = (F.col("v1") == F.col("w1")) & (F.col("v2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("one"))
     texts = own.join(_few(members), same).select("root", "parts", "node", "text")  # one of equal texts
@@ -390,10 +393,10 @@ def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, tex
             each = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(3)]
             least = [minima(h) for h in each]
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], same, pa.array([m[:DEALS].view(np.int64) for m in least], pa.list_(pa.int64())), pa.array([sketch(m) for m in least], pa.binary())], names=["id", "v1", "v2", "same", "deal", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], same, pa.array([m[:DEALS].view(np.int64) for m in least], pa.list_(pa.int64())), pa.array([sketch(m) for m in least], pa.binary()), pa.array(map(len, each), pa.int64())], names=["id", "v1", "v2", "same", "deal", "sig", "n"])
 
-    marks = written(own.mapInArrow(made, f"id {own.schema['id'].dataType.simpleString()}, v1 long, v2 long, same binary, deal array<long>, sig binary"), "sketches")
-    first = F.min_by(F.struct("sig", "deal", "v1", "v2", F.col("id").alias("one")), F.struct("v1", "v2", "id")).alias("x")
+    marks = written(own.mapInArrow(made, f"id {own.schema['id'].dataType.simpleString()}, v1 long, v2 long, same binary, deal array<long>, sig binary, n long"), "sketches")
+    first = F.min_by(F.struct("sig", "deal", "n", "v1", "v2", F.col("id").alias("one")), F.struct("v1", "v2", "id")).alias("x")
     nodes = written(marks.groupBy("same").agg(first).select("same", "x.*", F.monotonically_increasing_id().alias("node")), "nodes")
     lowest = min_similarity - SLACK
 

@@ -339,6 +339,7 @@ def shared(a, b):
 @pytest.mark.parametrize("block", [1000, 20])
 def test_similar_documents_are_confirmed_exactly(spark, monkeypatch, block):
     monkeypatch.setattr(simhash_dedup, "GROUP_BLOCK", block)
+    monkeypatch.setattr(simhash_dedup, "SET_BLOCK", 300 * block)
     r = random.Random(21)
     docs = []
     for g in range(60):
