@@ -66,6 +66,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+# XXH64 in SQL, step by step in 128-bit arithmetic modulo 2^64.
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_MOD = "18446744073709551616::UHUGEINT"
+
+
+def _u(n: int) -> str:
+    return f"{n}::UHUGEINT"
+
+
+def _times(x: str, n: int) -> str:
+    return f"(({x}) * {_u(n)} % {_MOD})"
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"(({x}) * {_u(1 << bits)} % {_MOD} + ({x}) // {_u(1 << 64 - bits)})"
+
+
+def _folded(x: str, bits: int) -> str:
+    return f"xor({x}, ({x}) // {_u(1 << bits)})"
+
+
+def _little(h: str, at: str, size: int) -> str:
+    """A little-endian number of ``size`` bytes out of a hex text, from byte ``at`` on."""
+    return "('0x' || " + " || ".join(f"substr({h}, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+def _accumulator(lane: int, seed: int) -> str:
+    start = (seed + (_P1 + _P2, _P2, 0, -_P1)[lane]) % (1 << 64)
+    step = _times(_turned(f"((acc + {_times('x', _P2)}) % {_MOD})", 31), _P1)
+    return f"list_reduce(list_transform(range(n // 32), lambda i: {_little('h', f'32 * i + {8 * lane}', 8)}), lambda acc, x: {step}, {_u(start)})"
+
+
+def _xxh64_sql(source: str, seed: int) -> str:
+    """(s, x): the hash of each distinct text s of ``source`` (h its hex, n its bytes)."""
+    one = lambda v: _times(_turned(_times(v, _P2), 31), _P1)
+    merged = "c0"
+    tail = f"""list_transform(range((n % 32) // 8), lambda i: {{'k': {one(_little('h', 'n // 32 * 32 + 8 * i', 8))}, 'a': {_u(1 << 27)}, 'b': {_u(1 << 37)}, 'p': {_u(_P1)}, 'q': {_u(_P4)}}})
+|| list_transform(range((n % 8) // 4), lambda i: {{'k': {_times(_little('h', 'n // 8 * 8', 4), _P1)}, 'a': {_u(1 << 23)}, 'b': {_u(1 << 41)}, 'p': {_u(_P2)}, 'q': {_u(_P3)}}})
+|| list_transform(range(n % 4), lambda i: {{'k': {_times(_little('h', 'n // 4 * 4 + i', 1), _P5)}, 'a': {_u(1 << 11)}, 'b': {_u(1 << 53)}, 'p': {_u(_P1)}, 'q': {_u(0)}}})"""
+    step = f"((xor(acc, x.k) * x.a % {_MOD} + xor(acc, x.k) // x.b) * x.p + x.q) % {_MOD}"
+    ctes = [f"SELECT s, h, n, {', '.join(f'{_accumulator(i, seed)} AS v{i}' for i in range(4))} FROM {source}"]
+    ctes.append(f"SELECT *, ({' + '.join(_turned(f'v{i}', b) for i, b in enumerate((1, 7, 12, 18)))}) % {_MOD} AS c0 FROM t0")
+    for i in range(4):
+        merged = f"({_times(f'xor(c{i}, {one(f"v{i}")})', _P1)} + {_u(_P4)}) % {_MOD}"
+        ctes.append(f"SELECT *, {merged} AS c{i + 1} FROM t{i + 1}")
+    ctes.append(f"SELECT s, list_reduce({tail}, lambda acc, x: {step}, (CASE WHEN n >= 32 THEN c4 ELSE {_u((seed + _P5) % (1 << 64))} END + n::UHUGEINT) % {_MOD}) AS y FROM t5")
+    ctes.append(f"SELECT s, {_times(_folded('y', 33), _P2)} AS y FROM t6")
+    ctes.append(f"SELECT s, {_times(_folded('y', 29), _P3)} AS y FROM t7")
+    ctes.append(f"SELECT s, CAST({_folded('y', 32)} AS UBIGINT) AS x FROM t8")
+    return ",\n".join(f"t{i} AS ({c})" for i, c in enumerate(ctes))
+
+
+_BITS = " + ".join(f"CASE WHEN 2 * sum((x >> {b}) & 1) > count(*) THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
+
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -107,6 +162,18 @@ f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op8_simhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT r, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+u AS (SELECT s, hex(encode(s)) AS h, strlen(s) AS n FROM (SELECT DISTINCT s FROM sh)),
+{_xxh64_sql("u", 42)},
+f AS (SELECT r, CAST({_BITS} AS UBIGINT) AS fp FROM sh JOIN t9 USING (s) GROUP BY r),
+p AS (SELECT doc_id, coalesce(fp, 0) AS fp FROM d LEFT JOIN f USING (r)),
+e AS (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+l AS (SELECT a.fp AS a, b.fp AS b FROM e a JOIN e b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 3),
+reach AS (SELECT fp AS a, fp AS b FROM e UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS fp, min(least) AS component_id FROM reach JOIN e ON e.fp = reach.b GROUP BY reach.a)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM p JOIN c USING (fp)""",
     "op10_packing": r"""
 WITH RECURSIVE d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
 h AS (SELECT n, count(*) AS c FROM d GROUP BY n),
