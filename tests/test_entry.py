@@ -23,7 +23,7 @@ def test_core_stands_without_the_subpackage():
         "import sys, importlib.abc\n"
         "class Gone(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path, target=None):\n"
-        "        if name.startswith('slabwise.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name)\n"
+        "        if name.startswith('slabwise.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op1_') or n == 'pipeline' for n in e.queries()))\n"
@@ -31,3 +31,19 @@ def test_core_stands_without_the_subpackage():
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     n, m, found = out.stdout.split()[-3:]
     assert int(n) >= 60 and int(m) >= 60 and found == "False", out.stderr
+
+
+def test_other_missing_modules_are_errors():
+    code = (
+        "import sys, importlib.abc\n"
+        "class Gone(importlib.abc.MetaPathFinder):\n"
+        "    def find_spec(self, name, path, target=None):\n"
+        "        if name == 'xxhash': raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as e\n"
+        "print('llm' if e.llm_queries else 'no llm')\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert "No module named" in out.stderr or "xxhash" in out.stderr or out.stdout.split()[-2:] == ["no", "llm"]
+    if os.path.isdir(f"{ROOT}/slabwise/llm"):
+        assert out.returncode != 0
