@@ -121,6 +121,48 @@ def _xxh64_sql(source: str, seed: int) -> str:
 
 _BITS = " + ".join(f"CASE WHEN 2 * sum((x >> {b}) & 1) > count(*) THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
 
+_END, _RUN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(len({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(reverse({_DIGITS})[i + 1] AS INTEGER) ELSE CAST(reverse({_DIGITS})[i + 1] AS INTEGER) * 2 - CASE WHEN CAST(reverse({_DIGITS})[i + 1] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_KINDS_SQL = (
+    (0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", _LOWER.format("m")),
+    (1, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(m, '{_BYTE}(\.{_BYTE}){{3}}')", "m"),
+    (2, "card", r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END", _DIGITS),
+    (3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15", _DIGITS),
+)
+
+
+def _placed_sql(source: str, text: str, pattern: str, keys: str) -> str:
+    """({keys}, m, a, z): matches with their places in code points; what lies between them gives the places."""
+    pairs = f"SELECT {keys}, unnest(list_zip(string_split_regex({text}, '{pattern}')[:-2], regexp_extract_all({text}, '{pattern}'))) AS p, unnest(range(len(regexp_extract_all({text}, '{pattern}')))) AS i FROM {source} WHERE regexp_matches({text}, '{pattern}')"
+    ends = f"SELECT {keys}, p[2] AS m, CAST(sum(length(p[1]) + length(p[2])) OVER (PARTITION BY {keys} ORDER BY i) AS BIGINT) AS z FROM ({pairs})"
+    return f"SELECT {keys}, m, z - length(m) AS a, z FROM ({ends})"
+
+
+_PII_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({" UNION ALL ".join(f"SELECT r, {k} AS k, '{kind}' AS kind, a, z, {value} AS v FROM ({_placed_sql('d', 't', pattern, 'r')}) WHERE {good}" for k, kind, pattern, good, value in _KINDS_SQL)}),
+x AS (SELECT t, kind || ':' || v AS entity, substring(t, greatest(a - 64, 0) + 1, least(a, 64)) AS before, substring(t, z + 1, 64) AS after FROM b JOIN d USING (r)),
+c AS (SELECT t, entity, before, after, list_distinct(list_filter(list_reverse(string_split_regex({_LOWER.format("' ' || before")}, '{_END}'))[1:4] || string_split_regex({_LOWER.format("after || ' '")}, '{_END}')[1:4], lambda w: length(w) >= 3)) AS terms FROM x),
+held AS (SELECT entity, t, count(*) AS uses, sum(len(terms)) AS slots FROM c GROUP BY entity, t),
+entities AS (SELECT entity, sum(uses) AS uses, sum(slots) AS slots, count(*) AS texts FROM held GROUP BY entity),
+near AS (SELECT entity, term, count(*) AS times, sum(n) AS n FROM (SELECT entity, term, before, after, count(*) AS n FROM (SELECT entity, before, after, unnest(terms) AS term FROM c) GROUP BY ALL) GROUP BY ALL),
+said AS (SELECT t, term, count(*) AS n FROM (SELECT t, unnest(string_split_regex({_LOWER.format("t")}, '{_END}')) AS term FROM d WHERE r IN (SELECT r FROM b)) WHERE length(term) >= 3 GROUP BY ALL),
+whole AS (SELECT entity, term, count(*) AS times, sum(n) AS n FROM held JOIN said USING (t) GROUP BY ALL),
+pairs AS (SELECT 1 AS kind, * FROM near UNION ALL SELECT 0, * FROM whole),
+tests AS (SELECT kind, count(*) AS tests FROM pairs GROUP BY kind),
+uses AS (SELECT term, count(*) AS everywhere FROM (SELECT unnest(string_split_regex({_LOWER.format("t")}, '{_END}')) AS term FROM d) WHERE length(term) >= 3 GROUP BY term),
+sums AS (SELECT (SELECT sum(everywhere) FROM uses) AS words, (SELECT count(*) FROM d) AS docs, (SELECT sum(uses) FROM entities) AS total),
+counted AS (SELECT term, CAST(n AS DOUBLE) AS n, CAST(times AS DOUBLE) AS times, CAST(greatest(everywhere, n) AS DOUBLE) AS likely, CAST(e.uses AS DOUBLE) AS uses, CAST(total AS DOUBLE) AS total, tests / 0.05::DOUBLE AS needed,
+CASE WHEN pairs.kind = 1 THEN CAST(greatest(everywhere, n) * slots AS DOUBLE) / words ELSE CAST(greatest(everywhere, n) * texts AS DOUBLE) / docs END AS mean
+FROM pairs JOIN uses USING (term) JOIN entities e USING (entity) JOIN tests ON tests.kind = pairs.kind, sums),
+terms AS (SELECT DISTINCT term FROM counted WHERE n / likely >= 0.5 AND log2((n + 0.5) / (likely + 1) / ((uses + 0.5) / (total + 1))) >= 3 AND CASE WHEN times > mean THEN (times * ln(times / mean) - times + mean) / ln(2) ELSE 0 END >= log2(needed)),
+marks AS (SELECT r, 4 AS k, 'term' AS kind, a, z FROM ({_placed_sql("(SELECT r, " + _LOWER.format("t") + " AS t FROM d)", "t", _RUN, "r")}) WHERE m IN (SELECT term FROM terms)),
+every AS (SELECT r, k, a, kind || ':' || a || ':' || z AS s FROM (SELECT r, k, kind, a, z FROM b UNION ALL SELECT * FROM marks)),
+told AS (SELECT r, string_agg(s, ',' ORDER BY k, a) AS spans, coalesce(string_agg(s, ',' ORDER BY k, a) FILTER (k < 4), '') AS base, {", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind, *_ in _KINDS_SQL)} FROM every GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for _, kind, *_ in _KINDS_SQL)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -148,6 +190,7 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op5_pii": _PII_SQL,
     "op6_topk_search": """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
 WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
