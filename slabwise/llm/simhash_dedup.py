@@ -9,7 +9,7 @@ stars, never all pairs; the stars are joined into components by distributed min-
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -238,7 +238,7 @@ SKETCH = 128
 SLACK = 0.3
 #: Orders by which documents are dealt.
 DEALS = 12
-#: Documents of a group compared in one task, half of them; groups that stay larger are blocks that meet in pairs.
+#: Documents of a group compared in one task, half of them; groups that stay larger meet in parts.
 GROUP_BLOCK = 1000
 #: Hashes of the shingle sets that are confirmed in one task, half of them.
 SET_BLOCK = 1_000_000
@@ -313,11 +313,37 @@ def exact_groups(sets: list[np.ndarray], least: float) -> Iterator[np.ndarray]:
             yield np.array(group)
 
 
-def _in_pairs(df: DataFrame, salt: str) -> DataFrame:
-    """Each row once for every pair of its block and another of its group's ``parts`` blocks, with the pair's number."""
-    mine = F.pmod(F.xxhash64(salt), F.col("parts")).cast("int")
-    pairs = df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return pairs.withColumn("pair", F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).drop("parts", "mine", "other")
+def _links(make: Callable[[bool], DataFrame], large: bool, group: list[str], joined: Callable) -> DataFrame:
+    """(u, v), written, that ``joined`` finds among the rows of each group; what it leaves out is linked by others.
+
+    make(False) gives (*group, parts, node, …), make(True) those of groups of several parts, if there are ``large``
+    ones. The rows of a large group meet in two rounds, so that they are not copied to every part. First a part meets
+    the first one. Nodes that are linked by then, by whatever way, need not meet; in a cluster of copies that is nearly
+    all of them. So then only those outside the largest linked set of their group meet the rest of it.
+    """
+
+    def met(df: DataFrame) -> DataFrame:
+        found = df.drop("parts").repartition(*group, "pair").sortWithinPartitions(*group, "pair").mapInArrow(joined, "u long, v long")
+        return written(found, "links")
+
+    own = lambda n, *salt: F.pmod(F.xxhash64("node", *salt), F.col(n)).cast("int")
+    rows = make(False)
+    kept = [c for c in rows.columns if c not in (*group, "parts")]
+    to = F.when(own("parts") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own("parts")))
+    first = met(rows.select(*group, "parts", F.explode(to).alias("pair"), *kept).withColumn("pair", F.col("pair").cast("long")))
+    if not large:
+        return first
+    named = make(True).join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    named = written(named, "named")
+    sizes = named.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy(*group).agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("rest"), F.sum("c").alias("all")).where("rest > 0")
+    again = named.join(tops, group).withColumn("others", F.ceil(F.col("parts") * F.col("rest") / F.col("all")).cast("int"))
+    pair = lambda other, mine: (other.cast("long") * (1 << 31) + mine).alias("pair")
+    every = again.select(*group, "parts", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("o"), *kept).withColumn("pair", pair(F.col("o"), own("parts"))).drop("o")
+    rest = again.where("label <> top").select(*group, "parts", "others", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("m"), *kept).withColumn("pair", pair(own("others", F.lit(3)), F.col("m"))).drop("m", "others")
+    second = met(every.unionByName(rest))
+    release(named)
+    return first.unionByName(second)
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -333,14 +359,16 @@ def _confirmed(own: DataFrame, nodes: DataFrame, comp: DataFrame, min_similarity
     members = written(placed.join(counts, "root").select("root", "node", "one", F.col("v1").alias("w1"), F.col("v2").alias("w2"), "parts"), "members")
     release(placed)
     same = (F.col("v1") == F.col("w1")) & (F.col("v2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("one"))
-    texts = own.join(_few(members), same).select("root", "parts", "node", "text")  # one of equal texts
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=["root", "parts", "node", "hashes"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=["home", "parts", "node", "hashes"])
 
-    keyed = _in_pairs(texts.mapInArrow(sets, "root long, parts int, node long, hashes binary"), "node").select("root", "pair", "node", "hashes")
+    def make(large: bool) -> DataFrame:
+        some = members.where("parts > 1") if large else members
+        texts = own.join(_few(some), same).select(F.col("root").alias("home"), "parts", "node", "text")  # one of equal texts
+        return texts.mapInArrow(sets, "home long, parts int, node long, hashes binary")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -353,20 +381,21 @@ def _confirmed(own: DataFrame, nodes: DataFrame, comp: DataFrame, min_similarity
                 yield pa.RecordBatch.from_arrays([pa.array(node[g]), pa.array(np.full(len(g), node[g].min()))], names=["u", "v"])
 
         for b in batches:
-            for root, pair, node, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for root, pair, node, hashes in zip(*(b.column(n).to_pylist() for n in ("home", "pair", "node", "hashes")), strict=True):
                 if (root, pair) != key:
                     yield from links()
                     key, held = (root, pair), {}
-                held[node] = hashes  # rows with equal texts are one
+                held[node] = hashes  # a row may come twice
         yield from links()
 
-    links = written(keyed.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(joined, "u long, v long"), "links")
+    found = _links(make, not members.where("parts > 1").isEmpty(), ["home"], joined)
     release(members)
-    return links
+    return found
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """(key, pair, node, sig): texts that share a minimum under one of the orders have a key in common, and a pair."""
+def _dealt(nodes: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(key, parts, node, sig): texts that share a minimum under one of the orders have a key in common. Besides, the
+    same for keys of several parts, and whether there are any."""
     each = nodes.select("node", "sig", "deal", F.posexplode("deal").alias("j", "m")).select("node", "sig", "deal", "j", F.xxhash64("j", "m").alias("key"))
 
     def large(df: DataFrame) -> DataFrame:
@@ -374,13 +403,13 @@ def _dealt(nodes: DataFrame) -> DataFrame:
 
     hot = large(each.select("key"))
     keys = _few(hot.select("key"))
-    direct = each.join(keys, "key", "left_anti").select("key", "node", "sig", F.lit(1).alias("parts"))
+    direct = each.join(keys, "key", "left_anti").select("key", F.lit(1).alias("parts"), "node", "sig")
     again = each.join(keys, "key", "left_semi").select("node", "sig", F.col("j").alias("i"), F.col("key").alias("first"), F.posexplode("deal").alias("j", "m")).where("i <> j")
     second = F.xxhash64("j", "m")  # the two minima in one order, so that two large ones make one group
     again = again.withColumn("key", F.when(F.col("i") < F.col("j"), F.xxhash64("first", second)).otherwise(F.xxhash64(second, "first"))).select("key", "node", "sig").dropDuplicates(["key", "node"])
     hotter = large(again.select("key"))
-    sized = again.join(_few(hotter), "key", "left").select("key", "node", "sig", F.ceil(F.coalesce("c", F.lit(1)) / GROUP_BLOCK).cast("int").alias("parts"))
-    return _in_pairs(direct.unionByName(sized), "node").select("key", "pair", "node", "sig")
+    sized = again.join(_few(hotter), "key", "left").select("key", F.ceil(F.coalesce("c", F.lit(1)) / GROUP_BLOCK).cast("int").alias("parts"), "node", "sig")
+    return direct.unionByName(sized), sized.where("parts > 1"), not hotter.isEmpty()
 
 
 def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -407,14 +436,15 @@ def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, tex
             if sum(len(x[0]) for x in held) < 2:
                 return
             node, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            for g in _alike(sig, lowest):
+            node, once = np.unique(node, return_index=True)  # a row may come twice
+            for g in _alike(sig[once], lowest):
                 yield pa.RecordBatch.from_arrays([pa.array(node[g]), pa.array(np.full(len(g), node[g].min()))], names=["u", "v"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            k, pair, node = (b.column(i).to_numpy() for i in range(3))
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, SKETCH)
+            k, pair, node = (b.column(n).to_numpy() for n in ("key", "pair", "node"))
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SKETCH)
             cuts = (np.flatnonzero((np.diff(k) != 0) | (np.diff(pair) != 0)) + 1).tolist()
             for at, to in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
                 if (k[at], pair[at]) != key:
@@ -423,7 +453,8 @@ def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, tex
                 held.append((node[at:to], sig[at:to]))
         yield from links()
 
-    edges = _dealt(nodes).repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(joined, "u long, v long")
+    rows, hot, large = _dealt(nodes)
+    edges = _links(lambda only: hot if only else rows, large, ["key"], joined)
     comp = components(_confirmed(own, nodes, components(edges), min_similarity, shingle))
     rooted = written(nodes.join(comp, "node", "left").select("same", F.coalesce("root", "node").alias("root")), "rooted")
     out = written(marks.select("id", "v1", "v2", "same").join(rooted, "same").select("id", "v1", "v2", "root"), "near")

@@ -372,6 +372,23 @@ def test_one_common_passage_makes_no_group_of_all(spark, monkeypatch, block):
     assert got == {i: i - i % 2 for i, _ in docs}
 
 
+def test_a_large_cluster_of_copies_is_not_copied_to_all_parts(spark, monkeypatch):
+    """1,200 variants of one text and a chain beside them, in parts of 40: rows that meet grow with the cluster."""
+    monkeypatch.setattr(simhash_dedup, "GROUP_BLOCK", 40)
+    sent, written = [], simhash_dedup.written
+    monkeypatch.setattr(simhash_dedup, "written", lambda df, name: sent.append(name) or written(df, name))
+    w = [f"c{i}" for i in range(400)]
+    docs = [(i, " ".join(w[:k] + [f"v{i}"] + w[k + 1 :])) for i, k in enumerate(random.Random(2).choices(range(400), k=1200))]
+    chain = list(w)
+    for i in range(12):  # each step has over four fifths in common with the one before; the ends have nothing
+        chain = chain[:]
+        chain[i * 33 : i * 33 + 33] = [f"s{i}x{j}" for j in range(33)]
+        docs.append((2000 + i, " ".join(chain)))
+    got = {x.doc_id: x.component for x in simhash_dedup.similar_documents(frame(spark, docs)).collect()}
+    assert set(got.values()) == {0}
+    assert sent.count("links") in (3, 4)
+
+
 def test_one_of_each_of_odd_rows(spark):
     """Ids that repeat with other texts, null ids, rows that repeat, text ids, and columns with the names used inside."""
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
