@@ -26,9 +26,9 @@ BITS, SEED = 64, 42
 SAMPLE = 16_384
 #: Distinct fingerprints that a shard should hold, and leaves of the broadcast tree at most.
 SHARD, LEAVES = 512, 4096
-#: Distinct fingerprints of a shard that meet in one task, at most; they split further in memory. Larger shards, and
-#: those far over the mean, are blocks in pairs.
-MOST = 2_000_000
+#: Distinct fingerprints of a shard that meet in one task, at most; they split further in memory. Larger shards are
+#: blocks in pairs; those far over the mean are too, for more tasks, but of this many blocks, so that copies are few.
+MOST, PARTS = 2_000_000, 16
 LEAF = 1024
 
 
@@ -178,7 +178,7 @@ def link_components(fps: DataFrame, reach: int = 3) -> DataFrame:
 
     sizes = {int(r[0]) >> 40: r[1] for r in fps.mapInArrow(dealt, "key long, fp long").groupBy("key").count().collect()}
     usual = max(SHARD, sum(sizes.values()) // max(1, len(sizes)))
-    parts = {s: -(-k // min(MOST, 2 * usual)) for s, k in sizes.items() if k > min(MOST, 3 * usual)}
+    parts = {s: max(-(-k // MOST), min(PARTS, -(-k // (2 * usual)))) for s, k in sizes.items() if k > min(MOST, 3 * usual)}
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
