@@ -92,6 +92,18 @@ def segment_path(segment_id: Column, shards: int, base: str = "") -> Column:
     return F.concat(F.lit(f"{base}/" if base else ""), F.format_string("segments/%04d/%d.seg", F.pmod(segment_id, F.lit(max(1, shards))), segment_id))
 
 
+def chunk_key(segment_id: Column, chunk: Column) -> Column:
+    """16 bytes that sort as (segment, chunk) do for numbers of 0 or more: both big-endian."""
+    big = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 16, "0"))
+    return F.concat(big(segment_id), big(chunk))
+
+
+def chunk_of_key(key: Column) -> Column:
+    """(segment_id, chunk) of a chunk's key."""
+    number = lambda at: F.conv(F.hex(F.substring(key, at, 8)), 16, -10).cast("long")
+    return F.struct(number(1).alias("segment_id"), number(9).alias("chunk"))
+
+
 def segment_id_of(name: Column) -> Column:
     """The number that a segment's file name starts with; 0 if there is none that fits."""
     return F.coalesce(F.regexp_extract(name, r"^([+-]?[0-9]{1,18})", 1).try_cast("bigint"), F.lit(0).cast("long"))

@@ -725,6 +725,26 @@ def segment_open_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("segment_id", layout.segment_ids(F.floor(F.col("segment_id") / SHARDS), F.col("segment_id") % SHARDS, 1000, SHARDS).alias("id"))
 
 
+@query(f"WITH {IDX} SELECT DISTINCT segment_id, chunk, lower(lpad(to_hex(segment_id), 16, '0') || lpad(to_hex(chunk), 16, '0')) AS key FROM idx")
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of chunks, and what is read out of them."""
+    keys = corpus.index(spark, sf_dir).select(K.chunk_key(F.col("segment_id"), F.col("chunk")).alias("k")).distinct()
+    return keys.select(K.chunk_of_key(F.col("k")).alias("p"), F.lower(F.hex("k")).alias("key")).select("p.*", "key")
+
+
+@query(f"WITH k AS (SELECT DISTINCT 'doc-' || doc_id AS key, {HASH.format(chr(39) + 'doc-' + chr(39) + ' || doc_id')} % 4 AS writer FROM documents) SELECT count(DISTINCT writer) AS valid, CAST(1 AS BIGINT) AS corrupt, count(*) AS recovered FROM k")
+def store_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a store is lost and a file that is no segment lies beside the others; recovery counts what it finds."""
+    with _store(spark, "recover-store", segment_bytes=1 << 40) as s:
+        s.put(_blob_rows(spark, sf_dir).select("key", "value"))
+    drop(spark, f"{s.path}/index")
+    fs, at = segfile.file_system(f"{s.path}/segments/0000/junk.seg")
+    with fs.open_output_stream(at) as f:
+        f.write(b"no segment")
+    done = blobstore.recover(spark, s.path, s.config)
+    return spark.createDataFrame([(done["valid"], done["corrupt"], done["recovered"])], "valid long, corrupt long, recovered long")
+
+
 _SLAB_SIZES = (0, 1 << 20, 100 << 20, 128 << 20, 64 << 30)
 
 

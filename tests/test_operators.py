@@ -46,6 +46,13 @@ def test_pages_and_metadata(spark):
     assert [one(spark, K.metadata_bytes(F.lit(n).cast("long"))) for n in (100, 5000)] == [4096, 200_704]
 
 
+def test_chunk_keys_sort_as_their_numbers(spark):
+    pairs = [(3, 0), (0, 5), (256, 1), (2, 300), (2**62, 7), (2, 2)]
+    d = spark.createDataFrame(pairs, "s long, c long").select("s", "c", K.chunk_key(F.col("s"), F.col("c")).alias("k"))
+    rows = d.orderBy("k").select("s", "c", K.chunk_of_key(F.col("k")).alias("p"), F.octet_length("k").alias("n")).collect()
+    assert [(r.s, r.c) for r in rows] == sorted(pairs) == [tuple(r.p) for r in rows] and {r.n for r in rows} == {16}
+
+
 @pytest.mark.parametrize("pos,size,want", [(0, 8192, (0, 8192, True)), (100, 4096, (0, 0, False)), (100, 12_000, (4096, 4096, True)), (4096, 4095, (0, 0, False))])
 def test_hole_punch_keeps_neighbours(spark, pos, size, want):
     assert tuple(one(spark, K.punchable(F.lit(pos).cast("long"), F.lit(size).cast("long")))) == want
