@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -66,6 +67,90 @@ def test_held_out_accuracy(spark):
         assert sum((r.score >= at) == (r[target] == 1) for r in scored) >= 0.97 * len(scored)
 
 
+def plain_model(docs):
+    """Lexicon, gap, decay, log K and calibration by their definitions; docs has (text, y) without repeats."""
+    seen = [({k for w in text.split() for k in [w, *("^" + w[:n] for n in range(4, 11) if n < len(w))]}, y) for text, y in docs]
+    t1 = sum(y for _, y in docs)
+    t0 = len(docs) - t1
+    terms = {}
+    for k in sorted({k for keys, _ in seen for k in keys}):
+        n1 = sum(y for keys, y in seen if k in keys)
+        n0 = sum(k in keys for keys, _ in seen) - n1
+        a = 100.0 * (n0 + n1) / (t0 + t1) + 0.01
+        d = math.log((n1 + a) / (t1 + 100.0 - n1 - a + 1)) - math.log((n0 + a) / (t0 + 100.0 - n0 - a + 1))
+        rate, n = t1 / (t0 + t1), n0 + n1
+        e = sum(x * math.log(x / n / r) for x, r in ((n1, rate), (n0, 1 - rate)) if x)
+        if e >= 12 and n >= 3 and (n1 >= 3 if d > 0 else not k.startswith("^")):
+            terms[k] = min(12.0, max(-2.0, d))
+
+    def score(w):
+        keys = [w, *("^" + w[:n] for n in range(4, 11) if n < len(w))]
+        best = max((terms.get(k, 0.0) for k in keys), default=0.0)
+        return best if best > 0 else terms.get(w)
+
+    clean = [score(w) for text, y in docs if not y for w in text.split()]
+    blank, known = clean.count(None), [x for x in clean if x is not None]
+    gap = min(-0.5, (-0.25 * len(clean) - sum(known)) / max(1, blank))
+    return terms, score, gap, [gap] * blank + known
+
+
+def test_model_and_score_are_brute_force(spark):
+    r = random.Random(7)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    docs = []
+    for i in range(300):
+        text = r.choices(words, k=30)
+        if i % 4 == 0:
+            text[5:5] = r.sample(["vilest", "nasty", "foul"], 2)
+            text = [w for w in text if w != "wordaa"]  # evidence against
+        elif i % 40 == 1:
+            text[9:9] = ["nasty"]
+        docs.append((" ".join(text + ["wordaa"] * (i % 4 != 0)), int(i % 4 == 0)))
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)] + [(1000, docs[1][0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(docs)] + [(1000, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, F.lit(True))
+    terms, score, gap, tokens = plain_model(docs)
+    got = {k.decode(): v for k, v in model.terms.terms.items()}
+    assert got.keys() == terms.keys() and all(abs(got[k] - terms[k]) < 1e-9 for k in terms) and min(terms.values()) < 0
+    assert abs(model.gap - gap) < 1e-9
+    assert abs(np.mean(np.exp(model.decay * np.array(tokens))) - 1) < 1e-6 and model.decay > 0
+    found = {t: brute_segments([(i, s) for i, w in enumerate(t.split()) if (s := score(w)) is not None], len(t.split()), gap) for t, _ in docs}
+    starts = sum(len(found[t]) for t, y in docs if not y)
+    log_k = math.log(max(1, starts) / len(tokens))
+    assert abs(model.log_k - log_k) < 1e-9
+
+    def shape(t):
+        sure = sorted((max(0.0, model.decay * s - log_k - math.log(len(t.split()))) for *_, s in found[t]), reverse=True)
+        best = max((s for *_, s in found[t]), default=0.0)
+        return [min(60.0, sure[0]) if sure else 0.0, math.log1p(sum(sure)), math.log1p(len(sure)), math.log1p(best), float(bool(sure))]
+
+    x = np.array([shape(t) for t, _ in docs])
+    w = logistic(x, np.array([y for _, y in docs], float))
+    want = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    done = {row.doc_id: row.score for row in toxicity.score_documents(d, model).collect()}
+    assert all(abs(done[i] - want[i]) < 1e-6 for i in range(len(docs)))
+
+
+def test_equal_texts_with_both_labels_count_as_toxic(spark):
+    docs, labels = corpus(spark)
+    again = docs.withColumn("doc_id", F.col("doc_id") + 1000)
+    other = labels.select(F.col("doc_id") + 1000, "quality", F.lit(0).alias("toxic"))
+    a = toxicity.fit(docs, labels, F.lit(True))
+    b = toxicity.fit(docs.unionByName(again), labels.union(other), F.lit(True))
+    assert a.terms.terms == b.terms.terms and np.allclose(a.weights, b.weights)
+
+
+def test_quality_of_text_ids_and_of_mostly_bad_labels(spark):
+    docs, labels = corpus(spark)
+    text = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    named = labels.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert quality.score_documents(text, quality.fit(text, named, F.lit(True))).count() == 400
+    bad = labels.where("quality = 0 OR doc_id % 20 = 1")  # five in six are bad
+    model = quality.fit(docs, bad, F.lit(True))
+    got = quality.score_documents(docs, model).join(labels, "doc_id").collect()
+    assert sum((x.score >= 0.5) == (x.quality == 1) for x in got) >= 0.99 * len(got)
+
+
 def test_odd_rows(spark):
     docs, labels = corpus(spark)
     odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "vile " * 50_000), (3, None)], "doc_id long, text string")
