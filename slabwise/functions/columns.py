@@ -16,11 +16,6 @@ def portable_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def native_hash(key: Column) -> Column:
-    """The engine's default key hash; fast, 64 bits, signed."""
-    return F.xxhash64(key)
-
-
 def xxh64_seed0(key: Column) -> Column:
     """XXH64 with seed 0, for stores whose keys were hashed so; needs Python."""
     import xxhash

@@ -42,11 +42,6 @@ def compaction_candidates(index: DataFrame, below: float = C.COMPACT_BELOW, cycl
     return fullness(index, segment).where(F.col("fullness") < below).orderBy("fullness", segment).limit(cycle).select(segment)
 
 
-def compacted(index: DataFrame, candidates: DataFrame, segment: str = "segment_id") -> tuple[DataFrame, DataFrame]:
-    """(index without the candidates' entries, their live entries to put again)."""
-    return index.join(candidates, segment, "left_anti"), index.where(~F.col("deleted")).join(candidates, segment, "left_semi")
-
-
 def first_error(log: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
     """The error that a store stays degraded by: the first."""
     return log.agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("e")).where("e IS NOT NULL").select("e.*")

@@ -542,8 +542,8 @@ def sieve_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {OPS}, n AS (SELECT (row_number() OVER (ORDER BY ts, seq) - 1) // {BATCH} AS batch FROM ops), b AS (SELECT batch, count(*) AS n FROM n GROUP BY batch) SELECT batch, n FROM b ORDER BY batch DESC LIMIT 6")
 def degraded_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = running(corpus.ops(spark, sf_dir), ["hour"], [F.col("ts"), F.col("seq")], {"before": F.lit(1)})
-    batches = placed.groupBy(F.floor(F.col("before") / BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
-    return batches.orderBy(F.desc("batch")).limit(6)
+    kept = maintain.retained_batches(placed.select(F.floor(F.col("before") / BATCH).alias("batch")), "batch", 6)
+    return kept.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 1")

@@ -108,7 +108,7 @@ def test_lost_files_are_misses_and_heal(spark, tmp_path):
 
 def test_ghost_keys_are_counted(spark, tmp_path):
     with Store(spark, str(tmp_path), options()) as store:
-        ghost = keys(spark, "ghost-key").withColumn("h", K.native_hash(F.col("key")).bitwiseAND(F.lit((1 << 63) - 1)))
+        ghost = keys(spark, "ghost-key").withColumn("h", F.xxhash64("key").bitwiseAND(F.lit((1 << 63) - 1)))
         store.filter = bloom.merge(store.filter, bloom.build(ghost, "h", store.geometry))
         assert found(store, spark, "ghost-key") == {"ghost-key": None} and (store.hits, store.ghosts) == (1, 1)
         store.filter._slabwise_path = str(tmp_path / "none")

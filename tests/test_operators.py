@@ -181,13 +181,6 @@ def test_repack_leaves_fewest_chunks(spark):
     assert sorted(tuple(r) for r in maintain.repack(i, gone, ["seg", "id"], "seg", ["id"], 10).collect()) == [(1, 0, 5), (2, 0, 0)]
 
 
-def test_compaction_moves_live_entries(spark):
-    i = spark.createDataFrame([(1, 10, True), (1, 1, False), (2, 10, False)], "segment_id long, size long, deleted boolean")
-    picked = maintain.compaction_candidates(i)
-    left, again = maintain.compacted(i, picked)
-    assert [r.segment_id for r in picked.collect()] == [1] and left.count() == 1 and [r.size for r in again.collect()] == [1]
-
-
 def test_degraded_keeps_newest(spark):
     b = spark.range(20).select(F.floor(F.col("id") / 2).alias("batch"), "id")
     assert sorted({r.batch for r in maintain.retained_batches(b, "batch", 6).collect()}) == [4, 5, 6, 7, 8, 9]
