@@ -41,6 +41,8 @@ class RunLengthIndex:
         self.run_base = np.empty(len(size), np.int64)  # rows of suffixes are in the order of their first symbols
         self.run_base[self.by_head] = np.cumsum(size[self.by_head]) - size[self.by_head]
         self.head_key = self.run_head[self.by_head] * len(size) + self.by_head
+        self.run_next = np.searchsorted(self.run_start, self.run_base, "right") - 1  # the run of that row
+        self.run_stop = np.append(self.run_start[1:], n)
 
     def _sorted(self, symbol: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         """Places in the order of their suffixes: prefix doubling over those that are still tied."""
@@ -73,6 +75,16 @@ class RunLengthIndex:
         run = np.searchsorted(self.run_start, rows, "right") - 1
         return self.run_base[run] + rows - self.run_start[run]
 
+    def _runs_of(self, rows: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        """The runs of rows that are in the runs guessed or, mostly, just after."""
+        run, late = guess, np.flatnonzero(rows >= self.run_stop[guess])
+        for _ in range(2):
+            run[late] += 1
+            late = late[rows[late] >= self.run_stop[run[late]]]
+        if len(late):
+            run[late] = np.searchsorted(self.run_start, rows[late], "right") - 1
+        return run
+
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of what the suffixes at places ``a`` and ``b`` have in common, ``most`` at most."""
         most = np.minimum(most, np.minimum(self.left[a], self.left[b]))
@@ -100,13 +112,12 @@ class RunLengthIndex:
         sizes = stops - starts
         active = np.searchsorted(-sizes, -np.arange(1, int(sizes.max()) + 1), "right")  # strings with so many bytes
         k, runs = len(starts), len(self.run_start)
-        row, place, length = (np.zeros(k, np.int64) for _ in range(3))
+        row, place, length, run = (np.zeros(k, np.int64) for _ in range(4))
         place += self.first_place[0]
         for t, k in enumerate(active.tolist(), 1):
             at = stops[:k] - t
-            row, place, length = row[:k], place[:k], length[:k]
+            row, place, length, run = row[:k], place[:k], length[:k], run[:k]
             c = data[at].astype(np.int64) + 1
-            run = np.searchsorted(self.run_start, row, "right") - 1
             j = np.flatnonzero(self.run_head[run] != c)
             if len(j):
                 cj, had, here = c[j], length[j], place[j]
@@ -118,13 +129,15 @@ class RunLengthIndex:
                 upward = high >= low
                 best = np.where(upward, high, low)
                 run[j] = np.where(upward, up, down)
-                size = np.where(run[j] + 1 < runs, self.run_start[np.minimum(run[j] + 1, runs - 1)], self.rows)
-                row[j] = np.where(upward, size - 1, self.run_start[run[j]])
+                row[j] = np.where(upward, self.run_stop[run[j]] - 1, self.run_start[run[j]])
                 place[j] = np.where(upward, self.last_place[up], self.first_place[down])
                 length[j] = best
             row = self.run_base[run] + row - self.run_start[run]
             place, length = place - 1, length + 1
             lost = np.flatnonzero(length == 0)  # a byte that no indexed string has
             row[lost], place[lost] = 0, self.first_place[0]
+            guess = self.run_next[run]
+            guess[lost] = 0
+            run = self._runs_of(row, guess)
             out[at] = length
         return out
