@@ -275,11 +275,11 @@ class Store:
         self._check_open()
         c = self.config
         live = written(self.index(), "live")
-        total = live.agg(F.sum("size")).first()[0] or 0
+        total, buckets = live.agg(F.coalesce(F.sum("size"), F.lit(0)), (F.max("bucket") - F.min("bucket") + 1).cast("long")).first()
         needed = total - c.max_size * C.HYSTERESIS_PERCENT // 100 if c.max_size and total > c.max_size else 0
         out = {"victims": 0, "bytes": 0, "punchable": 0}
         if needed:
-            chosen = evict.fifo(live, needed, "bucket", "seq") if c.policy == "fifo" else evict.sieve(live, needed, "bucket", "seq", self.hand)
+            chosen = evict.fifo(live, needed, "bucket", "seq", buckets) if c.policy == "fifo" else evict.sieve(live, needed, "bucket", "seq", self.hand, buckets)
             victims = written(chosen, "victims")
             hole = K.punchable(F.col("pos"), F.col("size"))["len"]
             out = victims.agg(F.count(F.lit(1)).alias("victims"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(hole), F.lit(0)).alias("punchable")).first().asDict()

@@ -17,30 +17,35 @@ def need(total: Column, max_size: Column) -> Column:
     return F.when(total > max_size, total - F.floor(max_size * C.HYSTERESIS_PERCENT / 100)).otherwise(F.lit(0)).cast("long")
 
 
-def _limits(live: DataFrame, percent: int) -> DataFrame:
-    """One row: total size, and the bytes to free when the limit is ``percent`` of it."""
+#: Buckets that one task orders; more are put together by the thousand first.
+BUCKETS, WIDTH = 50_000, 1000
+
+
+def limits(live: DataFrame, percent: int, bucket: str) -> DataFrame:
+    """One row: total size, the bytes to free when the limit is ``percent`` of it, and how many buckets there may be."""
     total = F.sum("size").cast("long")
     limit = F.floor(total * percent / 100)
-    return live.agg(total.alias("total"), need(total, limit).alias("need"))
+    return live.agg(total.alias("total"), need(total, limit).alias("need"), (F.max(bucket) - F.min(bucket) + 1).cast("long").alias("buckets"))
 
 
-def _first(df: DataFrame, bucket: list[str], order: list[str], needed: int, width: int) -> DataFrame:
-    coarse = F.struct(*bucket[:-1], F.floor(F.col(bucket[-1]) / width).alias("part"))
+def _first(df: DataFrame, bucket: list[str], order: list[str], needed: int, buckets: int | None) -> DataFrame:
+    many = buckets is None or buckets > BUCKETS
+    coarse = F.struct(*bucket[:-1], F.floor(F.col(bucket[-1]) / WIDTH).alias("part")) if many else None
     placed = running(df, bucket, [F.col(c) for c in order], {"__before": F.col("size"), "ord": F.lit(1)}, coarse)
     return placed.where(F.col("__before") < needed).drop("__before").withColumn("ord", (F.col("ord") + 1).cast("long"))
 
 
-def fifo(live: DataFrame, needed: int, bucket: str, pos: str, width: int = 1000) -> DataFrame:
+def fifo(live: DataFrame, needed: int, bucket: str, pos: str, buckets: int | None = None) -> DataFrame:
     """Victims with ``ord`` from 1: the oldest until ``needed`` bytes are free. ``bucket`` is a number that does not
-    fall along ``pos``; ``width`` buckets are put together where all of them are ordered."""
-    return _first(live, [bucket], [pos], needed, width)
+    fall along ``pos``; ``buckets``, if known, says how many there are at most."""
+    return _first(live, [bucket], [pos], needed, buckets)
 
 
-def sieve(live: DataFrame, needed: int, bucket: str, pos: str, hand: int | None, width: int = 1000) -> DataFrame:
+def sieve(live: DataFrame, needed: int, bucket: str, pos: str, hand: int | None, buckets: int | None = None) -> DataFrame:
     """Victims of one SIEVE batch with ``ord`` from 1: unvisited ones from the hand on and round, then the rest."""
     behind = F.lit(False) if hand is None else F.col(pos) < hand
     turned = live.withColumn("__late", F.col("visited").cast("int")).withColumn("__behind", behind.cast("int"))
-    return _first(turned, ["__late", "__behind", bucket], [pos], needed, width).drop("__late", "__behind")
+    return _first(turned, ["__late", "__behind", bucket], [pos], needed, buckets).drop("__late", "__behind")
 
 
 def sieve_after(live: DataFrame, victims: DataFrame, pos: str, hand: int | None) -> DataFrame:

@@ -477,19 +477,22 @@ _TURN = f"visited, doc_id < {HAND}, doc_id"
 _SIEVE = _NEED + f", sieve AS (SELECT doc_id, size, visited, ord FROM (SELECT *, row_number() OVER (ORDER BY {_TURN}) AS ord, coalesce(sum(size) OVER (ORDER BY {_TURN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM live), need WHERE before < need)"
 
 
-def _needed(live: DataFrame) -> int:
-    return evict._limits(live, LIMIT_PERCENT).first().need or 0
+def _needed(live: DataFrame) -> tuple[int, int | None]:
+    row = evict.limits(live, LIMIT_PERCENT, "segment_id").first()
+    return row.need or 0, row.buckets
 
 
 def _victims(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = _live(spark, sf_dir)
-    return evict.sieve(live, _needed(live), "segment_id", "doc_id", HAND)
+    needed, buckets = _needed(live)
+    return evict.sieve(live, needed, "segment_id", "doc_id", HAND, buckets)
 
 
 @query(f"WITH {_FIFO} SELECT doc_id, ord FROM fifo")
 def evict_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = _live(spark, sf_dir)
-    return evict.fifo(live, _needed(live), "segment_id", "doc_id").select("doc_id", "ord")
+    needed, buckets = _needed(live)
+    return evict.fifo(live, needed, "segment_id", "doc_id", buckets).select("doc_id", "ord")
 
 
 @query(f"WITH {_SIEVE} SELECT doc_id, ord FROM sieve")
@@ -506,7 +509,8 @@ def evict_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT min(l.doc_id) AS hand FROM l, v WHERE l.doc_id > v.doc_id)
 SELECT l.doc_id, CASE WHEN v.visited THEN false ELSE l.visited AND NOT ((l.doc_id < {HAND}, l.doc_id) < (v.doc_id < {HAND}, v.doc_id)) END AS visited, coalesce(l.doc_id = hand, false) AS is_hand FROM l, v, h""")
 def sieve_post_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evict.sieve_after(_live(spark, sf_dir), _victims(spark, sf_dir), "doc_id", HAND).select("doc_id", "visited", "is_hand")
+    victims = written(_victims(spark, sf_dir), "victims")  # read three times
+    return evict.sieve_after(_live(spark, sf_dir), victims, "doc_id", HAND).select("doc_id", "visited", "is_hand")
 
 
 @query(f"WITH {_SIEVE} SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(any_value(total) - sum(size) AS BIGINT) AS remaining FROM sieve, need")
