@@ -36,7 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup by shared shingles: one row of each group stays, one with the smallest id.
+    """SimHash near-dedup, every link confirmed by shared shingles: one row of each group stays, one with the smallest
+    id.
 
     Texts without words are alike, null ones too; a null id is larger than others; of rows that repeat one stays. The
     row that stays is as it was.

@@ -203,6 +203,18 @@ def link_components(fps: DataFrame, reach: int = 3) -> DataFrame:
     return components(edges)
 
 
+def fingerprint_groups(made: DataFrame, reach: int = 3) -> DataFrame:
+    """(id, fp) to (fp, component), written: the smallest id among the fingerprints that links join to fp, itself
+    included."""
+    fps = written(made.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    comp = link_components(fps.select("fp"), reach)
+    rooted = written(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = written(rooted.select("fp", "root").join(first, "root").select("fp", "component"), "named")
+    release(fps, rooted)
+    return named
+
+
 def near_duplicates(docs: DataFrame, reach: int = 3, shingle: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id reachable, itself included.
 
@@ -211,12 +223,7 @@ def near_duplicates(docs: DataFrame, reach: int = 3, shingle: int = 3, *, id_col
     Columns besides the two named are not read. An empty table gives no rows.
     """
     made = written(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "fingerprints")
-    fps = written(made.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    comp = link_components(fps.select("fp"), reach)
-    rooted = written(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    first = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = written(rooted.select("fp", "root").join(first, "root").select("fp", "component"), "named")
-    release(fps, rooted)
+    named = fingerprint_groups(made, reach)
     out = written(made.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component"), "components")
     release(made, named)
     return out
@@ -226,12 +233,14 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Near copies at a share of common shingles. At such distances the triangle bounds of 64-bit fingerprints prune
-# nothing and a limit of bits loses links, so documents are dealt by minima of their shingles under a few orders: two
-# sets that share four fifths miss each other in all of them once in 244 million times. A group that a common passage
-# makes large is dealt again by a second minimum. Inside a group a sketch that travels with the texts picks
-# candidates, so loosely that it loses no link to speak of. The sets of candidates' components then meet once, and
-# every link is confirmed there by the exact share of common shingles.
+# Near copies at a share of common shingles. Fingerprints of the shingle sets go through the vantage-point tree first,
+# and what it links are candidates. Sets that share four fifths may differ in 18 bits, where triangle bounds prune
+# nothing, so for the links beyond its reach texts are dealt by minima of their shingles under a few orders: two sets
+# that share four fifths miss each other in all of them once in 244 million times. Only the minima whose texts the
+# tree has not linked with one another yet make a group; one that a common passage makes large is dealt again by a
+# second minimum. Inside a group a sketch that travels with the texts picks candidates, so loosely that it loses no
+# link to speak of. The sets of candidates' components, by either way, then meet once, and every link is confirmed
+# there by the exact share of common shingles.
 
 SKETCH = 128
 #: What is taken off the similarity for the error of the estimate, over eight standard deviations of it at 0.8.
@@ -313,8 +322,9 @@ def exact_groups(sets: list[np.ndarray], least: float) -> Iterator[np.ndarray]:
             yield np.array(group)
 
 
-def _links(make: Callable[[bool], DataFrame], large: bool, group: list[str], joined: Callable) -> DataFrame:
-    """(u, v), written, that ``joined`` finds among the rows of each group; what it leaves out is linked by others.
+def _links(make: Callable[[bool], DataFrame], large: bool, group: list[str], joined: Callable, before: DataFrame | None = None) -> DataFrame:
+    """(u, v), written, that ``joined`` finds among the rows of each group; what it leaves out is linked by others,
+    those in ``before`` too.
 
     make(False) gives (*group, parts, node, …), make(True) those of groups of several parts, if there are ``large``
     ones. The rows of a large group meet in two rounds, so that they are not copied to every part. First a part meets
@@ -333,7 +343,8 @@ def _links(make: Callable[[bool], DataFrame], large: bool, group: list[str], joi
     first = met(rows.select(*group, "parts", F.explode(to).alias("pair"), *kept).withColumn("pair", F.col("pair").cast("long")))
     if not large:
         return first
-    named = make(True).join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    linked = components(first if before is None else first.unionByName(before))
+    named = make(True).join(linked, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     named = written(named, "named")
     sizes = named.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("c"))
     tops = sizes.groupBy(*group).agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("rest"), F.sum("c").alias("all")).where("rest > 0")
@@ -394,25 +405,26 @@ def _confirmed(own: DataFrame, nodes: DataFrame, comp: DataFrame, min_similarity
 
 
 def _dealt(nodes: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """(key, parts, node, sig): texts that share a minimum under one of the orders have a key in common. Besides, the
-    same for keys of several parts, and whether there are any."""
-    each = nodes.select("node", "sig", "deal", F.posexplode("deal").alias("j", "m")).select("node", "sig", "deal", "j", F.xxhash64("j", "m").alias("key"))
-
-    def large(df: DataFrame) -> DataFrame:
-        return written(df.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_BLOCK), "large")
-
-    hot = large(each.select("key"))
-    keys = _few(hot.select("key"))
-    direct = each.join(keys, "key", "left_anti").select("key", F.lit(1).alias("parts"), "node", "sig")
-    again = each.join(keys, "key", "left_semi").select("node", "sig", F.col("j").alias("i"), F.col("key").alias("first"), F.posexplode("deal").alias("j", "m")).where("i <> j")
+    """(key, parts, node, known, sig): texts that share a minimum under one of the orders have a key in common; keys
+    whose texts are all known to be linked are left out. Besides, the same for keys of several parts, and whether
+    there are any."""
+    each = nodes.select("node", "known", "sig", "deal", F.posexplode("deal").alias("j", "m")).select("node", "known", "sig", "deal", "j", F.xxhash64("j", "m").alias("key"))
+
+    def open_keys(df: DataFrame) -> DataFrame:
+        counts = df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("known").alias("lo"), F.max("known").alias("hi"))
+        return written(counts.where("lo < hi").select("key", "c"), "keys")
+
+    keys = open_keys(each.select("key", "known"))
+    direct = each.join(_few(keys.where(F.col("c") <= GROUP_BLOCK).select("key")), "key", "left_semi").select("key", F.lit(1).alias("parts"), "node", "known", "sig")
+    again = each.join(_few(keys.where(F.col("c") > GROUP_BLOCK).select("key")), "key", "left_semi").select("node", "known", "sig", F.col("j").alias("i"), F.col("key").alias("first"), F.posexplode("deal").alias("j", "m")).where("i <> j")
     second = F.xxhash64("j", "m")  # the two minima in one order, so that two large ones make one group
-    again = again.withColumn("key", F.when(F.col("i") < F.col("j"), F.xxhash64("first", second)).otherwise(F.xxhash64(second, "first"))).select("key", "node", "sig").dropDuplicates(["key", "node"])
-    hotter = large(again.select("key"))
-    sized = again.join(_few(hotter), "key", "left").select("key", F.ceil(F.coalesce("c", F.lit(1)) / GROUP_BLOCK).cast("int").alias("parts"), "node", "sig")
-    return direct.unionByName(sized), sized.where("parts > 1"), not hotter.isEmpty()
+    again = again.withColumn("key", F.when(F.col("i") < F.col("j"), F.xxhash64("first", second)).otherwise(F.xxhash64(second, "first"))).select("key", "node", "known", "sig").dropDuplicates(["key", "node"])
+    pairs = open_keys(again.select("key", "known"))
+    sized = again.join(_few(pairs), "key").select("key", F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("parts"), "node", "known", "sig")
+    return direct.unionByName(sized), sized.where("parts > 1"), not pairs.where(F.col("c") > GROUP_BLOCK).isEmpty()
 
 
-def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _near(docs: DataFrame, min_similarity: float, shingle: int, reach: int, id_col: str, text_col: str) -> DataFrame:
     """(id, v1, v2, root): one row per input row, written; v1 and v2 tell its text, root its component."""
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), *_versions(text_col), F.col(text_col).cast("binary").alias("text"))
@@ -422,11 +434,16 @@ def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, tex
             each = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(3)]
             least = [minima(h) for h in each]
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], same, pa.array([m[:DEALS].view(np.int64) for m in least], pa.list_(pa.int64())), pa.array([sketch(m) for m in least], pa.binary()), pa.array(map(len, each), pa.int64())], names=["id", "v1", "v2", "same", "deal", "sig", "n"])
-
-    marks = written(own.mapInArrow(made, f"id {own.schema['id'].dataType.simpleString()}, v1 long, v2 long, same binary, deal array<long>, sig binary, n long"), "sketches")
-    first = F.min_by(F.struct("sig", "deal", "n", "v1", "v2", F.col("id").alias("one")), F.struct("v1", "v2", "id")).alias("x")
-    nodes = written(marks.groupBy("same").agg(first).select("same", "x.*", F.monotonically_increasing_id().alias("node")), "nodes")
+            fp = pa.array(np.array([simhash(h) for h in each], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], same, fp, pa.array([m[:DEALS].view(np.int64) for m in least], pa.list_(pa.int64())), pa.array([sketch(m) for m in least], pa.binary()), pa.array(map(len, each), pa.int64())], names=["id", "v1", "v2", "same", "fp", "deal", "sig", "n"])
+
+    marks = written(own.mapInArrow(made, f"id {own.schema['id'].dataType.simpleString()}, v1 long, v2 long, same binary, fp long, deal array<long>, sig binary, n long"), "sketches")
+    first = F.min_by(F.struct("fp", "sig", "deal", "n", "v1", "v2", F.col("id").alias("one")), F.struct("v1", "v2", "id")).alias("x")
+    texts = written(marks.groupBy("same").agg(first).select("same", "x.*", F.monotonically_increasing_id().alias("node")), "texts")
+    named = fingerprint_groups(texts.select(F.col("node").alias("id"), "fp"), reach)
+    nodes = written(texts.join(named, "fp").withColumnRenamed("component", "known"), "nodes")
+    release(texts, named)
+    bits = nodes.where("node <> known").select(F.col("node").alias("u"), F.col("known").alias("v"))
     lowest = min_similarity - SLACK
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +452,9 @@ def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, tex
         def links() -> Iterator[pa.RecordBatch]:
             if sum(len(x[0]) for x in held) < 2:
                 return
-            node, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, known, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            if known.min() == known.max():
+                return
             node, once = np.unique(node, return_index=True)  # a row may come twice
             for g in _alike(sig[once], lowest):
                 yield pa.RecordBatch.from_arrays([pa.array(node[g]), pa.array(np.full(len(g), node[g].min()))], names=["u", "v"])
@@ -443,18 +462,18 @@ def _near(docs: DataFrame, min_similarity: float, shingle: int, id_col: str, tex
         for b in batches:
             if not b.num_rows:
                 continue
-            k, pair, node = (b.column(n).to_numpy() for n in ("key", "pair", "node"))
+            k, pair, node, known = (b.column(n).to_numpy() for n in ("key", "pair", "node", "known"))
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SKETCH)
             cuts = (np.flatnonzero((np.diff(k) != 0) | (np.diff(pair) != 0)) + 1).tolist()
             for at, to in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
                 if (k[at], pair[at]) != key:
                     yield from links()
                     key, held = (k[at], pair[at]), []
-                held.append((node[at:to], sig[at:to]))
+                held.append((node[at:to], known[at:to], sig[at:to]))
         yield from links()
 
     rows, hot, large = _dealt(nodes)
-    edges = _links(lambda only: hot if only else rows, large, ["key"], joined)
+    edges = _links(lambda only: hot if only else rows, large, ["key"], joined, bits).unionByName(bits)
     comp = components(_confirmed(own, nodes, components(edges), min_similarity, shingle))
     rooted = written(nodes.join(comp, "node", "left").select("same", F.coalesce("root", "node").alias("root")), "rooted")
     out = written(marks.select("id", "v1", "v2", "same").join(rooted, "same").select("id", "v1", "v2", "root"), "near")
@@ -466,24 +485,25 @@ def _versions(text_col: str) -> list[Column]:
     return [F.xxhash64(text_col).alias("v1"), F.xxhash64(F.lit(7), text_col).alias("v2")]
 
 
-def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, reach: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): one row per input row; documents are linked if their sets of word shingles have
-    ``min_similarity`` or more in common; at 0.8 a link is missed once in 244 million times, and where a common
-    passage makes a group large, once in 49 million times. component is the smallest id reachable; a null id only if
+    ``min_similarity`` or more in common. Candidates come from fingerprints at ``reach`` or fewer differing bits and,
+    beyond that, from minima: at 0.8 a link is missed once in 244 million times, and where a common passage makes a
+    group large, once in 49 million times. component is the smallest id reachable; a null id only if
     all are null. Texts without words are alike. Ids may be of any type that can be ordered; repeated rows and ids
     each get a row. Other columns are not read.
     """
-    near = _near(docs, min_similarity, shingle, id_col, text_col)
+    near = _near(docs, min_similarity, shingle, reach, id_col, text_col)
     least = near.groupBy("root").agg(F.min("id").alias("component"))
     return near.join(least, "root").select(F.col("id").alias(id_col), "component")
 
 
-def one_of_each(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, reach: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, one with the smallest id (a null one is the largest); of
     rows that share it, one with the smallest hash of its text. Columns keep their names, whatever they are, and their
     values; an empty table gives no rows. What goes is looked up by the texts, which are not shuffled for it if that
     is little."""
-    near = _near(docs, min_similarity, shingle, id_col, text_col)
+    near = _near(docs, min_similarity, shingle, reach, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "v1", "v2")
     stays = near.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.id").alias("s"), F.col("x.v1").alias("s1"), F.col("x.v2").alias("s2"))
     rows = near.groupBy("id", "v1", "v2").agg(F.count(F.lit(1)).alias("c"))

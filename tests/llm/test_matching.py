@@ -415,6 +415,24 @@ def test_no_pair_at_eight_tenths_is_lost(spark):
     assert [i for i in got if got[i] != i - i % 2] == []
 
 
+def test_links_of_the_tree_are_confirmed_exactly(spark, monkeypatch):
+    """A reach of all bits makes every pair a candidate, without minima; only those at 0.8 are linked."""
+    monkeypatch.setattr(simhash_dedup, "DEALS", 0)
+    docs = []
+    for g in range(20):  # 100 - 2 k of 100 + 2 k shingles in common, about
+        w = [f"{g}w{i}" for i in range(104)]
+        docs += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:40] + [f"{g}u{i}" for i in range(g)] + w[40 + g :]))]
+    want = brute_components([i for i, _ in docs], lambda a, b: shared(docs[a][1], docs[b][1]) >= 0.8)
+    got = {x.doc_id: x.component for x in simhash_dedup.similar_documents(frame(spark, docs), reach=64).collect()}
+    assert got == want and 20 < len(set(got.values())) < 40
+
+
+def test_minima_whose_texts_are_linked_make_no_group(spark):
+    rows = [(1, 1, bytes(256), [7, 8]), (2, 1, bytes(256), [7, 9]), (3, 3, bytes(256), [5, 9]), (4, 4, bytes(256), [6, 6])]
+    met, hot, large = simhash_dedup._dealt(spark.createDataFrame(rows, "node long, known long, sig binary, deal array<long>"))
+    assert sorted(x.node for x in met.collect()) == [2, 3] and hot.count() == 0 and not large
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slabwise.llm import quality
+from slabwise.llm import quality, simhash_dedup
 from slabwise.llm.common import held_out
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +102,29 @@ def test_near_dedup_keeps_the_smallest_id_of_each_component(spark, docs):
     assert set(rows_of(got)) <= set(rows_of(docs)) and len(kept) < docs.count()
 
 
+def test_near_dedup_goes_through_fingerprints_and_their_tree(spark, docs, monkeypatch):
+    """Without the minima, what the vantage-point tree links at 3 bits and the shingles confirm still goes."""
+    monkeypatch.setattr(simhash_dedup, "DEALS", 0)
+    got = STAGES["near_dedup"](spark, docs, SF)
+    texts = sorted({(x.doc_id is None, x.doc_id or 0, x.text is not None, x.text or "") for x in docs.collect()})
+    sets = [shingles(t) for *_, t in texts]
+    fps = np.array([simhash_dedup.simhash(np.unique(simhash_dedup.shingle_hashes(t.encode(), 5))) for *_, t in texts], np.uint64)
+    root, near = list(range(len(texts))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3).tolist():
+            union = len(sets[i] | sets[j])
+            if (len(sets[i] & sets[j]) >= 0.8 * union) if union else True:
+                a, b = find(i), find(j)
+                root[max(a, b)], near = min(a, b), near + (fps[i] != fps[j])
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in got.collect()) == sorted(texts[i][:2] for i in range(len(texts)) if find(i) == i) and near
+
+
 def test_decontamination_cuts_passages(spark, docs):
     got = STAGES["decontamination"](spark, docs, SF)
     grams = set()
