@@ -160,26 +160,32 @@ class Store:
         c = self.config
         seq = self._seq()
         sized = batch.select("key_hash", F.octet_length("value").cast("long").alias("size")).withColumn("writer", F.pmod("key_hash", F.lit(c.flush_concurrency)))
-        small = layout.packed(sized.where(layout.route(F.col("size"), c.large_threshold) == "slab"), "writer", ["key_hash"], c.slab_bytes)
+        small = layout.packed(sized.where(layout.route(F.col("size"), c.large_threshold) == "slab"), "writer", ["key_hash"], c.slab_bytes, at="within")
         large = sized.where(layout.route(F.col("size"), c.large_threshold) == "large")
-        large = layout.large_slabs(large, "writer", ["key_hash"])
+        large = layout.large_slabs(large, "writer", ["key_hash"]).withColumn("within", F.lit(0).cast("long"))
         placed = written(small.unionByName(large.select(*small.columns)), "placed")
         slabs = placed.groupBy("writer", "slab").agg(F.sum("size").cast("long").alias("bytes"))
-        segments = layout.rotated(slabs, "writer", c.segment_bytes)
+        slabs = written(layout.rotated(slabs, "writer", c.segment_bytes, at=("start", "end")), "slabs")
+        segments = slabs.groupBy("writer", "segment").agg(F.max("end").alias("total"))
+        # Segments in a row, cut every PART_BYTES, are the tasks; a longer segment is cut itself, into parts.
+        parted, task = F.col("total") > C.PART_BYTES, F.floor(F.col("begin") / C.PART_BYTES)
+        segments = written(running(segments, ["writer"], [F.col("segment")], {"begin": F.col("total")}), "segments")
+        tasks, longest = segments.agg(F.max(task + F.when(parted, F.floor(F.col("total") / C.PART_BYTES)).otherwise(0)) + 1, F.max("total")).first()
         number = layout.segment_ids(F.col("segment"), F.col("writer"), seq, c.flush_concurrency)
-        placed_at = placed.join(segments, ["writer", "slab"]).withColumn("segment_id", number)
+        placed_at = placed.join(slabs, ["writer", "slab"]).join(segments, ["writer", "segment"]).withColumn("pos", F.col("start") + F.col("within"))
+        placed_at = placed_at.withColumn("part", F.when(parted, F.floor(F.col("pos") / C.PART_BYTES))).select("key_hash", number.alias("segment_id"), "part", (task + F.coalesce("part", F.lit(0))).alias("task"), "pos")
         made = F.crc32("value") if c.checksum_of is None else c.checksum_of(F.col("value"))
         flags = K.pack_flags(F.coalesce("checksum", made) if c.checksum else F.col("checksum"), F.lit(False), F.lit(0))
-        rows = placed_at.join(batch, "key_hash").select("segment_id", "slab", F.col("key_hash").alias("pos_order"), F.col("key_hash").alias("hash"), flags.alias("flags"), "value")
-        files = written(segfile.write_segments(rows, self.path, c.shards, seq), "files")
+        rows = placed_at.join(batch, "key_hash").select("segment_id", "part", "task", "pos", F.col("key_hash").alias("hash"), flags.alias("flags"), "value")
+        found = written(segfile.write_placed(rows, self.path, tasks or 1, c.shards, seq), "files")
+        if (longest or 0) > C.PART_BYTES:
+            release(written(segfile.write_metadata(found.where(F.col("part").isNotNull()), self.path, c.shards, seq), "metadata"))
         self.fault("index")
-        found = segfile.records(files.select("path"))
-        order = running(found, ["segment_id"], [F.col("pos"), F.col("hash")], {"n": F.lit(1)})
-        entries = order.select((F.lit(seq) + F.col("n")).alias("seq"), F.lit("put").alias("kind"), F.col("hash").alias("key_hash"), "segment_id", "pos", F.col("logical_size").alias("size"), "flags")
+        entries = _numbered(found, seq)
         self._append(entries)
         self.size = self._live_size()
         self.filter = self._merged_filter(batch)
-        release(placed, files)
+        release(placed, slabs, segments, found)
 
     # Reading.
 
@@ -198,7 +204,7 @@ class Store:
         passed = written(rest.join(maybe.select("key"), "key").join(self.index().drop("visited", "bucket"), "key_hash", "left"), "passed")
         entries = passed.where(F.col("segment_id").isNotNull()).withColumn("physical_size", F.col("size"))
         self.fault("read")
-        read = written(segfile.read_range(entries, self.path, self.config.shards), "read")
+        read = written(segfile.read_range(entries, self.path, self.config.shards, _tasks(entries)), "read")
         wrong = F.lit(False)
         if self.config.verify:
             made = F.crc32("value") if self.config.checksum_of is None else self.config.checksum_of(F.col("value"))
@@ -301,7 +307,7 @@ class Store:
     def delete_segment(self, segment_id: int) -> int:
         """Deletes all live blobs of a segment, and its file."""
         n = self._delete(self.index().where(F.col("segment_id") == segment_id))
-        drop(self.spark, segfile.path_of(self.path, segment_id, self.config.shards))
+        segfile.remove(self.spark, self.path, segment_id, self.config.shards)
         return n
 
     def compact(self, below: float = C.COMPACT_BELOW, cycle: int = C.COMPACT_PER_CYCLE) -> list[int]:
@@ -315,14 +321,14 @@ class Store:
         doomed = [r.segment_id for r in maintain.compaction_candidates(known, below, cycle).collect()]
         if doomed:
             entries = live.where(F.col("segment_id").isin(doomed)).withColumn("physical_size", F.col("size"))
-            read = segfile.read_range(entries, self.path, self.config.shards).where(F.col("error").isNull())
+            read = segfile.read_range(entries, self.path, self.config.shards, _tasks(entries)).where(F.col("error").isNull())
             kept = F.when(K.has_checksum(F.col("flags")), K.checksum(F.col("flags")))
             again = written(read.select(F.lit(b"").alias("key"), "value", kept.alias("checksum"), "key_hash"), "again")
             if not again.isEmpty():
                 self._flush(again)
             release(again)
             for s in doomed:
-                drop(self.spark, segfile.path_of(self.path, s, self.config.shards))
+                segfile.remove(self.spark, self.path, s, self.config.shards)
         release(known)
         return doomed
 
@@ -357,6 +363,18 @@ class Store:
             raise ValueError("the store is closed")
 
 
+def _tasks(entries: DataFrame) -> int:
+    """Tasks that read entries, each about as much as a part has."""
+    return (entries.agg(F.sum("physical_size")).first()[0] or 0) // C.PART_BYTES + 1
+
+
+def _numbered(found: DataFrame, start: int) -> DataFrame:
+    """Log rows of records: put in the order of segments and positions, which is dealt by stretches of a segment."""
+    dealt = found.withColumn("stretch", F.floor(F.col("pos") / C.PART_BYTES))
+    order = running(dealt, ["segment_id", "stretch"], [F.col("pos"), F.col("hash")], {"n": F.lit(1)})
+    return order.select((F.lit(start) + F.col("n")).alias("seq"), F.lit("put").alias("kind"), F.col("hash").alias("key_hash"), "segment_id", "pos", F.col("logical_size").alias("size"), "flags")
+
+
 def recover(spark: SparkSession, path: str, config: C.StoreConfig | None = None) -> dict[str, int]:
     """Rebuilds the index log of a store from its segment files; files that cannot be read are counted and stay.
 
@@ -369,9 +387,8 @@ def recover(spark: SparkSession, path: str, config: C.StoreConfig | None = None)
     files = segfile.scan_files(spark, f"{path}/segments")
     status = {r.status: r["count"] for r in segfile.footers(files).groupBy("status").count().collect()}
     found = segfile.recovered_index(files)
-    order = running(found, ["segment_id"], [F.col("pos"), F.col("hash")], {"n": F.lit(1)})
     top = (found.agg(F.max("segment_id")).first()[0] or 0) >> _BATCH_BITS  # numbers go on after those of the files
-    rows = order.select((F.lit(top + 1 << _BATCH_BITS) + F.col("n")).alias("seq"), F.lit("put").alias("kind"), F.col("hash").alias("key_hash"), "segment_id", "pos", F.col("logical_size").alias("size"), "flags")
+    rows = _numbered(found, top + 1 << _BATCH_BITS)
     fresh = f"{path}/index.new"
     drop(spark, fresh)
     rows.write.parquet(f"{fresh}/{top + 1:012d}")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SEGMENT_MAGIC = 0xB10BCA4EB10BCA4E
 RECORD_BYTES, HEADER_BYTES, FOOTER_BYTES = 40, 16, 20
 PAGE = 4096
+PART_BYTES = 64 << 20  # of a segment's data in a file; longer segments have several
 NO_CHECKSUM_BIT, DELETED_BIT, CODEC_SHIFT = 32, 33, 60
 CODECS = ("none", "zstd", "lz4", "s2")
 CHUNK_RECORDS = (65536 - HEADER_BYTES) // RECORD_BYTES

@@ -54,8 +54,9 @@ def chunked(df: DataFrame, segment: str, order: list[str], limit: int = C.CHUNK_
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / limit).cast("long"))
 
 
-def packed(df: DataFrame, writer: str, order: list[str], slab_bytes: int, size: str = "size") -> DataFrame:
-    """df with the slab of its writer that each blob falls in: the next one once a blob does not fit.
+def packed(df: DataFrame, writer: str, order: list[str], slab_bytes: int, size: str = "size", at: str | None = None) -> DataFrame:
+    """df with the slab of its writer that each blob falls in: the next one once a blob does not fit. ``at`` names a
+    column for its place in the slab.
 
     Next-fit is sequential per writer; only (writer, order, size) travel, streamed in order, so that the state is two
     numbers whatever a writer holds.
@@ -64,37 +65,43 @@ def packed(df: DataFrame, writer: str, order: list[str], slab_bytes: int, size:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, at, slab = None, 0, 0
+        who, end, slab = None, 0, 0
         for f in frames:
-            slabs = []
+            slabs, begins = [], []
             for w, n in zip(f[writer], f[size], strict=True):
                 if w != who:
-                    who, at, slab = w, 0, 0
-                elif at + n > slab_bytes:
-                    at, slab = 0, slab + 1
-                at += n
+                    who, end, slab = w, 0, 0
+                elif end + n > slab_bytes:
+                    end, slab = 0, slab + 1
+                begins.append(end)
+                end += n
                 slabs.append(slab)
-            yield f.assign(slab=pd.Series(slabs, index=f.index, dtype="int64"))
+            more = {"slab": slabs} | ({at: begins} if at else {})
+            yield f.assign(**{c: pd.Series(x, index=f.index, dtype="int64") for c, x in more.items()})
 
     sorted_rows = df.select(*cols).repartition(writer).sortWithinPartitions(writer, *order)
-    return sorted_rows.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", slab long")
+    return sorted_rows.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", slab long" + (f", {at} long" if at else ""))
 
 
-def rotated(slabs: DataFrame, writer: str, segment_bytes: int, size: str = "bytes") -> DataFrame:
-    """(writer, slab, segment): a new segment once a slab's end reaches ``segment_bytes``; slabs take whole pages."""
+def rotated(slabs: DataFrame, writer: str, segment_bytes: int, size: str = "bytes", at: tuple[str, str] | None = None) -> DataFrame:
+    """(writer, slab, segment): a new segment once a slab's end reaches ``segment_bytes``; slabs take whole pages.
+    ``at`` names two columns for where a slab begins and ends in its segment."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, at, segment = None, 0, 0
+        who, end, segment = None, 0, 0
         for f in frames:
-            out = []
+            out, begins, ends = [], [], []
             for w, n in zip(f[writer], f[size], strict=True):
                 if w != who:
-                    who, at, segment = w, 0, 0
+                    who, end, segment = w, 0, 0
                 out.append(segment)
-                at += -(-n // C.PAGE) * C.PAGE
-                if at >= segment_bytes:
-                    at, segment = 0, segment + 1
-            yield f[[writer, "slab"]].assign(segment=pd.Series(out, index=f.index, dtype="int64"))
+                begins.append(end)
+                end += -(-n // C.PAGE) * C.PAGE
+                ends.append(end)
+                if end >= segment_bytes:
+                    end, segment = 0, segment + 1
+            more = {"segment": out} | ({at[0]: begins, at[1]: ends} if at else {})
+            yield f[[writer, "slab"]].assign(**{c: pd.Series(x, index=f.index, dtype="int64") for c, x in more.items()})
 
     kinds = {f.name: f.dataType.simpleString() for f in slabs.schema}
-    return slabs.select(writer, "slab", size).repartition(writer).sortWithinPartitions(writer, "slab").mapInPandas(fold, f"{writer} {kinds[writer]}, slab long, segment long")
+    return slabs.select(writer, "slab", size).repartition(writer).sortWithinPartitions(writer, "slab").mapInPandas(fold, f"{writer} {kinds[writer]}, slab long, segment long" + (f", {at[0]} long, {at[1]} long" if at else ""))

@@ -1,7 +1,9 @@
 """Binary segment files: slabs on pages, then a metadata block with a checksummed footer at the end of the file.
 
 Files are listed by Spark and opened where the work is, through Arrow's file systems (local, HDFS, object stores), so
-that a reader seeks to what it needs and a segment may be larger than any buffer.
+that a reader seeks to what it needs and a segment may be larger than any buffer. A segment of up to PART_BYTES is one
+file. The data of a longer one lies in part files, written side by side: part k has the blobs that begin in the k-th
+PART_BYTES, at their place counted from there. Its .seg file then has metadata only, and is written last.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from slabwise import config as C
+from slabwise.tables import drop
+from slabwise.tables import file_system as hadoop_file_system
 
 _RECORD = np.dtype([("hash", "<u8"), ("pos", "<i8"), ("logical_size", "<i8"), ("physical_size", "<i8"), ("flags", "<u8")])
 _HEAD, _FOOT = "<qq", "<qIQ"
@@ -63,8 +68,8 @@ def decode_footer(raw: bytes) -> tuple[int, int]:
     return length, crc
 
 
-def read_metadata(f: io.BufferedIOBase | io.BytesIO, size: int, segment_id: int | None = None) -> tuple[int, int, np.ndarray]:
-    """(segment id, ctime, records) of an open segment file; checks magic, geometry, CRC and, if given, the id."""
+def metadata_place(f: io.BufferedIOBase | io.BytesIO, size: int) -> tuple[int, int, int]:
+    """(start, length, CRC32) of the metadata of an open segment file, by its footer."""
     if size < C.FOOTER_BYTES:
         raise SegmentError("too short for a footer")
     f.seek(size - C.FOOTER_BYTES)
@@ -72,6 +77,12 @@ def read_metadata(f: io.BufferedIOBase | io.BytesIO, size: int, segment_id: int
     start = size - -(-(length + C.FOOTER_BYTES) // C.PAGE) * C.PAGE
     if length < 0 or start < 0:
         raise SegmentError("metadata does not fit the file")
+    return start, length, crc
+
+
+def read_metadata(f: io.BufferedIOBase | io.BytesIO, size: int, segment_id: int | None = None) -> tuple[int, int, np.ndarray]:
+    """(segment id, ctime, records) of an open segment file; checks magic, geometry, CRC and, if given, the id."""
+    start, length, crc = metadata_place(f, size)
     f.seek(start)
     body = f.read(length)
     if zlib.crc32(body) != crc:
@@ -103,6 +114,19 @@ def path_of(base: str, segment_id: int, shards: int) -> str:
     return f"{base}/segments/{segment_id % max(1, shards):04d}/{segment_id}.seg"
 
 
+def part_of(base: str, segment_id: int, shards: int, part: int) -> str:
+    return f"{path_of(base, segment_id, shards).removesuffix('.seg')}.{part:06d}.part"
+
+
+def remove(spark: SparkSession, base: str, segment_id: int, shards: int) -> None:
+    """Deletes a segment's files, first the one without which the others are not read."""
+    path = path_of(base, segment_id, shards)
+    drop(spark, path)
+    fs, parts = hadoop_file_system(spark, f"{path.removesuffix('.seg')}.*.part")
+    for s in fs.globStatus(parts) or []:
+        fs.delete(s.getPath(), False)
+
+
 def encode_segment(segment_id: int, ctime: int, slabs: list[list[tuple[int, bytes, int]]]) -> bytes:
     """A whole segment of slabs of (hash, value, flags); positions are absolute, slabs start on pages."""
     out = io.BytesIO()
@@ -182,6 +206,130 @@ def write_segments(blobs: DataFrame, base: str, shards: int = 1, ctime: int = 0)
     return rows.mapInArrow(run, "segment_id long, path string, bytes long")
 
 
+def _zeros(out, n: int) -> None:
+    for done in range(0, n, 1 << 20):
+        out.write(bytes(min(1 << 20, n - done)))
+
+
+class _Streamed:
+    """A file that appears whole under its name: data in order of position, then a metadata block, or one of both."""
+
+    def __init__(self, path: str, begins: int = 0) -> None:
+        self.fs, self.to = file_system(path)
+        at, name = os.path.split(self.to)
+        self.fs.create_dir(at, recursive=True)
+        self.tmp = f"{at}/.{name.removesuffix('.seg')}.{os.getpid()}.tmp"
+        self.out = self.fs.open_output_stream(self.tmp)
+        self.pos, self.length, self.crc = begins, 0, 0
+
+    def add(self, pos: int, value: bytes) -> None:
+        if value:
+            if pos < self.pos:
+                raise SegmentError(f"blob at {pos} before {self.pos}")
+            _zeros(self.out, pos - self.pos)
+            self.out.write(value)
+            self.pos = pos + len(value)
+
+    def end_data(self) -> None:
+        _zeros(self.out, -self.pos % C.PAGE)
+
+    def add_metadata(self, raw: bytes) -> None:
+        self.out.write(raw)
+        self.length, self.crc = self.length + len(raw), zlib.crc32(raw, self.crc)
+
+    def end_metadata(self) -> None:
+        _zeros(self.out, -(self.length + C.FOOTER_BYTES) % C.PAGE)
+        self.out.write(struct.pack(_FOOT, self.length, self.crc, C.SEGMENT_MAGIC))
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.tmp, self.to)
+
+
+def _records_of(b: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(b.num_rows, _RECORD)
+    for n in _RECORD.names:
+        out[n] = b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False).view(_RECORD[n])
+    return out
+
+
+PLACED_DDL = "segment_id long, part long, hash long, pos long, logical_size long, physical_size long, flags long"
+
+
+def write_placed(blobs: DataFrame, base: str, tasks: int, shards: int = 1, ctime: int = 0) -> DataFrame:
+    """Writes (segment_id, part, task, pos, hash, flags, value) rows, one file for each segment and part; their records
+    once read, which does the writing. Rows of a file have one ``task`` of as many as ``tasks``. Of segments with parts
+    only these are written; ``write_metadata`` does the rest, from the records."""
+    part_bytes = C.PART_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f, records = None, None, []
+
+        def end() -> None:
+            if f is not None and now[1] is None:
+                f.end_data()
+                f.add_metadata(struct.pack(_HEAD, now[0], ctime))
+                for r in records:
+                    f.add_metadata(r.tobytes())
+                f.end_metadata()
+            if f is not None:
+                f.close()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = lambda n: b.column(b.schema.get_field_index(n))  # noqa: B023, E731
+            size = pa.compute.fill_null(pa.compute.binary_length(column("value")), 0).cast("int64")
+            own = pa.RecordBatch.from_arrays([*(column(n) for n in ("segment_id", "part", "hash", "pos")), size, size, column("flags")], names=["segment_id", "part", "hash", "pos", "logical_size", "physical_size", "flags"])
+            each, first = _records_of(own), 0
+            for i, (seg, part, pos, value) in enumerate(zip(*(column(n).to_pylist() for n in ("segment_id", "part", "pos", "value")), strict=True)):
+                if (seg, part) != now:
+                    records.append(each[first:i])
+                    end()
+                    now, records, first = (seg, part), [], i
+                    f = _Streamed(path_of(base, seg, shards)) if part is None else _Streamed(part_of(base, seg, shards, part), part * part_bytes)
+                f.add(pos, value or b"")
+            if now[1] is None:
+                records.append(each[first:])
+            yield own
+        end()
+
+    cols = ["segment_id", "part", "pos", "hash", "flags", "value", "task"]
+    rows = blobs.select(*cols).repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("segment_id", "part", "pos", "hash")
+    return rows.mapInArrow(run, PLACED_DDL)
+
+
+def write_metadata(records: DataFrame, base: str, shards: int = 1, ctime: int = 0) -> DataFrame:
+    """Writes the .seg files of segments whose parts are there; (segment_id, n) once read, which does the writing.
+    Records are streamed, 40 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f, n = None, None, 0
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if f is not None:
+                f.end_metadata()
+                f.close()
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([n])], names=["segment_id", "n"])
+
+        for b in batches:
+            each, of = _records_of(b), b.column(0).to_numpy()
+            for own in np.split(each, np.flatnonzero(np.diff(of)) + 1):
+                if not len(own):
+                    continue
+                if (seg := int(of[0])) != now:
+                    yield from end()
+                    now, n = seg, 0
+                    f = _Streamed(path_of(base, now, shards))
+                    f.add_metadata(struct.pack(_HEAD, now, ctime))
+                f.add_metadata(own.tobytes())
+                of, n = of[len(own) :], n + len(own)
+        yield from end()
+
+    rows = records.select("segment_id", *_RECORD.names).repartition("segment_id").sortWithinPartitions("segment_id", "pos", "hash")
+    return rows.mapInArrow(run, "segment_id long, n long")
+
+
 def scan_files(spark: SparkSession, base: str) -> DataFrame:
     """(path, length) of the files *.seg under base, on any file system that Spark lists; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.seg").option("recursiveFileLookup", "true").load(base).select("path", "length")
@@ -244,44 +392,70 @@ def recovered_index(files: DataFrame, tombstones: DataFrame | None = None) -> Da
     return newest.join(tombstones, "hash", "left_anti") if tombstones is not None else newest
 
 
-def read_range(entries: DataFrame, base: str, shards: int = 1) -> DataFrame:
+def read_range(entries: DataFrame, base: str, shards: int = 1, tasks: int | None = None) -> DataFrame:
     """entries (segment_id, pos, physical_size, …) with ``value``, the bytes of each blob, and ``error``, the name of
-    what went wrong instead (null value). Entries of a segment are read in order from one open file, by seeking."""
+    what went wrong instead (null value). Entries are read in order from open files, by seeking; a long segment is dealt
+    by its parts, to ``tasks`` tasks if given. A segment is there only if its .seg file is."""
     names = entries.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    part_bytes = C.PART_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, f, failed = None, None, None
+        now, f, failed, parts = None, None, None, False
+        part, g, lost = None, None, None
+
+        def opened(path: str):
+            fs, at = file_system(path)
+            try:
+                return fs.open_input_file(at), None
+            except OSError as e:
+                return None, _error_name(e)
 
         def read(seg: int, pos: int, size: int) -> tuple[bytes | None, str | None]:
-            nonlocal now, f, failed
+            nonlocal now, f, failed, parts, part, g, lost
             if seg != now:
-                if f is not None:
-                    f.close()
-                now, f, failed = seg, None, None
-                fs, at = file_system(path_of(base, seg, shards))
-                try:
-                    f = fs.open_input_file(at)
-                except OSError as e:
-                    failed = _error_name(e)
+                for x in (f, g):
+                    if x is not None:
+                        x.close()
+                now, part, g = seg, None, None
+                f, failed = opened(path_of(base, seg, shards))
+                parts = f is not None and _has_parts(f)
             if f is None:
                 return None, failed
+            if parts and size:
+                if pos // part_bytes != part:
+                    if g is not None:
+                        g.close()
+                    part = pos // part_bytes
+                    g, lost = opened(part_of(base, seg, shards, part))
+                if g is None:
+                    return None, lost
             try:
-                got = f.read_at(size, pos)
+                got = b"" if parts and not size else g.read_at(size, pos - part * part_bytes) if parts else f.read_at(size, pos)
             except OSError as e:
                 return None, _error_name(e)
             return (got, None) if len(got) == size else (None, "EIO")
 
         for b in batches:
-            for part in range(0, b.num_rows, 256):
-                c = b.slice(part, 256)
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
                 got = [read(*x) for x in zip(*(c.column(c.schema.get_field_index(n)).to_pylist() for n in ("segment_id", "pos", "physical_size")), strict=True)]
                 yield pa.RecordBatch.from_arrays([*c.columns, pa.array([v for v, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())], names=[*names, "value", "error"])
-        if f is not None:
-            f.close()
+        for x in (f, g):
+            if x is not None:
+                x.close()
+
+    near = ["segment_id", F.floor(F.col("pos") / part_bytes)]
+    dealt = entries.repartition(tasks, *near) if tasks else entries.repartition(*near)
+    return dealt.sortWithinPartitions("segment_id", "pos").mapInArrow(run, f"{kinds}, value binary, error string")
 
-    sorted_rows = entries.repartition("segment_id").sortWithinPartitions("segment_id", "pos")
-    return sorted_rows.mapInArrow(run, f"{kinds}, value binary, error string")
+
+def _has_parts(f) -> bool:
+    """Whether a segment's .seg file has metadata only."""
+    try:
+        return metadata_place(f, f.size())[0] == 0
+    except (SegmentError, OSError):
+        return False
 
 
 def _error_name(e: OSError) -> str:

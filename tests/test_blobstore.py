@@ -180,3 +180,21 @@ def test_worker_and_stream(spark, tmp_path, caplog):
         stop.set()
         t.join(30)
         assert store.size <= 20 and not caplog.records
+
+
+def test_long_segments_are_parts_that_tasks_write_side_by_side(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(config, "PART_BYTES", 10_000, raising=False)
+    blobs = {f"k-{i}": bytes((i + j) % 256 for j in range(n)) for i, n in enumerate([700, 0, 3000, 4096, 1, 25_000] * 8)}
+    with Store(spark, str(tmp_path), options(flush_concurrency=1, slab_bytes=1 << 15, segment_bytes=1 << 40, large_threshold=20_000)) as store:
+        store.put(rows(spark, blobs))
+        place = {r.key_hash: (r.segment_id, r.pos, r.size) for r in store.index().collect()}
+        (segment,) = {seg for seg, _, _ in place.values()}
+        parts = glob.glob(f"{tmp_path}/segments/*/{segment}.*.part")
+        assert len(parts) > 10 and max(map(os.path.getsize, parts)) < 10_000 + 25_000 and store.files().count() == 1
+        ends = sorted((pos, pos + size) for _, pos, size in place.values() if size)
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False)) and ends[-1][1] > 200_000
+        assert found(store, spark, *blobs) == blobs
+        assert [r.status for r in blobstore.segfile.footers(store.files()).collect()] == ["valid"]
+        store.put(rows(spark, {k: v for k, v in blobs.items() if k not in ("k-0", "k-1", "k-2")}))
+        assert store.compact() == [segment] and not glob.glob(f"{tmp_path}/segments/*/{segment}.*")
+        assert found(store, spark, *blobs) == blobs and store.files().count() == 2
