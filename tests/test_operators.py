@@ -223,6 +223,18 @@ def test_compression_round_trip(spark):
         compression.compress(d.v, "s3")
 
 
+def test_batches_for_compression_are_bounded_in_bytes(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        d = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 8000).cast("binary").alias("v"))
+        compression.compress(d.v)
+        rows = F.pandas_udf(lambda v: v.map(lambda _: len(v)), "long")
+        assert d.select(rows("v").alias("n")).agg(F.max("n")).first()[0] < 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", kept)
+
+
 def test_packing_and_rotation(spark):
     d = spark.range(20).select(F.lit(0).alias("w"), "id", F.lit(102_400).cast("long").alias("size"))
     p = layout.packed(d, "w", ["id"], 524_288)
