@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from slabwise import config as C
 from slabwise.functions import columns as K
+from slabwise.tables import bounded_batches
 
 
 def offsets(df: DataFrame, group: list[str], order: list[str], size: str = "size", name: str = "pos") -> DataFrame:
@@ -79,6 +80,7 @@ def packed(df: DataFrame, writer: str, order: list[str], slab_bytes: int, size:
             more = {"slab": slabs} | ({at: begins} if at else {})
             yield f.assign(**{c: pd.Series(x, index=f.index, dtype="int64") for c, x in more.items()})
 
+    bounded_batches(df.sparkSession)
     sorted_rows = df.select(*cols).repartition(writer).sortWithinPartitions(writer, *order)
     return sorted_rows.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", slab long" + (f", {at} long" if at else ""))
 
@@ -103,5 +105,6 @@ def rotated(slabs: DataFrame, writer: str, segment_bytes: int, size: str = "byte
             more = {"segment": out} | ({at[0]: begins, at[1]: ends} if at else {})
             yield f[[writer, "slab"]].assign(**{c: pd.Series(x, index=f.index, dtype="int64") for c, x in more.items()})
 
+    bounded_batches(slabs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in slabs.schema}
     return slabs.select(writer, "slab", size).repartition(writer).sortWithinPartitions(writer, "slab").mapInPandas(fold, f"{writer} {kinds[writer]}, slab long, segment long" + (f", {at[0]} long, {at[1]} long" if at else ""))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from slabwise import config as C
-from slabwise.tables import drop
+from slabwise.tables import BATCH_BYTES, bounded_batches, drop
 from slabwise.tables import file_system as hadoop_file_system
 
 _RECORD = np.dtype([("hash", "<u8"), ("pos", "<i8"), ("logical_size", "<i8"), ("physical_size", "<i8"), ("flags", "<u8")])
@@ -201,6 +201,7 @@ def write_segments(blobs: DataFrame, base: str, shards: int = 1, ctime: int = 0)
         if writer is not None:
             yield end()
 
+    bounded_batches(blobs.sparkSession)
     order = ["segment_id", "slab", "pos_order"]
     rows = blobs.select(*order, "hash", "flags", "value").repartition("segment_id").sortWithinPartitions(*order)
     return rows.mapInArrow(run, "segment_id long, path string, bytes long")
@@ -294,6 +295,7 @@ def write_placed(blobs: DataFrame, base: str, tasks: int, shards: int = 1, ctime
             yield own
         end()
 
+    bounded_batches(blobs.sparkSession)
     cols = ["segment_id", "part", "pos", "hash", "flags", "value", "task"]
     rows = blobs.select(*cols).repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("segment_id", "part", "pos", "hash")
     return rows.mapInArrow(run, PLACED_DDL)
@@ -326,6 +328,7 @@ def write_metadata(records: DataFrame, base: str, shards: int = 1, ctime: int =
                 of, n = of[len(own) :], n + len(own)
         yield from end()
 
+    bounded_batches(records.sparkSession)
     rows = records.select("segment_id", *_RECORD.names).repartition("segment_id").sortWithinPartitions("segment_id", "pos", "hash")
     return rows.mapInArrow(run, "segment_id long, n long")
 
@@ -437,19 +440,31 @@ def read_range(entries: DataFrame, base: str, shards: int = 1, tasks: int | None
             return (got, None) if len(got) == size else (None, "EIO")
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
+            for c in _slices(b):
                 got = [read(*x) for x in zip(*(c.column(c.schema.get_field_index(n)).to_pylist() for n in ("segment_id", "pos", "physical_size")), strict=True)]
                 yield pa.RecordBatch.from_arrays([*c.columns, pa.array([v for v, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())], names=[*names, "value", "error"])
         for x in (f, g):
             if x is not None:
                 x.close()
 
+    bounded_batches(entries.sparkSession)
     near = ["segment_id", F.floor(F.col("pos") / part_bytes)]
     dealt = entries.repartition(tasks, *near) if tasks else entries.repartition(*near)
     return dealt.sortWithinPartitions("segment_id", "pos").mapInArrow(run, f"{kinds}, value binary, error string")
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of entries in slices whose blobs have BATCH_BYTES or so; a larger blob is a slice of its own."""
+    first = held = 0
+    for i, n in enumerate(b.column(b.schema.get_field_index("physical_size")).to_pylist()):
+        if i > first and (held + n > BATCH_BYTES or i - first == 256):
+            yield b.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if b.num_rows > first:
+        yield b.slice(first)
+
+
 def _has_parts(f) -> bool:
     """Whether a segment's .seg file has metadata only."""
     try:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,19 @@ def test_compression_round_trip(spark):
         compression.compress(d.v, "s3")
 
 
+def test_batches_for_segments_are_bounded_in_bytes(spark, tmp_path):
+    b = pa.RecordBatch.from_pylist([{"physical_size": n} for n in [1 << 20] * 10 + [9 << 20, 1] + [0] * 300])
+    sizes = [sum(x.column(0).to_pylist()) for x in segfile._slices(b)]
+    assert sum(sizes) == 19 * (1 << 20) + 1 and sorted(sizes)[-2] <= 4 << 20 and max(x.num_rows for x in segfile._slices(b)) <= 256
+    kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(4).select(F.lit(0).cast("long").alias("segment_id"), F.lit(0).alias("slab"), F.col("id").alias("pos_order"), F.col("id").alias("hash"), F.lit(b"v").alias("value"), F.lit(0).cast("long").alias("flags"), F.col("id").alias("pos"), F.lit(1).cast("long").alias("physical_size"))
+    for plan in (lambda: segfile.write_segments(rows, str(tmp_path)), lambda: segfile.read_range(rows.select("segment_id", "pos", "physical_size"), str(tmp_path)), lambda: layout.packed(rows.select("slab", "hash", "physical_size"), "slab", ["hash"], 8, "physical_size")):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        plan()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", kept)
+
+
 def test_batches_for_compression_are_bounded_in_bytes(spark):
     kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
