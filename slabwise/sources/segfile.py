@@ -30,6 +30,7 @@ from slabwise.tables import file_system as hadoop_file_system
 
 _RECORD = np.dtype([("hash", "<u8"), ("pos", "<i8"), ("logical_size", "<i8"), ("physical_size", "<i8"), ("flags", "<u8")])
 _HEAD, _FOOT = "<qq", "<qIQ"
+_PIECE = C.RECORD_BYTES << 16  # of metadata that is read at once
 RECORD_DDL = "segment_id long, ctime long, hash long, pos long, logical_size long, physical_size long, flags long"
 STATUS_DDL = "path string, status string, error string, segment_id long, ctime long, n long"
 
@@ -338,14 +339,31 @@ def scan_files(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.seg").option("recursiveFileLookup", "true").load(base).select("path", "length")
 
 
-def _metadata(path: str) -> tuple[int, int, np.ndarray]:
-    """The metadata of a file by its footer: two reads at its end, whatever its size."""
+def _metadata_of(path: str) -> tuple[int, int, int, Iterator[np.ndarray]]:
+    """(segment id, ctime, count, records) of a file by its footer. The checksum is made and the records are read by
+    pieces, so that neither depends on their number for memory."""
     fs, at = file_system(path)
     try:
         with fs.open_input_file(at) as f:
-            return read_metadata(f, f.size(), id_of(path))
+            start, length, crc = metadata_place(f, f.size())
+            made = 0
+            for i in range(0, length, _PIECE):
+                made = zlib.crc32(f.read_at(min(_PIECE, length - i), start + i), made)
+            if made != crc:
+                raise SegmentError("checksum mismatch")
+            head = f.read_at(min(length, C.HEADER_BYTES), start)
     except FileNotFoundError as e:
         raise SegmentError(f"no such file: {e}") from None
+    seg, ctime, _ = decode_record(head + bytes(max(0, length - C.HEADER_BYTES) % C.RECORD_BYTES))
+    if seg != id_of(path):
+        raise SegmentError(f"segment id {seg} in a file named {id_of(path)}")
+
+    def read() -> Iterator[np.ndarray]:
+        with fs.open_input_file(at) as f:
+            for i in range(C.HEADER_BYTES, length, _PIECE):
+                yield np.frombuffer(f.read_at(min(_PIECE, length - i), start + i), _RECORD)
+
+    return seg, ctime, (length - C.HEADER_BYTES) // C.RECORD_BYTES, read()
 
 
 def footers(files: DataFrame) -> DataFrame:
@@ -356,8 +374,8 @@ def footers(files: DataFrame) -> DataFrame:
             rows = []
             for path in b.column(0).to_pylist():
                 try:
-                    seg, ctime, records = _metadata(path)
-                    rows.append((path, "valid", None, seg, ctime, len(records)))
+                    seg, ctime, n, _ = _metadata_of(path)
+                    rows.append((path, "valid", None, seg, ctime, n))
                 except SegmentError as e:
                     rows.append((path, "corrupt", str(e), None, None, 0))
             kinds = [pa.string()] * 3 + [pa.int64()] * 3
@@ -372,16 +390,23 @@ def _record_batch(seg: int, ctime: int, r: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (*fixed, *map(column, _RECORD.names))], names=["segment_id", "ctime", *_RECORD.names])
 
 
+def _record_batches(path: str) -> Iterator[pa.RecordBatch]:
+    """The records of a file in batches, none of one that cannot be read."""
+    try:
+        seg, ctime, _, pieces = _metadata_of(path)
+    except SegmentError:
+        return
+    for r in pieces:
+        yield _record_batch(seg, ctime, r)
+
+
 def records(files: DataFrame) -> DataFrame:
     """The blob records of all readable files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                try:
-                    yield _record_batch(*_metadata(path))
-                except SegmentError:
-                    continue
+                yield from _record_batches(path)
 
     return files.select("path").mapInArrow(run, RECORD_DDL)
 
@@ -509,7 +534,4 @@ class _SegmentReader(DataSourceReader):
     def read(self, partition: _File):
         if not partition.path:
             return
-        try:
-            yield _record_batch(*_metadata(partition.path))
-        except SegmentError:
-            return
+        yield from _record_batches(partition.path)

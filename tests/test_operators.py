@@ -224,6 +224,23 @@ def test_compression_round_trip(spark):
         compression.compress(d.v, "s3")
 
 
+def test_records_of_a_long_segment_are_read_by_pieces(spark, tmp_path):
+    n = 200_000
+    each = np.zeros(n, segfile._RECORD)
+    each["hash"], each["pos"] = np.arange(n), np.arange(n) * 3
+    raw = segfile.encode_metadata(4, 9, each)
+    (tmp_path / "4.seg").write_bytes(raw)
+    (tmp_path / "5.seg").write_bytes(raw)
+    (tmp_path / "6.seg").write_bytes(raw[:5000] + b"?" + raw[5001:])
+    (tmp_path / "7.seg").write_bytes(segfile.encode_segment(7, 9, []))
+    batches = list(segfile._record_batches(str(tmp_path / "4.seg")))
+    assert len(batches) == 4 and pa.Table.from_batches(batches).column("pos").to_pylist() == list(range(0, 3 * n, 3))
+    files = segfile.scan_files(spark, str(tmp_path))
+    said = {r.path[-5:]: (r.status, r.n, r.error) for r in segfile.footers(files).collect()}
+    assert said["4.seg"] == ("valid", n, None) and said["7.seg"] == ("valid", 0, None)
+    assert "named 5" in said["5.seg"][2] and said["6.seg"][2] == "checksum mismatch" and segfile.records(files).count() == n
+
+
 def test_batches_for_segments_are_bounded_in_bytes(spark, tmp_path):
     b = pa.RecordBatch.from_pylist([{"physical_size": n} for n in [1 << 20] * 10 + [9 << 20, 1] + [0] * 300])
     sizes = [sum(x.column(0).to_pylist()) for x in segfile._slices(b)]
