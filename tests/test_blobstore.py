@@ -198,3 +198,21 @@ def test_long_segments_are_parts_that_tasks_write_side_by_side(spark, tmp_path,
         store.put(rows(spark, {k: v for k, v in blobs.items() if k not in ("k-0", "k-1", "k-2")}))
         assert store.compact() == [segment] and not glob.glob(f"{tmp_path}/segments/*/{segment}.*")
         assert found(store, spark, *blobs) == blobs and store.files().count() == 2
+
+
+def test_lost_files_of_long_segments_heal_and_the_rest_is_recovered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(config, "PART_BYTES", 10_000, raising=False)
+    blobs = {f"k-{i}": bytes([i]) * 1500 for i in range(60)}
+    with Store(spark, str(tmp_path), options(segment_bytes=1 << 40, bloom_keys=0)) as store:
+        store.put(rows(spark, blobs))
+        place = {r.key_hash: (r.segment_id, r.pos) for r in store.index().collect()}
+        gone, cut = sorted({seg for seg, _ in place.values()})
+        assert len(glob.glob(f"{tmp_path}/segments/*/{cut}.*.part")) > 2
+        os.remove(f"{tmp_path}/segments/0000/{gone}.seg")
+        os.remove(f"{tmp_path}/segments/0000/{cut}.000001.part")
+        lost = sum(seg == gone or 10_000 <= pos < 20_000 for seg, pos in place.values())
+        got = found(store, spark, *blobs)
+        assert (store.hits, store.ghosts, store.deleted, store.size) == (60, lost, lost, (60 - lost) * 1500)
+        assert sum(v is None for v in got.values()) == lost and all(v in (None, blobs[k]) for k, v in got.items())
+    shutil.rmtree(tmp_path / "index")
+    assert blobstore.recover(spark, str(tmp_path)) == {"valid": 1, "corrupt": 0, "recovered": sum(seg == cut for seg, _ in place.values())}
